@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewake.llm import exact_dedup, line_dedup, simhash, topk
+from tidewake.llm import bpe, exact_dedup, line_dedup, simhash, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_token_counts": bpe.op8_token_counts,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 ORACLES = {
