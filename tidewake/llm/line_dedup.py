@@ -71,11 +71,10 @@ def line_key(line: Column) -> Column:
 
 def _hashed(lines: Column, min_chars: int) -> Column:
     """The key's hash of each line, null for keys of fewer code points."""
-    def one(line: Column) -> Column:
-        key = line_key(line)
+    def one(key: Column) -> Column:
         return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit("line"), key).alias("lo")))
 
-    return F.transform(lines, one)
+    return F.transform(F.transform(lines, line_key), one)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
@@ -95,7 +94,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(scratch, min_docs)
     for k in range(batches):
         runs.add(counts.where(F.col("batch") == k).select("hi", "lo", "docs"))
-    gone = held.join(runs.repeated(), ["hi", "lo"]).groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
+    gone = held.join(scratch.save(runs.repeated(), "repeated"), ["hi", "lo"]).groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
     gone = scratch.save(gone, "gone")
     met = base.join(gone, "rid", "left").select("doc_id", lines.alias("lines"), "gone")
     marked = met.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "lines", F.when(F.col("gone").isNotNull(), _hashed(F.col("lines"), min_chars)).alias("h"), "gone")
