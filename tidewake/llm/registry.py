@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidewake.llm import bpe, exact_dedup, line_dedup, simhash, topk
+from tidewake.llm import bpe, chat, exact_dedup, line_dedup, mixing, quality, simhash, span_dedup, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_token_counts": bpe.op8_token_counts,
+    "op9_span_dedup": span_dedup.op9_span_dedup,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 ORACLES = {
