@@ -1,7 +1,7 @@
 """A global shuffle of distinct pre-tokens, for work that depends on the pre-token alone.
 
 One pass splits whole texts. A task gathers documents into blocks of about ``BLOCK`` bytes of text and explodes each block
-into (1) its distinct words, dealt over buckets by the word's hash, each with its slot number, and (2) its documents as
+into (1) its distinct words, dealt over buckets by a hash of their first bytes, each with its slot number, and (2) its documents as
 slots in order of position, or as slots with frequencies. In a bucket's task every distinct word of the corpus is worked on
 once and the results take the slots' place; they return to their block, where documents are put together again from their
 slots. A frequent word is one entry for each block, so no word is hot; texts never move, and slots, ranked by frequency and
@@ -25,6 +25,8 @@ from tidewake.llm.common import pack, unpack
 
 #: Bytes of text in a block, and pre-tokens in a row of its documents, about.
 BLOCK, ROW = 16 << 20, 1 << 20
+#: Words that begin alike share a bucket, where they compress well.
+PREFIX = 6
 WORDS, DOCS = 0, 1
 ROWS = "spot long, blk binary, kind int, seq int, data binary"
 _NAMES = ["spot", "blk", "kind", "seq", "data"]
@@ -54,7 +56,9 @@ class _Block:
         seen = np.zeros(len(words), np.int64)
         for *_, found, n in self.docs:
             np.add.at(seen, found, 1 if n is None else n)
-        order = np.argsort(-seen, kind="stable")
+        # by frequency, then by word: similar words are neighbours and compress well
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = by_word[np.argsort(-seen[by_word], kind="stable")]
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         parts = []
@@ -69,11 +73,11 @@ class _Block:
         blk = xxhash.xxh3_128_digest(b"".join(parts) + b"\0".join(words))
         spots: list[list[int]] = [[] for _ in range(self.buckets)]
         for slot in order.tolist():
-            spots[xxhash.xxh3_64_intdigest(words[slot]) % self.buckets].append(slot)
+            spots[xxhash.xxh3_64_intdigest(words[slot][:PREFIX]) % self.buckets].append(slot)
         for spot, mine in enumerate(spots):
             if mine:
                 own = [words[s] for s in mine]
-                yield spot, blk, WORDS, 0, pack(rank[mine], np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))
+                yield spot, blk, WORDS, 0, pack(np.diff(rank[mine], prepend=np.uint32(0)), np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))
         home = self.buckets + int.from_bytes(blk[:6], "little")
         for seq, data in enumerate(parts):
             yield home, blk, DOCS, seq, np.uint32(len(words)).tobytes() + data
@@ -153,14 +157,15 @@ class Words:
     """What has come back for the words of a block: values one after another, by slot."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # steps of slots, numbers of values, values
 
     def close(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """For each of the n slots its number of values, and all values in the slots' order."""
         if not self.parts:
             slots, lens, values = (np.zeros(0, np.uint32) for _ in range(3))
         else:
-            slots, lens, values = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            steps, lens, values = zip(*self.parts, strict=True)
+            slots, lens, values = np.concatenate([np.cumsum(s, dtype=np.int64) for s in steps]), np.concatenate(lens), np.concatenate(values)
         order = np.argsort(slots, kind="stable")
         kept = np.ones(len(order), bool)  # a block that two tasks made alike comes twice
         kept[1:] = slots[order][1:] != slots[order][:-1]
