@@ -85,11 +85,11 @@ def model(points, sign_part="Tail1"):
         valid = all(q is not None for q in p)
         skip = False
         if valid:
-            if seen is not None and sum(math.dist(a, b) > 200 for a, b in zip(p, seen, strict=True)) >= 2:
-                if grace:
-                    grace = 0
-                else:
-                    skip, grace = True, 1
+            bad = seen is not None and sum(math.dist(a, b) > 200 for a, b in zip(p, seen, strict=True)) >= 2
+            if grace:  # the next valid frame uses it up, whether it needs it or not
+                grace = 0
+            elif bad:
+                skip, grace = True, 1
             seen = p
         if valid and not skip:
             if last is not None:
@@ -176,9 +176,9 @@ def test_class_edges(spark):
 
 
 def test_rounding_rules(spark):
-    names = {"curvature_1_mm": 0.00335, "curvature_2_mm": 0.03, "body_length_mm": 200.0, "body_length_std_mm": 12.5, "Head1_frame_dist_mm": 2.5, "Tail1_swim_frequency_hz": 1.23456, "u_shape_percentage": 1.005, "Head1_x": 1.23456}
+    names = {"curvature_1_mm": 0.00335, "curvature_2_mm": 0.03, "body_length_mm": 200.0, "body_length_std_mm": 12.5, "Head1_frame_dist_mm": 2.5, "Tail1_swim_frequency_hz": 1.23456, "Tail1_one_sided_frequency_hz": 1.23456, "u_shape_percentage": 1.005, "Head1_x": 1.23456}
     got = rounding.round_frames(spark.createDataFrame([tuple(names.values())], ", ".join(f"{n} double" for n in names))).first().asDict()
-    assert got == {"curvature_1_mm": 0.0034, "curvature_2_mm": None, "body_length_mm": None, "body_length_std_mm": None, "Head1_frame_dist_mm": 2.0, "Tail1_swim_frequency_hz": 1.2346, "u_shape_percentage": 1.0, "Head1_x": 1.235}
+    assert got == {"curvature_1_mm": 0.0034, "curvature_2_mm": None, "body_length_mm": None, "body_length_std_mm": None, "Head1_frame_dist_mm": 2.0, "Tail1_swim_frequency_hz": 1.0, "Tail1_one_sided_frequency_hz": 1.2346, "u_shape_percentage": 1.0, "Head1_x": 1.235}
     assert [rounding.table_digits(n, False) for n in ("curvature_1_mm_mean", "tail1_hz", "skipped_rate_window_pct", "mid_time_s", "sum_x", "fps", "x", "x_n")] == [5, 2, 2, 3, 2, 2, 3, None]
 
 

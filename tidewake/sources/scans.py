@@ -13,7 +13,9 @@ from tidewake.functions.text import is_video, stem
 from tidewake.functions.values import no_nan, numeric
 
 VIDEO = (".mp4", ".avi", ".mov", ".mkv")
-_ENCODINGS = ("utf-8", "windows-1252")
+_ENCODINGS = ("utf-8", "cp1252")
+#: Where Windows-1252 differs from Latin-1, which Spark reads.
+_LATIN = [(chr(b), t) for b in range(0x80, 0xA0) if (t := bytes([b]).decode("cp1252", "ignore"))]
 
 
 def _pose_schema() -> str:
@@ -70,13 +72,21 @@ def tracking(spark: SparkSession, paths: str | list[str], root: str | None = Non
             groups.setdefault(name, []).append(row["path"])
     if not groups:
         raise ValueError("no readable file")
-    parts = [_without_bom(spark.read.option("header", True).option("encoding", e).csv(files)).withColumn("source_path", F.input_file_name()) for e, files in sorted(groups.items())]
+    parts = [_read(spark, e, files).withColumn("source_path", F.input_file_name()) for e, files in sorted(groups.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.withColumn("root", F.lit(root))
 
 
+def _read(spark: SparkSession, encoding: str, files: list[str]) -> DataFrame:
+    df = _without_bom(spark.read.option("header", True).option("encoding", "ISO-8859-1" if encoding == "cp1252" else "UTF-8").csv(files))
+    if encoding == "cp1252":
+        old, new = ("".join(x) for x in zip(*_LATIN, strict=True))
+        df = df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c) for c in df.columns])
+    return df
+
+
 def roots(spark: SparkSession, paths: list[str], **more) -> DataFrame:
     """The tables of several sessions with their root."""
     parts = [tracking(spark, p, p, **more) for p in paths]
@@ -100,7 +110,7 @@ def table(spark: SparkSession, path: str) -> DataFrame:
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot evaluation table; blanks around header names go."""
     df = spark.read.option("header", True).csv(path)
-    df = df.toDF(*[c.strip() or "index" for c in df.columns])
+    df = df.toDF(*["index" if c == "_c0" else c.strip() for c in df.columns])
     return df.select(*[numeric(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
