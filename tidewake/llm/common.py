@@ -40,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/tidewake/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
+        bound_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -61,6 +62,13 @@ class Scratch:
             pass
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most ``size`` where the session doesn't say otherwise: ten thousand long texts are too many at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,10 +8,8 @@ occurs; each looks up its slot and compares all 32 bytes there. Members add to t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,53 +95,47 @@ def build_index(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """classes (CLASS, a row for each digest) -> the index, a row for each shard, and the number of shards."""
     shards = -(-max(1, classes.count()) // SHARD)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        digests = [bytes(x) for x in pdf.digest]
+    def one(t: pa.Table) -> pa.Table:
+        digests = t.column("digest").to_pylist()
         perfect = PerfectHash.build(digests)
         order = np.argsort(perfect.slots(digests))
-        ids = pdf.doc_id.iloc[order]
-        cells = (perfect.dumps(), b"".join(digests[k] for k in order), ids.fillna(0).astype("int64").to_numpy().tobytes(), ids.isna().to_numpy().tobytes(), pdf.part.to_numpy("int32")[order].tobytes(), pdf.n.to_numpy("int64")[order].tobytes())
-        return pd.DataFrame([(int(pdf["shard"].iloc[0]), *cells)], columns=["shard", "hash", "digests", "doc_ids", "nulls", "parts", "counts"])
+        ids = t.column("doc_id").combine_chunks()
+        cells = {
+            "hash": perfect.dumps(), "digests": b"".join(digests[k] for k in order), "doc_ids": ids.fill_null(0).to_numpy()[order].tobytes(), "nulls": ids.is_null().to_numpy(zero_copy_only=False)[order].tobytes(),
+            "parts": t.column("part").to_numpy()[order].astype("int32").tobytes(), "counts": t.column("n").to_numpy()[order].astype("int64").tobytes(),
+        }
+        return pa.table({"shard": t.column("shard")[:1]} | {k: pa.array([v], pa.binary()) for k, v in cells.items()})
 
     sharded = classes.select("digest", "doc_id", "part", "n", _shard_of(shards))
-    # a null doc_id must not turn the others into floats
-    sharded = sharded.withColumn("doc_id", F.col("doc_id").cast("string"))
-
-    def typed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return one(pdf.assign(doc_id=pd.array([None if x is None else int(x) for x in pdf.doc_id], dtype="Int64")))
-
-    return scratch.save(sharded.groupBy("shard").applyInPandas(typed, INDEX), "index"), shards
+    return scratch.save(sharded.groupBy("shard").applyInArrow(one, INDEX), "index"), shards
 
 
 def merge(index: DataFrame, shards: int, fresh_classes: DataFrame) -> DataFrame:
     """All classes (CLASS) of history and a new batch that is already grouped by digest."""
 
-    def run(held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        if len(held):
-            cell = held.iloc[0]
+    def run(held: pa.Table, new: pa.Table) -> pa.Table:
+        perfect, digests, slots = PerfectHash([], []), [], []
+        if held.num_rows:
+            cell = held.to_pylist()[0]
             perfect = PerfectHash.loads(cell["hash"])
-            digests = [cell.digests[k : k + 32] for k in range(0, len(cell.digests), 32)]
-            ids, nulls = np.frombuffer(cell.doc_ids, "int64").tolist(), np.frombuffer(cell.nulls, bool).tolist()
-            parts, counts = np.frombuffer(cell.parts, "int32").tolist(), np.frombuffer(cell.counts, "int64").tolist()
-        else:
-            perfect, digests = PerfectHash([], []), []
-        slots: list[list] = [[d, None if nulls[k] else ids[k], parts[k], counts[k]] for k, d in enumerate(digests)]
-        apart: list[list] = []
-        asked = [bytes(x) for x in new.digest]
-        for k, slot in enumerate(perfect.slots(asked).tolist() if asked else []):
-            doc = None if new.doc_id.iloc[k] is None else int(new.doc_id.iloc[k])
-            mine = [asked[k], doc, int(new.part.iloc[k]), int(new.n.iloc[k])]
-            if slot < 0 or digests[slot] != asked[k]:
+            digests = [cell["digests"][k : k + 32] for k in range(0, len(cell["digests"]), 32)]
+            ids, nulls = np.frombuffer(cell["doc_ids"], "int64").tolist(), np.frombuffer(cell["nulls"], bool).tolist()
+            parts, counts = np.frombuffer(cell["parts"], "int32").tolist(), np.frombuffer(cell["counts"], "int64").tolist()
+            slots = [(d, None if nulls[k] else ids[k], parts[k], counts[k]) for k, d in enumerate(digests)]
+        apart = []
+        asked = list(zip(*(new.column(c).to_pylist() for c in ("digest", "doc_id", "part", "n")), strict=True))
+        for mine, slot in zip(asked, perfect.slots([a[0] for a in asked]).tolist() if asked else [], strict=True):
+            if slot < 0 or digests[slot] != mine[0]:
                 apart.append(mine)
                 continue
             at = slots[slot]
             best = max(at, mine, key=lambda r: (r[1] is not None, r[1] or 0, -r[2]))
-            slots[slot] = [at[0], best[1], best[2], at[3] + mine[3]]
-        rows = slots + apart
-        return pd.DataFrame({"digest": [r[0] for r in rows], "doc_id": pd.array([r[1] for r in rows], dtype="Int64"), "part": [r[2] for r in rows], "n": [r[3] for r in rows]})
+            slots[slot] = (at[0], best[1], best[2], at[3] + mine[3])
+        cols = [[r[k] for r in slots] + [r[k] for r in apart] for k in range(4)]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("digest", "doc_id", "part", "n"), cols, (pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)})
 
-    asked = fresh_classes.select("digest", F.col("doc_id").cast("string").alias("doc_id"), "part", "n", _shard_of(shards))
-    return index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, CLASS)
+    asked = fresh_classes.select("digest", "doc_id", "part", "n", _shard_of(shards))
+    return index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, CLASS)
 
 
 def _classes(rows: DataFrame) -> DataFrame:

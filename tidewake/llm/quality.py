@@ -16,12 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import table
+from tidewake.llm.common import bound_batches, table
 
 #: Words, shapes and the rest are hashed to the first SIZE weights, runs of bytes to the second.
 BITS = 18
@@ -43,7 +43,7 @@ def _word(w: bytes) -> tuple[int, int]:
         shape = _RUN.sub(rb"\1", w[:64].translate(_CLASS))
         core = w.strip(_MARKS).lower()
         got = (_hash(b"w", core) if core else -1, _hash(b"s", shape))
-        if len(_KNOWN) >= 300_000:
+        if len(_KNOWN) >= 100_000:
             _KNOWN.clear()
         _KNOWN[w] = got
     return got
@@ -152,14 +152,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, n_grades: int
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     met = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("grade").alias("grade"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [(features(t), runs(t)) for t in pdf.text]
-            at = [np.concatenate([a, r]).astype("<i4").tobytes() for (a, _), r in got]
-            value = [np.concatenate([v, np.ones(len(r))]).astype("<f4").tobytes() for (_, v), r in got]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "grade": pdf.grade, "at": at, "value": value})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, value = [], []
+            for t in b.column("text"):
+                (a, v), r = features(t.as_py()), runs(t.as_py())
+                at.append(np.concatenate([a, r]).astype("<i4").tobytes())
+                value.append(np.concatenate([v, np.ones(len(r))]).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "grade", "at", "value"])
 
-    rows = sorted(met.mapInPandas(run, "doc_id long, grade int, at binary, value binary").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(met.mapInArrow(run, "doc_id long, grade int, at binary, value binary").collect(), key=lambda r: r["doc_id"])
     parsed = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
     return fit(parsed, np.array([r["grade"] for r in rows], np.int64), n_grades)
 
@@ -168,13 +170,14 @@ def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Column:
     """A struct (expected_grade, p_top) of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("expected_grade double, p_top double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("expected_grade double, p_top double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         for part in texts:
-            below = own.at_most(np.array([own.score(t) for t in part], np.float64).reshape(-1))
-            expected = (1 - below).sum(axis=1)
-            yield pd.DataFrame({"expected_grade": expected, "p_top": 1 - below[:, -1]})
+            below = own.at_most(np.fromiter((own.score(t.as_py()) for t in part), np.float64, len(part)))
+            yield pa.StructArray.from_arrays([pa.array((1 - below).sum(axis=1)), pa.array(1 - below[:, -1])], ["expected_grade", "p_top"])
 
     return run(F.col(text_col).cast("binary"))
 

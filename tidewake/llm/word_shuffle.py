@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import pack, unpack
+from tidewake.llm.common import bound_batches, pack, unpack
 
 #: Bytes of text in a block, and pre-tokens in a row of its documents, about.
 BLOCK, ROW = 16 << 20, 1 << 20
@@ -113,6 +113,7 @@ def blocks(docs: DataFrame, split: Callable[[str], tuple[list[str], int]], bucke
         if block.docs:
             yield from _batches(block.rows())
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ROWS)
 
 
