@@ -101,19 +101,21 @@ class Ordinal:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, min_df: int = 8, common: float = 0.02, ridge: float = 5e-4, steps: int = 200, rate: float = 0.05) -> Ordinal:
-    """Full-batch Adam on the mean negative log-likelihood with a ridge; deterministic. Without rows or with one grade only the scores are zero."""
+    """Full-batch Adam on the mean negative log-likelihood with a ridge; deterministic. With one grade only the scores are zero; without rows, too, and the top grade is near certain."""
     n_cut = n_grades - 1
     share = np.array([((grades <= k).sum() + 0.5) / (len(grades) + 1) for k in range(n_cut)])
     base = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_cut))
     model = Ordinal(np.zeros(2 * SIZE), base)
+    if not len(rows):
+        model.thresholds = np.arange(n_cut) - 20.0  # nothing speaks against any text
     if not len(rows) or len(np.unique(grades)) < 2:
         return model
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     held = np.bincount(at, minlength=2 * SIZE)
     keep = ((held >= min_df) & ((np.arange(2 * SIZE) < SIZE) | (held <= max(min_df, common * len(rows)))))[at]
-    at, value, row = at[keep], value[keep], row[keep]
+    at, value, row = at[keep], value[keep].astype(np.float64), row[keep]
     used, at = np.unique(at, return_inverse=True)
     # thresholds as a first one and positive steps, so their order holds
     x = np.concatenate([np.zeros(len(used)), base[:1], np.log(np.maximum(np.diff(base), 1e-3))])

@@ -80,7 +80,7 @@ class Block:
 
     def survivors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alive = np.ones((len(self.ids), len(x)), bool)
-        for mine, segments in zip(self.stats, SEGMENTS, strict=True):
+        for mine, segments in zip(self.stats, SEGMENTS, strict=False):  # no statistics of empty vectors
             if not (self.floor > np.iinfo(np.int64).min).any():
                 break
             theirs = stats(x, segments)
