@@ -5,8 +5,8 @@ siblings; a leaf can take its tokens ``max_epochs`` times at most, and what a no
 weights, and to its parent's siblings only when all of them are full. A leaf then takes whole epochs and of the next epoch,
 ordered by a seeded hash, the longest prefix that fits its budget.
 
-The prefix is found without ordering a leaf in one task: tokens are summed by the hash's top 12 bits, which gives the slice in
-which the budget ends, and only that slice (about 1/4096 of the leaf) is summed row by row. The result is one hash value for
+The prefix is found without ordering a leaf in one task: tokens are summed by the hash's top 8 bits, which gives the slice in
+which the budget ends, that slice by the next 8 bits, and only what is left (about 1/65536 of the leaf) row by row. The result is one hash value for
 each leaf, so choosing documents is a filter over the table and texts never move.
 """
 
@@ -22,7 +22,8 @@ from tidewake.llm.common import Scratch, fresh, table
 
 #: What a leaf table may hold: it is collected and broadcast.
 MOST_LEAVES = 100_000
-SLICES = 4096
+#: Bits of the order by which tokens are summed, one step after the other.
+STEPS = (8, 8)
 #: The production mix: weights by level; names that aren't listed weigh 1.
 DOMAINS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANGS = {"en": 4, "de": 2, "fr": 2, "es": 2}
@@ -69,6 +70,10 @@ def budgets(leaves: dict[tuple, int], total: int, weights: list[dict], max_epoch
     return down(sorted(caps), 0, total) if caps else {}
 
 
+def _top(bits: int) -> Column:
+    return F.shiftrightunsigned("place", 64 - bits) if bits else F.lit(0).cast("long")
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -105,16 +110,21 @@ def mix(docs: DataFrame, path: list[Column], weights: list[dict], budget: int |
     # the order of the epoch that is cut: another order for another number of whole epochs
     place = F.xxhash64("h", "whole")
     open_ = keys.join(F.broadcast(plan.where("rest > 0")), levels).select(*levels, "tokens", "rest", place.alias("place"))
-    part = F.shiftrightunsigned("place", 52)
-    slices = open_.select(*levels, "rest", "tokens", part.alias("slice")).groupBy(*levels, "slice").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"))
-    upto = F.sum("tokens").over(W.partitionBy(*levels).orderBy("slice"))
-    edge = slices.withColumn("upto", upto).where("upto > rest").groupBy(*levels).agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("tokens")).alias("before")), "slice").alias("edge"))
-    edge = scratch.save(edge.select(*levels, "edge.slice", "edge.before"), "edge")
-    within = open_.withColumn("slice", part).join(F.broadcast(edge), [*levels, "slice"])
+    # the slice so far: the top bits of its places, and the tokens before it
+    edge = plan.where("rest > 0").select(*levels, F.lit(0).cast("long").alias("slice"), F.lit(0).cast("long").alias("before"))
+    bits = 0
+    for step in STEPS:
+        held = open_.withColumn("slice", _top(bits)).join(F.broadcast(edge), [*levels, "slice"])
+        bits += step
+        sums = held.groupBy(*levels, _top(bits).alias("slice")).agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        upto = F.col("before") + F.sum("tokens").over(W.partitionBy(*levels).orderBy("slice"))
+        over = sums.withColumn("upto", upto).where("upto > rest").groupBy(*levels).agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("tokens")).alias("before")), "slice").alias("edge"))
+        edge = scratch.save(over.select(*levels, "edge.slice", "edge.before"), f"edge{bits}")
+    within = open_.withColumn("slice", _top(bits)).join(F.broadcast(edge), [*levels, "slice"])
     order = F.expr("place ^ (-9223372036854775807 - 1)")  # unsigned order
     upto = F.col("before") + F.sum("tokens").over(W.partitionBy(*levels).orderBy("order"))
     fits = within.withColumn("order", order).withColumn("upto", upto).where("upto <= rest").groupBy(*levels).agg(F.max("order").alias("order"))
-    low = F.expr("shiftleft(slice, 52) ^ (-9223372036854775807 - 1)")  # the first place of the slice
+    low = F.shiftleft("slice", 64 - bits).bitwiseXOR(F.lit(-(1 << 63)))  # the first place of the slice
     cuts = plan.join(F.broadcast(edge.join(F.broadcast(fits), levels, "left").select(*levels, F.coalesce(F.col("order") + 1, low).alias("cut"))), levels, "left")
     cuts = scratch.save(cuts, "cuts")
     names = {n: fresh(docs, n) for n in (*levels, "whole", "rest", "leaf_budget", "cut", "h", "epoch", "tokens")}
