@@ -191,3 +191,16 @@ def test_summary_of_a_video_without_frames_in_order(spark):
 def test_tracking_table_has_its_columns(spark):
     got = frames.tracking_table(frames.analyse(video(spark, [0, 3])))
     assert len(got.columns) == 175 and got.count() == 2
+
+
+def test_fit_is_there_for_sql(spark):
+    circles.register(spark)
+    p = arc(50.0)
+    df = spark.createDataFrame([(p[:, 0].tolist(), p[:, 1].tolist())], "xs array<double>, ys array<double>")
+    assert df.selectExpr("fit_circle(xs, ys).radius AS r").first()["r"] == pytest.approx(50.0)
+
+
+def test_cpu_share():
+    from tidewake.config import cpu_share
+
+    assert [cpu_share(8, 0.5), cpu_share(1, 0.4)] == [4, 1]

@@ -61,3 +61,8 @@ class ActivityConfig:
     distance_per_hour: float = 1_200_000.0
     chunk_minutes: float = 1.0
     corrupted_ratio: float = 0.1
+
+
+def cpu_share(cores: int, share: float) -> int:
+    """Tasks to run at once for a share of the cores, one at least."""
+    return max(1, int(cores * share))

@@ -2,8 +2,8 @@
 
 Input is (video_id, frame, kp array<struct<part, x, y, likelihood>>) with one row for each frame. The machine that walks from
 frame to frame becomes window functions over (video, frame): a rejected frame is an odd place in a run of bad frames among
-the valid ones, and "the last accepted frame" is a lag within the accepted. Points travel as one array, so each window has
-one lag instead of one for each part.
+the valid ones, and "the last accepted frame" is the last non-null among the rows above. Points travel as one array, so each
+window has one expression instead of one for each part.
 """
 
 from __future__ import annotations
@@ -45,21 +45,33 @@ def lengths(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     return df.withColumns({"mfc_length_px": mfc, "mfc_length_mm": mfc * cfg.mm_per_px, "body_length_px": F.when(inside, body), "body_length_mm": F.when(inside, body * cfg.mm_per_px)})
 
 
+def _run():
+    return W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+
+
+def _above():
+    return W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)
+
+
 def flags(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
-    """Adds pts, valid, lengths, bad, skip and accepted."""
-    df = df.withColumn("pts", gate(F.col("kp"), cfg)).withColumn("valid", F.forall("pts", lambda p: p.isNotNull()))
+    """Adds pts, valid, lengths, bad, skip and accepted.
+
+    Every window here and below is over (video_id, frame): one exchange by video and one sort serve them all.
+    """
+    df = df.repartition("video_id").withColumn("pts", gate(F.col("kp"), cfg)).withColumn("valid", F.forall("pts", lambda p: p.isNotNull()))
     df = lengths(df, cfg)
-    among = W.partitionBy("video_id", "valid").orderBy("frame")
-    df = df.withColumn("last_valid", F.when(F.col("valid"), F.lag("pts").over(among)))
+    run, above = _run(), _above()
+    df = df.withColumn("last_valid", F.when(F.col("valid"), F.last(F.when(F.col("valid"), F.col("pts")), ignorenulls=True).over(above)))
     limit = F.greatest(F.lit(cfg.jump_px), F.coalesce(cfg.jump_of_body * F.col("body_length_px"), F.lit(cfg.jump_px)))
     df = df.withColumn("jump_limit", limit)
     far = sum((F.coalesce(distance(at("pts", p), at("last_valid", p)) > F.col("jump_limit"), F.lit(False)).cast("int") for p in PARTS), F.lit(0))
     df = df.withColumn("bad", F.col("valid") & F.col("last_valid").isNotNull() & (far >= cfg.jump_parts))
-    run = F.sum((~F.col("bad")).cast("long")).over(among.rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("run", run)
-    place = F.sum(F.col("bad").cast("long")).over(W.partitionBy("video_id", "valid", "run").orderBy("frame").rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("skip", F.col("bad") & (place % 2 == 1))
-    return df.withColumn("accepted", F.col("valid") & ~F.col("skip")).drop("last_valid", "jump_limit", "run")
+    # a bad frame's place in its run: bad frames so far, less those up to the last good one
+    df = df.withColumn("bad_so_far", F.sum(F.col("bad").cast("long")).over(run))
+    before = F.last(F.when(F.col("valid") & ~F.col("bad"), F.col("bad_so_far")), ignorenulls=True).over(run)
+    df = df.withColumn("place", F.col("bad_so_far") - F.coalesce(before, F.lit(0)))
+    df = df.withColumn("skip", F.col("bad") & (F.col("place") % 2 == 1))
+    return df.withColumn("accepted", F.col("valid") & ~F.col("skip")).drop("last_valid", "jump_limit", "bad_so_far", "place")
 
 
 def distances(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
@@ -67,10 +79,10 @@ def distances(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
 
     dist_px is null on rejected frames and on a video's first accepted one, and 0 below the jitter; cum_px carries on.
     """
-    df = df.withColumn("last", F.when(F.col("accepted"), F.lag("pts").over(W.partitionBy("video_id", "accepted").orderBy("frame"))))
+    df = df.withColumn("last", F.when(F.col("accepted"), F.last(F.when(F.col("accepted"), F.col("pts")), ignorenulls=True).over(_above())))
     step = [distance(at("pts", p), at("last", p)) for p in PARTS]
     df = df.withColumns({f"_d{k}": F.when(F.col("accepted"), F.when(s < cfg.jitter_px, 0.0).otherwise(s)) for k, s in enumerate(step)})
-    run = W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+    run = _run()
     df = df.withColumns({f"_c{k}": F.sum(F.coalesce(f"_d{k}", F.lit(0.0))).over(run) for k in range(len(PARTS))})
     out = df.withColumns({"dist_px": F.array(*[F.col(f"_d{k}") for k in range(len(PARTS))]), "cum_px": F.array(*[F.col(f"_c{k}") for k in range(len(PARTS))])})
     return out.drop(*[f"_{c}{k}" for c in "dc" for k in range(len(PARTS))])
@@ -91,7 +103,7 @@ def swim(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     sign = {p: F.when(F.col("accepted"), lateral(at("pts", p), at("pts", "Head1"), F.coalesce(at("pts", "Head2"), at("pts", "MFC1")))) for p in SWIM_PARTS}
     df = df.withColumns({f"{p}_sign": c for p, c in sign.items()})
     df = df.withColumn("_signs", F.when(F.col(f"{SWIM_PARTS[0]}_sign").isNotNull(), F.array(*[F.col(f"{p}_sign") for p in SWIM_PARTS]))).withColumn("_on", F.col("_signs").isNotNull())
-    df = df.withColumn("_before", F.when(F.col("_on"), F.lag("_signs").over(W.partitionBy("video_id", "_on").orderBy("frame"))))
+    df = df.withColumn("_before", F.when(F.col("_on"), F.last("_signs", ignorenulls=True).over(_above())))
     df = df.withColumn("_above", F.lag("_signs").over(W.partitionBy("video_id").orderBy("frame")))
     new = {}
     for k, p in enumerate(SWIM_PARTS):
@@ -103,7 +115,7 @@ def swim(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
         new |= {f"{p}_swim": flip.cast("long"), f"{p}_bend": (~flip & same).cast("long"), f"{p}_rel": F.when(follows, F.abs(now - above)).otherwise(0.0)}
         new[f"{p}_travel"] = F.when(follows & (step >= cfg.jitter_px), step).otherwise(0.0)
     df = df.withColumns(new)
-    run = W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+    run = _run()
     sums = {f"{p}_cum_{m}": F.sum(f"{p}_{m}").over(run) for p in SWIM_PARTS for m in ("swim", "bend", "rel", "travel")}
     df = df.withColumns(sums)
     dead = F.col("accepted") & ~F.col("_on")  # a reference line without length leaves the initial zeros

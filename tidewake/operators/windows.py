@@ -67,16 +67,23 @@ def window_index(frame: Column, cfg: WindowConfig = WindowConfig()) -> Column:
     return F.floor(frame / cfg.frames)
 
 
-def looks_cumulative(df: DataFrame, cols: list[str], tol: float = 1e-6) -> DataFrame:
+def _grows(c: str, step: Column, over=None, tol: float = 1e-6) -> Column:
+    """Five values or more and no step down; an aggregate, or over a window."""
+    n, least = F.count(c), F.min(step)
+    if over is not None:
+        n, least = n.over(over), least.over(over)
+    return (n >= 5) & F.coalesce(least >= -tol, F.lit(False))
+
+
+def _steps(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds _step_{c}: growth since the last row with a value."""
+    above = W.partitionBy("file").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumns({f"_step_{c}": F.col(c) - F.last(c, ignorenulls=True).over(above) for c in cols})
+
+
+def looks_cumulative(df: DataFrame, cols: list[str]) -> DataFrame:
     """(file, {c}_cumulative): five values or more and no step down among those that exist."""
-    out = df
-    names = {}
-    for k, c in enumerate(cols):
-        was = F.lag(c).over(W.partitionBy("file", F.col(c).isNotNull()).orderBy("frame"))
-        out = out.withColumn(f"_step{k}", F.when(F.col(c).isNotNull(), F.col(c) - was))
-        names[k] = c
-    agg = [((F.count(c) >= 5) & F.coalesce(F.min(f"_step{k}") >= -tol, F.lit(False))).alias(f"{c}_cumulative") for k, c in names.items()]
-    return out.groupBy("file").agg(*agg)
+    return _steps(df, cols).groupBy("file").agg(*[_grows(c, F.col(f"_step_{c}")).alias(f"{c}_cumulative") for c in cols])
 
 
 def adjacent_increments(c: Column, skip: Column, w) -> Column:
@@ -92,8 +99,9 @@ def instant_increments(c: Column, skip: Column) -> Column:
 def prepare(df: DataFrame, reference: str | None = None, numbers: bool = False) -> DataFrame:
     """Adds skip (the reference curvature is null) and inc_Tail1..4, the swim increments by the better of the two series of each file.
 
-    numbers: read text columns as numbers first.
+    numbers: read text columns as numbers first. All windows are by file, so one exchange serves them and the window table.
     """
+    df = df.repartition("file")
     if numbers:
         df = df.withColumns({c: numeric(F.col(f"`{c}`")) for c in df.columns if c not in ("file", "frame", "source_path") and not c.endswith("_class")})
     ref = reference or reference_curvature(df)
@@ -102,8 +110,8 @@ def prepare(df: DataFrame, reference: str | None = None, numbers: bool = False)
     pairs = {t: [c for c in (f"{t}_cumulative_swim_count", f"{t}_swim_count") if c in df.columns] for t in TAILS}
     tested = [c for p in pairs.values() for c in p]
     if tested:
-        # one row for each file, spread over its frames
-        df = df.join(looks_cumulative(df, tested), "file", "left")
+        df = _steps(df, tested)
+        df = df.withColumns({f"{c}_cumulative": _grows(c, F.col(f"_step_{c}"), W.partitionBy("file")) for c in tested})
     for t, cands in pairs.items():
         inc = None
         for c in reversed(cands):
@@ -114,7 +122,7 @@ def prepare(df: DataFrame, reference: str | None = None, numbers: bool = False)
             else:
                 inc = F.when(grows, adjacent).otherwise(instant_increments(F.col(c), F.col("skip")))
         df = df.withColumn(f"inc_{t}", inc if inc is not None else F.lit(None).cast("double"))
-    return df.drop(*[f"{c}_cumulative" for c in tested])
+    return df.drop(*[f"{c}_cumulative" for c in tested], *[f"_step_{c}" for c in tested])
 
 
 def six_stats(c: str, keep: Column) -> list[Column]:
