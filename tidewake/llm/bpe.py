@@ -88,8 +88,9 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         names, types, schema = [*names, "ids"], [*types, pa.list_(pa.int32())], schema + ", ids array<int>"
-    rows = blocks(docs, split, buckets_of(docs), False, id_col, text_col)
-    return finish(work(rows, each), put, names, types, schema)
+    buckets = buckets_of(docs)
+    rows = work(blocks(docs, split, buckets, False, id_col, text_col), each, buckets)
+    return finish(rows, put, names, types, schema)
 
 
 def _bytes(sent) -> list[bytes]:
@@ -158,9 +159,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, pattern: str = pu
 
         return made
 
-    rows = blocks(docs, split, buckets_of(docs), True, id_col, text_col)
+    buckets = buckets_of(docs)
+    rows = work(blocks(docs, split, buckets, True, id_col, text_col), each, buckets)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    return finish(work(rows, each), put, ["doc_id", "n_bytes", "n_tokens", "over_limit"], types, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return finish(rows, put, ["doc_id", "n_bytes", "n_tokens", "over_limit"], types, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _counter(sent):

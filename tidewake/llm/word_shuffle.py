@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import bound_batches, pack, unpack
 
 #: Bytes of text in a block, and pre-tokens in a row of its documents, about.
-BLOCK, ROW = 16 << 20, 1 << 20
+BLOCK, ROW = 16 << 20, 1 << 17
 #: Words that begin alike share a bucket, where they compress well.
 PREFIX = 6
 WORDS, DOCS = 0, 1
@@ -78,9 +78,9 @@ class _Block:
             if mine:
                 own = [words[s] for s in mine]
                 yield spot, blk, WORDS, 0, pack(np.diff(rank[mine], prepend=np.uint32(0)), np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))
-        home = self.buckets + int.from_bytes(blk[:6], "little")
+        home = int.from_bytes(blk[:6], "little")
         for seq, data in enumerate(parts):
-            yield home, blk, DOCS, seq, np.uint32(len(words)).tobytes() + data
+            yield (home + seq) % self.buckets, blk, DOCS, seq, np.uint32(len(words)).tobytes() + data
 
     def _documents(self, docs: list[tuple], rank: np.ndarray) -> bytes:
         ids = np.array([d[0] or 0 for d in docs], "<i8").tobytes()
@@ -129,18 +129,18 @@ def _batches(rows: Iterator[tuple], size: int = 8 << 20) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], _NAMES)
 
 
-def work(rows: DataFrame, each: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
-    """rows with the words of each bucket replaced by what ``each`` gives for them, arrays of numbers; each sees a word of the corpus once."""
+def work(rows: DataFrame, each: Callable[[list[bytes]], list[np.ndarray]], buckets: int) -> DataFrame:
+    """rows with the words of each bucket replaced by what ``each`` gives for them, arrays of numbers; each sees a word of the corpus once.
+
+    A bucket is a partition of its own, so that buckets don't pile up by chance; documents pass through, spread by their block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
-        last = None
         for b in batches:
             out = []
             for spot, blk, kind, seq, data in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
                 if kind == WORDS:
-                    if spot != last:
-                        known, last = {}, spot
                     slots, lens, text = unpack(data)
                     ends = np.cumsum(lens.astype(np.int64))
                     words = [text[i:j] for i, j in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
@@ -151,7 +151,7 @@ def work(rows: DataFrame, each: Callable[[list[bytes]], list[np.ndarray]]) -> Da
                 out.append((spot, blk, kind, seq, data))
             yield from _batches(iter(out))
 
-    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(run, ROWS)
+    return rows.repartitionById(buckets, F.col("spot").cast("int")).mapInArrow(run, ROWS)
 
 
 class Words:
@@ -205,5 +205,5 @@ def finish(rows: DataFrame, put: Callable[[np.ndarray, np.ndarray], Callable[[li
 
 
 def buckets_of(docs: DataFrame) -> int:
-    """Buckets for the words: a few for each shuffle partition that the session asks for."""
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets for the words: one for each shuffle partition that the session asks for."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
