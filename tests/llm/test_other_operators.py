@@ -1,5 +1,6 @@
 """Classifier, chat repair, mixing, top-k and the pipeline against plain versions."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -186,10 +187,10 @@ def test_mix_against_a_plain_version(spark, max_epochs):
     extra = spark.createDataFrame([(None, "a b", None, None, 3), (900, None, "en", "src1", 0), (901, "", None, "odd", 0), (902, "x " * 9000, "xx", "odd", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.unionByName(extra).withColumnRenamed("n_chars", "tokens")  # a name that clashes
     path = [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
-    h = F.xxhash64(F.lit(20), F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    seen = docs.select("doc_id", F.array(*[F.coalesce(p, F.lit("")) for p in path]).alias("path"), h.alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    seen = seen.select("doc_id", "path", "text", F.array(*[F.xxhash64("h", F.lit(k).cast("int")) for k in range(4)]).alias("place"))
-    rows = [r.asDict() | {"tokens": len(r["text"].encode().split()), "place": [p % (1 << 64) for p in r["place"]]} for r in seen.collect()]
+    seen = docs.select("doc_id", F.array(*[F.coalesce(p, F.lit("")) for p in path]).alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    hashed = lambda s: hashlib.md5(s.encode()).hexdigest()
+    rows = [r.asDict() | {"tokens": len(r["text"].encode().split()), "h": hashed(f"20|{'null' if r['doc_id'] is None else r['doc_id']}|{r['text']}")} for r in seen.collect()]
+    rows = [r | {"place": [hashed(f"{r['h']}:{k}") for k in range(4)]} for r in rows]
     budget = sum(r["tokens"] for r in rows) * 2 // 3
     got, wanted = mixing.mix(docs, path, [mixing.DOMAINS, mixing.LANGS, {}], budget, max_epochs)
     names = got.columns
