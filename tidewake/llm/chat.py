@@ -220,3 +220,32 @@ def repair(conversations: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
+
+
+def _sql(costs: Costs = Costs()) -> str:
+    """The same in DuckDB: costs-to-go by recursion from the last turn, then the first cheapest way from the first."""
+    way = lambda w: f"{{'c': {w[0]}, 'n': {w[1]}, 'm': {str(w[2]).lower()}, 'p': {[ROLES[r] for r in w[3]]}::VARCHAR[]}}"
+    rows = ", ".join(f"({role}, [{', '.join('[' + ', '.join(map(way, ways)) + ']' for ways in by_state)}])" for role, by_state in enumerate(choices(costs)))
+    tails = ", ".join(f"{[ROLES[r] for r in closing(s)]}::VARCHAR[]" for s in range(4))
+    pick = "list_filter(c.ways[{0} + 1], lambda w: w.c + b1.v[w.n + 1] = b0.v[{0} + 1])[1]"
+    empties = "array_to_string(list_transform({0}, lambda r: '<|' || r || '|>' || chr(10) || '<|end|>' || chr(10)), '')"
+    return f"""
+WITH RECURSIVE ways_(code, ways) AS (VALUES {rows}),
+c0 AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS safe, count(*) OVER (PARTITION BY conv_id) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM conversations),
+c AS (SELECT c0.*, ways FROM c0 JOIN ways_ ON code = CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END),
+back(conv_id, k, v) AS (SELECT DISTINCT conv_id, n + 1, {end_costs(costs)} FROM c
+    UNION ALL SELECT c.conv_id, c.k, list_transform([1, 2, 3, 4], lambda s: list_min(list_transform(c.ways[s], lambda w: w.c + b.v[w.n + 1]))) FROM back b JOIN c ON c.conv_id = b.conv_id AND c.k = b.k - 1),
+walk(conv_id, k, state, way) AS (SELECT c.conv_id, c.k, 0, {pick.format("0")} FROM c JOIN back b0 ON b0.conv_id = c.conv_id AND b0.k = 1 JOIN back b1 ON b1.conv_id = c.conv_id AND b1.k = 2 WHERE c.k = 1
+    UNION ALL SELECT c.conv_id, c.k, x.way.n, {pick.format("x.way.n")} FROM walk x JOIN c ON c.conv_id = x.conv_id AND c.k = x.k + 1 JOIN back b0 ON b0.conv_id = c.conv_id AND b0.k = c.k JOIN back b1 ON b1.conv_id = c.conv_id AND b1.k = c.k + 1),
+r AS (SELECT c.*, state, way, {list(ROLES)}[way.n + 1] AS new_role, CASE WHEN c.k = n THEN [{tails}][way.n + 1] ELSE [] END AS tail FROM walk JOIN c USING (conv_id, k))
+SELECT conv_id, turn, k - 1 AS turn_no, role, new_role, CASE WHEN way.m THEN 'merge' WHEN len(way.p) > 0 THEN 'insert' ELSE 'keep' END || CASE WHEN role IS DISTINCT FROM new_role THEN '+relabel' ELSE '' END AS action,
+    (len(way.p) + len(tail))::INTEGER AS n_inserted,
+    CASE WHEN way.m THEN chr(10) || safe ELSE CASE WHEN state = 0 THEN '' ELSE '<|end|>' || chr(10) END || {empties.format("way.p")} || '<|' || new_role || '|>' || chr(10) || safe END
+      || CASE WHEN k = n THEN '<|end|>' || chr(10) || {empties.format("tail")} ELSE '' END AS rendered,
+    (way.c + CASE WHEN k = n THEN {end_costs(costs)}[way.n + 1] ELSE 0 END)::BIGINT AS cost
+FROM r
+"""
+
+
+OP4_SQL = _sql()

@@ -19,5 +19,8 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_chat_formatting": chat.OP4_SQL,
+    "op5_source_mixing": mixing.OP5_SQL,
+    "op9_span_dedup": span_dedup.OP9_SQL,
     "op10_exact_topk": topk.OP10_SQL,
 }

@@ -116,3 +116,22 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup_spans(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?
+]*[.!?]*[	- ]*'), lambda x: x <> '') AS s FROM documents),
+w AS (SELECT doc_id, s, list_transform(s, lambda x: list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+'), lambda y: y <> '')) AS ws FROM d),
+f AS (SELECT doc_id, list_filter(list_zip(ws, range(len(s))), lambda p: len(p[1]) > 0) AS kept FROM w),
+g AS (SELECT doc_id, list_transform(kept, lambda p: p[2]) AS pos, list_transform(kept, lambda p: array_to_string(p[1], ' ')) AS txt, list_transform(kept, lambda p: len(p[1])) AS n FROM f),
+e AS (SELECT doc_id, unnest(n) AS n, generate_subscripts(n, 1) AS k FROM g),
+c AS (SELECT doc_id, k, n, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto, sum(n) OVER (PARTITION BY doc_id ORDER BY k) - n AS before_ FROM e),
+ends AS (SELECT a.doc_id, a.k AS i, b.k AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k + 1 AND a.k + 19 AND b.upto - a.before_ >= 20),
+runs AS (SELECT doc_id, i, min(j) AS j FROM ends GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM ends GROUP BY doc_id, j UNION SELECT doc_id, k, k FROM c WHERE n >= 40),
+t AS (SELECT r.doc_id, pos[i] AS first_, pos[j] AS last_, array_to_string(txt[i:j], chr(10)) AS txt FROM runs r JOIN g USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY doc_id, first_) AS place FROM t),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(first_, last_ + 1)))) AS gone FROM o WHERE place > 1 GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(s, range(len(s))), lambda p: NOT list_contains(coalesce(gone, []), p[2])), lambda p: p[1]), ''), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
