@@ -37,7 +37,7 @@ def pose(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFr
     rejects = short.where(F.col("n") < width).select("file", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" columns")).alias("error")).unionByName(empty)
     at = lambda k: no_nan(F.trim(F.get("f", F.lit(k))).try_cast("double"))
     kp = F.array(*[F.struct(F.lit(p).alias("part"), at(1 + 3 * k).alias("x"), at(2 + 3 * k).alias("y"), at(3 + 3 * k).alias("likelihood")) for k, p in enumerate(PARTS)])
-    good = body.join(F.broadcast(rejects.select("file")), "file", "left_anti")
+    good = body.join(rejects.select("file"), "file", "left_anti")
     return good.select(stem(F.col("file")).alias("video_id"), F.col("frame").cast("long").alias("frame"), kp.alias("kp")), rejects
 
 
