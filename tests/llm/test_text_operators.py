@@ -46,6 +46,13 @@ def test_lines(docs, rows, empty):
     assert run(empty) == []
 
 
+def test_texts_of_many_repeated_lines(spark):
+    text = "\n".join(f"Line {k} of many" for k in range(20_000))
+    rows = [(k, text + f"\nown {k}") for k in range(11)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got} == {(k, 20_001, 20_000, f"own {k}") for k in range(11)}
+
+
 def test_line_runs_over_many_batches(spark):
     from tidewake.llm.common import Scratch
 

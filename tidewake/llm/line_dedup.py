@@ -69,26 +69,29 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(WHITE)))
 
 
-def _hashed(lines: Column, min_chars: int) -> Column:
-    """The key's hash of each line, null for keys of fewer code points."""
-    def one(key: Column) -> Column:
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit("line"), key).alias("lo")))
+def _hash_of(key: Column, min_chars: int) -> Column:
+    """The key's hash, null for a key of fewer code points."""
+    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit("line"), key).alias("lo")))
 
-    return F.transform(F.transform(lines, line_key), one)
+
+def _hashed(lines: Column, min_chars: int, distinct: bool = False) -> Column:
+    """The hash of each line's key; distinct: each key once (as strings, which Spark finds in a hash set)."""
+    keys = F.transform(lines, line_key)
+    return F.transform(F.array_distinct(keys) if distinct else keys, lambda k: _hash_of(k, min_chars))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): texts without the lines whose key is in min_docs documents or more.
 
     A document is a row: a repeated row counts again, and a line repeated in a row counts once. A null or empty text is one
-    empty line. A null doc_id is a document like any other. Rows are dealt into batches by their hash. Keys shuffle as 16-byte hashes, counted
-    before the shuffle, so a line of a third of all documents is one row from each task; texts move once, to meet the list
-    of their lines that go.
+    empty line. A null doc_id is a document like any other. Rows are dealt into batches by their hash. Keys shuffle as 16-byte
+    hashes, counted before the shuffle, so a line of a third of all documents is one row from each task; texts move once, to
+    meet the list of their lines that go.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_id(id_col, text_col).alias("rid"))
     lines = F.split("text", "\n", -1)
-    held = base.select("rid", F.array_distinct(_hashed(lines, min_chars)).alias("h")).select("rid", F.explode("h").alias("h")).where("h is not null")
+    held = base.select("rid", _hashed(lines, min_chars, distinct=True).alias("h")).select("rid", F.explode("h").alias("h")).where("h is not null")
     held = scratch.save(held.select("rid", "h.hi", "h.lo", F.pmod(F.col("rid.hi"), F.lit(batches)).cast("int").alias("batch")), "held")
     counts = scratch.save(held.groupBy("batch", "hi", "lo").agg(F.count("*").alias("docs")), "counts")
     runs = LineRuns(scratch, min_docs)
@@ -97,8 +100,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = held.join(scratch.save(runs.repeated(), "repeated"), ["hi", "lo"]).groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
     gone = scratch.save(gone, "gone")
     met = base.join(gone, "rid", "left").select("doc_id", lines.alias("lines"), "gone")
-    marked = met.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "lines", F.when(F.col("gone").isNotNull(), _hashed(F.col("lines"), min_chars)).alias("h"), "gone")
-    stay = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: F.element_at("h", i + 1).isNull() | ~F.array_contains("gone", F.element_at("h", i + 1))))
+    # long lists of lines that go are looked up by parts of their hash, so that a text of many such lines stays linear
+    parts = F.when(F.size("gone") > 64, 256).otherwise(1)
+    split = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.filter("gone", lambda g: F.pmod(g["hi"], parts) == k))
+    marked = met.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "lines", F.when(F.col("gone").isNotNull(), _hashed(F.col("lines"), min_chars)).alias("h"), F.when(F.col("gone").isNotNull(), split).alias("gone"))
+
+    def goes(h: Column) -> Column:
+        own = F.element_at("gone", (F.pmod(h["hi"], F.size("gone")) + 1).cast("int"))
+        return F.coalesce(F.array_contains(own, h), F.lit(False))
+
+    stay = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~goes(F.element_at("h", i + 1))))
     kept = marked.select("doc_id", "n_lines", stay.alias("kept"))
     return kept.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
