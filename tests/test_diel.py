@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewake.config import DielConfig
 from tidewake.functions import text, values
 from tidewake.operators import activity, diel, media
 

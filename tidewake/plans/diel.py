@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.config import DielConfig
 from tidewake.functions.values import numeric, period
 from tidewake.operators import diel
 from tidewake.plans.common import OBS, observations, rounded, sql_rounded, table
