@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import bound_batches, table
+from tidewake.llm.common import Scratch, bound_batches, table
 
 #: Words, shapes and the rest are hashed to the first SIZE weights, runs of bytes to the second.
 BITS = 18
@@ -147,7 +147,7 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality.isNull(), None).when(F.coalesce(toxic, F.lit(0)) > 0, 0).when(quality > 0, 2).otherwise(1)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, n_grades: int = 3, min_df: int = 8, common: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """labels: (doc_id, quality, toxic). Of several labels for a doc_id the worst grade counts, of several texts the greatest."""
     graded = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade")).where("grade is not null")
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -163,9 +163,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, n_grades: int
                 value.append(np.concatenate([v, np.ones(len(r))]).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "grade", "at", "value"])
 
-    rows = sorted(met.mapInArrow(run, "doc_id long, grade int, at binary, value binary").collect(), key=lambda r: r["doc_id"])
-    parsed = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
-    return fit(parsed, np.array([r["grade"] for r in rows], np.int64), n_grades)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(2 * SIZE, np.int64)
+        for b in batches:
+            for x in b.column("at"):
+                held[np.frombuffer(x.as_py(), "<i4")] += 1  # a text has a feature once
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(held[seen])], ["feature", "n"])
+
+    # features are counted and thinned on the executors, so the driver gets those that can have a weight
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.save(met.mapInArrow(run, "doc_id long, grade int, at binary, value binary"), "features")
+    n = rows.count()
+    counts = rows.select("at").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    allowed = np.zeros(2 * SIZE, bool)
+    allowed[counts.where((F.col("n") >= min_df) & ((F.col("feature") < SIZE) | (F.col("n") <= max(min_df, common * n)))).select("feature").toArrow().column(0).to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(allowed)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = sent.value
+        for b in batches:
+            at, value = [], []
+            for x, v in zip(b.column("at"), b.column("value"), strict=True):
+                x, v = np.frombuffer(x.as_py(), "<i4"), np.frombuffer(v.as_py(), "<f4")
+                at.append(x[keep[x]].tobytes())
+                value.append(v[keep[x]].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "grade", "at", "value"])
+
+    got = rows.mapInArrow(thin, rows.schema).toArrow().sort_by("doc_id")
+    parsed = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")) for a, v in zip(got.column("at"), got.column("value"), strict=True)]
+    return fit(parsed, got.column("grade").to_numpy().astype(np.int64), n_grades, min_df, common)
 
 
 def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Column:
