@@ -163,6 +163,12 @@ def test_collinear_points_have_no_circle(spark):
     assert got["curvature_1_px"] is None and got["curvature_1_class"] is None
 
 
+def test_arc_length_bounds(spark):
+    df = frames.flags(video(spark, [0], {(0, "MFC3"): (0.0, 5.0, 0.9)}))
+    fits = [frames.curvature(df, FrameConfig(length_mm=b), ("curvature_1",)).first()["curvature_1_px"] for b in ((None, None), (100.0, 200.0), (200.0, None), (None, 100.0))]
+    assert fits[0] is not None and fits[0] == fits[1] and fits[2] is None and fits[3] is None
+
+
 def test_unknown_fit_is_an_error():
     with pytest.raises(ValueError):
         circles.fit(arc(10)[None], "other")

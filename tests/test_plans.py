@@ -33,6 +33,10 @@ def test_frames_need_one_exchange_and_sort(spark, tmp_path):
     assert count(got, "Exchange") == 1 and count(got, "Sort") == 1
 
 
+def test_fits_of_all_sets_are_one_trip_to_python(spark):
+    assert count(plan(frames.curvature(frames.flags(common.poses(spark, DATA)))), "ArrowEvalPython") == 1
+
+
 def test_windows_need_one_exchange(spark, tmp_path):
     common.tracking(spark, DATA).write.parquet(str(tmp_path / "t"))
     got = plan(windows.window_table(windows.prepare(spark.read.parquet(str(tmp_path / "t")))))

@@ -146,16 +146,21 @@ def _curvature_columns(df: DataFrame, name: str, kappa: Column, radius: Column,
 
 def curvature(df: DataFrame, cfg: FrameConfig = FrameConfig(), sets: tuple[str, ...] = tuple(CURVATURE_SETS)) -> DataFrame:
     """Curvature columns of each set on accepted frames, by the configured fit."""
+    low, high = cfg.length_mm
+    fits = {}
     for name in sets:
         points = F.array(*[at("pts", p) for p in CURVATURE_SETS[name]])
         seen = F.filter(points, lambda p: p.isNotNull())
-        arc = path_length([at("pts", p) for p in CURVATURE_SETS[name]]) * cfg.mm_per_px
         usable = F.col("accepted") & (F.size(seen) >= CURVATURE_MIN_POINTS[name])
-        low, high = cfg.length_mm
-        usable = usable & (arc >= low if low is not None else F.lit(True)) & (arc <= high if high is not None else F.lit(True))
-        df = df.withColumn("_fit", fit_circle(F.when(usable, seen), cfg.fit))
-        df = _curvature_columns(df, name, F.col("_fit.kappa"), F.col("_fit.radius"), F.col("_fit.cx"), F.col("_fit.cy"), cfg).drop("_fit")
-    return df
+        if low is not None or high is not None:
+            arc = path_length([at("pts", p) for p in CURVATURE_SETS[name]]) * cfg.mm_per_px
+            usable = usable & (arc >= low if low is not None else F.lit(True)) & (arc <= high if high is not None else F.lit(True))
+        fits[f"_fit_{name}"] = fit_circle(F.when(usable, seen), cfg.fit)
+    df = df.withColumns(fits)  # one trip to Python for all sets
+    for name in sets:
+        fit = F.col(f"_fit_{name}")
+        df = _curvature_columns(df, name, fit["kappa"], fit["radius"], fit["cx"], fit["cy"], cfg)
+    return df.drop(*fits)
 
 
 def curvature_by_ends(df: DataFrame, name: str = "curvature_1", cfg: FrameConfig = FrameConfig()) -> DataFrame:
