@@ -24,6 +24,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_copies(docs)
 
 
+def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same where 5-word shingles of a Jaccard similarity of 0.8 link as well."""
+    return simhash.drop_near_copies(docs, jaccard=0.8)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Half of the tokens, shared out over domains, languages and sources by the production weights; one epoch, so no document comes twice."""
     return mixing.production_mix(docs, share_of_tokens=0.5, max_epochs=1).select(*docs.columns)
@@ -37,7 +42,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality classifier", keep_quality),
     ("exact dedup", drop_exact_copies),
-    ("simhash near-dedup", drop_near_copies),
+    ("simhash near-dedup", drop_near_texts),
     ("source mixing", mix_sources),
     ("byte bpe", encode_bytes),
 ]

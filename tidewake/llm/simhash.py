@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.llm import shingles
 from tidewake.llm.common import Scratch, keep_rows, row_id, table
 from tidewake.llm.components import star_components
 
@@ -53,16 +54,22 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(pieces)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, rid, fp) of every row: one pass over whole texts, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, bands: bool = False) -> DataFrame:
+    """(doc_id, rid, fp) of every row, and with ``bands`` (wid, size, bands) of its shingles: one pass over whole texts, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(t.as_py(), width, seed) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(fp, pa.int64())], ["doc_id", "rid", "fp"])
+            cols, names = [b.column("doc_id"), b.column("rid"), pa.array(fp, pa.int64())], ["doc_id", "rid", "fp"]
+            if bands:
+                wid = pa.array([shingles.same_words(t.as_py()) for t in b.column("text")], pa.int64())
+                sets = [shingles.shingles(t.as_py()) for t in b.column("text")]
+                cols += [wid, pa.array(map(len, sets), pa.int32()), pa.array(map(shingles.bands, sets), pa.list_(pa.int64()))]
+                names += ["wid", "size", "bands"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("binary").alias("text"))
-    return base.mapInArrow(run, "doc_id long, rid struct<hi:long,lo:long>, fp long")
+    return base.mapInArrow(run, "doc_id long, rid struct<hi:long,lo:long>, fp long" + (", wid long, size int, bands array<long>" if bands else ""))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -88,27 +95,33 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 2, crowd: int = 64)
     return pairs.union(hubs).distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, crowd: int = 64) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, crowd: int = 64, jaccard: float | None = None) -> DataFrame:
     """(doc_id, rid, fp, component_id, keep_key) of every row.
 
+    jaccard: texts whose sets of 5-word shingles are that similar link too, however far apart their fingerprints are (``shingles``).
+
     component_id: the least doc_id reachable over links; keep_key: the rid of one row that has it. Nulls: a null text has no
     words; a null doc_id counts after every number, and a component of nulls only has a null id. Repeated rows and ties get
     equal results. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, width), "prints")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, width, bands=jaccard is not None), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     prints = scratch.save(rows.groupBy("fp").agg(first), "distinct")
-    stars = star_components(links(prints.select("fp"), scratch, crowd=crowd), scratch)
+    linked = links(prints.select("fp"), scratch, crowd=crowd)
+    if jaccard is not None:
+        texts = docs.select(row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("binary").alias("text"))
+        linked = linked.union(shingles.links(rows, texts, scratch, jaccard))
+    stars = star_components(linked, scratch)
     rooted = prints.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     named = scratch.save(rooted.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep_key")), "named")
     return rows.join(named, "fp").select("doc_id", "rid", "fp", "component_id", "keep_key")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """docs without the rows of each component that are not its first; columns as they were."""
-    named = components(docs, id_col, text_col)
+    named = components(docs, id_col, text_col, jaccard=jaccard)
     keep = named.where(F.col("rid") == F.col("keep_key")).groupBy("keep_key").agg(F.count("*").alias("n"))
     keep = Scratch(docs.sparkSession, "simhash-keep").save(keep, "keep")
     return keep_rows(docs, keep, row_id(id_col, text_col), again=not keep.where("n > 1").isEmpty())
