@@ -27,6 +27,8 @@ from tidewake.llm.common import Scratch, bound_batches, table
 BITS = 18
 SIZE = 1 << BITS
 RUN_BYTES = 4
+#: Longer words are worked out each time, so that what is remembered stays small.
+KNOWN_BYTES = 64
 _MARKS = b" \t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASS = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -40,12 +42,13 @@ def _hash(kind: bytes, value: bytes) -> int:
 def _word(w: bytes) -> tuple[int, int]:
     got = _KNOWN.get(w)
     if got is None:
-        shape = _RUN.sub(rb"\1", w[:64].translate(_CLASS))
+        shape = _RUN.sub(rb"\1", w.translate(_CLASS))
         core = w.strip(_MARKS).lower()
         got = (_hash(b"w", core) if core else -1, _hash(b"s", shape))
-        if len(_KNOWN) >= 100_000:
-            _KNOWN.clear()
-        _KNOWN[w] = got
+        if len(w) <= KNOWN_BYTES:
+            if len(_KNOWN) >= 100_000:
+                _KNOWN.clear()
+            _KNOWN[w] = got
     return got
 
 
