@@ -77,14 +77,22 @@ def describe_prices(spark: SparkSession, d: str) -> DataFrame:
     return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[c.alias(k) for k, c in cols.items()]), 3)
 
 
-def horizontal_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Figures over four columns of a row, gaps left out."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+def _horizontal(li: DataFrame) -> DataFrame:
     q, t, s = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     cols = windows.horizontal([F.when(q > 25, q), t, s, F.when(q < 10, q * 2)])
     return rounded(li.select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(k) for k, c in cols.items()]))
 
 
+def horizontal_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Figures over four columns of a row, gaps left out; orders divisible by 50 only."""
+    return _horizontal(table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+def horizontal_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every row."""
+    return _horizontal(table(spark, d, "lineitem"))
+
+
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 200 frames over all events, the last one short."""
     ev = table(spark, d, "events").select("event_id", "value")
@@ -163,7 +171,7 @@ _SECTIONS = f"""SELECT 'global_frequency' AS section, 'O' AS variant, *, {_SHARE
 QUERIES = {
     "window_increments": increments, "window_cumulative_series": cumulative_series, "window_table": window_table, "window_table_rounded": rounded_window_table, "window_tumbling": tumbling_windows,
     "file_summary": file_summary, "file_bending": bending_by_file, "integrated_sections": integrated, "integrated_root_rollup": root_rollup, "order_rollup": order_rollup,
-    "arg_max_part": arg_max_part, "describe_prices": describe_prices, "horizontal_stats": horizontal_stats,
+    "arg_max_part": arg_max_part, "describe_prices": describe_prices, "horizontal_stats": horizontal_stats, "horizontal_stats_all": horizontal_stats_all,
 }
 
 ORACLES = {
@@ -181,3 +189,4 @@ ORACLES = {
     "describe_prices": sql_rounded([f"l_extendedprice_{s}" for s in ("mean", "median", "std", "min", "max", "p10", "p90", "nonzero_ratio")], f"SELECT l_returnflag, {_eight('l_extendedprice')} FROM lineitem GROUP BY 1", digits=3),
     "horizontal_stats": sql_rounded("mean median min max", "SELECT l_orderkey, l_linenumber, l_partkey, list_avg(v) AS mean, list_median(v) AS median, list_min(v) AS min, list_max(v) AS max, len(v)::INTEGER AS n FROM (SELECT *, list_filter([CASE WHEN l_quantity > 25 THEN l_quantity END, l_tax, l_discount, CASE WHEN l_quantity < 10 THEN l_quantity * 2 END], lambda x: x IS NOT NULL) AS v FROM lineitem WHERE l_orderkey % 50 = 0)"),
 }
+ORACLES["horizontal_stats_all"] = ORACLES["horizontal_stats"].replace(" WHERE l_orderkey % 50 = 0", "")
