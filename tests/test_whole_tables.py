@@ -5,7 +5,7 @@ import pytest
 from tests.conftest import DATA
 from tidewake.plans import misc, windows
 
-WHOLE = {"horizontal_stats_all": "lineitem"}
+WHOLE = {"horizontal_stats_all": "lineitem", "numeric_coercion_all": "orders"}
 
 
 @pytest.mark.parametrize("name, source", WHOLE.items())

@@ -111,12 +111,21 @@ def crop_geometry(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", *[c.cast("long").alias(n) for n, c in crop(F.col("w"), F.col("h"), F.col("ox"), F.col("oy"), F.lit(640), F.lit(360)).items()])
 
 
-def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 5 = 0")
+def _coerced(o: DataFrame) -> DataFrame:
     t = F.when(F.col("o_orderkey") % 3 == 0, F.format_number("o_totalprice", 2)).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).otherwise(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")))
     return rounded(o.select("o_orderkey", values.numeric(t, commas=True).alias("with_commas"), values.numeric(t).alias("plain")), 2)
 
 
+def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """Orders divisible by 5 only."""
+    return _coerced(table(spark, d, "orders").where("o_orderkey % 5 = 0"))
+
+
+def numeric_coercion_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every order."""
+    return _coerced(table(spark, d, "orders"))
+
+
 def session_progress(spark: SparkSession, d: str) -> DataFrame:
     got = table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("done"), F.when(F.col("o_orderkey") % 10 == 0, 0).otherwise(100).alias("total"))
     return rounded(media.progress(got))
@@ -132,7 +141,7 @@ def frame_minutes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "activity_state_counts": state_counts, "activity_transitions": transitions, "activity_movement": movement, "activity_class_shares": class_shares, "activity_valid_classes": valid_classes,
     "activity_histogram": histogram, "activity_density": density, "media_best_snapshot": best_snapshot, "media_corrupted": corrupted, "media_last_good": last_good, "media_progress": session_progress,
-    "text_keys": text_keys, "video_routing": video_routing, "video_unlabeled": unlabeled_videos, "crop_geometry": crop_geometry, "numeric_coercion": numeric_coercion, "frame_minutes": frame_minutes,
+    "text_keys": text_keys, "video_routing": video_routing, "video_unlabeled": unlabeled_videos, "crop_geometry": crop_geometry, "numeric_coercion": numeric_coercion, "numeric_coercion_all": numeric_coercion_all, "frame_minutes": frame_minutes,
 }
 
 _LABEL = "CASE WHEN value > 200 THEN 'Invalid' WHEN value > 100 THEN 'Extreme' WHEN value > 40 THEN 'Normal' WHEN value > 5 THEN 'Minimal' END AS label"
@@ -160,3 +169,4 @@ ORACLES = {
     "numeric_coercion": sql_rounded("with_commas plain", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 2 THEN o_orderkey::DOUBLE END AS with_commas, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN round(o_totalprice, 2) < 1000 THEN o_totalprice END WHEN 2 THEN o_orderkey::DOUBLE END AS plain FROM orders WHERE o_orderkey % 5 = 0", digits=2),
     "frame_minutes": sql_rounded("minute chunk_minute", "SELECT user_id, frame::INTEGER AS frame, frame / 60.0::DOUBLE AS minute, frame * 1.5::DOUBLE AS chunk_minute FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) WHERE frame % 10 = 0"),
 }
+ORACLES["numeric_coercion_all"] = ORACLES["numeric_coercion"].replace(" WHERE o_orderkey % 5 = 0", "")
