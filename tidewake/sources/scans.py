@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import codecs
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.config import PARTS
@@ -13,9 +13,9 @@ from tidewake.functions.text import is_video, stem
 from tidewake.functions.values import no_nan, numeric
 
 VIDEO = (".mp4", ".avi", ".mov", ".mkv")
-_ENCODINGS = ("utf-8", "cp1252")
 #: Where Windows-1252 differs from Latin-1, which Spark reads.
 _LATIN = [(chr(b), t) for b in range(0x80, 0xA0) if (t := bytes([b]).decode("cp1252", "ignore"))]
+_UNDEFINED = [b for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore")]
 
 
 def _pose_schema() -> str:
@@ -50,26 +50,18 @@ def _without_bom(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def encoding_of(head: bytes) -> str | None:
-    """The first encoding that reads a file's head: UTF-8 with or without mark, then Windows-1252."""
-    body = head.removeprefix(codecs.BOM_UTF8)
-    for name in _ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)().decode(body)
-        except UnicodeDecodeError:
-            continue
-        return name
-    return None
+def encoding_of(content: Column) -> Column:
+    """The first encoding that reads all bytes of a file: UTF-8 with or without mark, then Windows-1252; null where neither does."""
+    undefined = reduce(Column.__or__, [F.contains(content, F.lit(bytes([b]))) for b in _UNDEFINED])
+    return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").when(~undefined, "cp1252")
 
 
 def tracking(spark: SparkSession, paths: str | list[str], root: str | None = None) -> DataFrame:
     """Tracking or window tables with a header; columns are text, ``source_path`` and ``root`` are added. Files may differ in encoding."""
     groups: dict[str, list[str]] = {}
-    listed = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, 65536).alias("head"))
-    for row in listed.toLocalIterator():
-        name = encoding_of(bytes(row["head"]))
-        if name:
-            groups.setdefault(name, []).append(row["path"])
+    listed = spark.read.format("binaryFile").load(paths).select("path", encoding_of(F.col("content")).alias("encoding"))
+    for row in listed.where("encoding is not null").toLocalIterator():
+        groups.setdefault(row["encoding"], []).append(row["path"])
     if not groups:
         raise ValueError("no readable file")
     parts = [_read(spark, e, files).withColumn("source_path", F.input_file_name()) for e, files in sorted(groups.items())]
