@@ -3,7 +3,8 @@
 import pytest
 
 from tests.conftest import DATA
-from tidewake.plans import misc, windows
+from tidewake.operators import diel as operators
+from tidewake.plans import common, diel, misc, windows
 
 WHOLE = {"horizontal_stats_all": "lineitem", "numeric_coercion_all": "orders"}
 
@@ -14,3 +15,10 @@ def test_every_row_is_there(name, source, spark, duck):
     n = spark.read.parquet(f"{DATA}/{source}.parquet").count()
     assert queries[name](spark, DATA).count() == n
     assert duck.execute(f"SELECT count(*) FROM ({oracles[name]})").fetchone()[0] == n
+
+
+@pytest.mark.parametrize("name", ["bubble_raster", "annotation_means"])
+def test_every_observation_is_there(name, spark):
+    whole = common.rounded(getattr(operators, name)(common.observations(spark, DATA)))
+    assert sorted(map(repr, diel.QUERIES[f"diel_{name}_all"](spark, DATA).collect())) == sorted(map(repr, whole.collect()))
+    assert "150" not in diel.ORACLES[f"diel_{name}_all"] and "value > 100" not in diel.ORACLES[f"diel_{name}_all"]

@@ -41,9 +41,14 @@ def date_hour_pivot_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bubble_raster(spark: SparkSession, d: str) -> DataFrame:
+    """Only large values: some cells are missing."""
     return rounded(diel.bubble_raster(observations(spark, d).where("value > 100")))
 
 
+def bubble_raster_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(diel.bubble_raster(observations(spark, d)))
+
+
 def daily_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diel.daily_mean(observations(spark, d)))
 
@@ -84,9 +89,14 @@ def cumulative_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotation_means(spark: SparkSession, d: str) -> DataFrame:
+    """Only large values: some cells are missing."""
     return rounded(diel.annotation_means(observations(spark, d).where("value > 150")))
 
 
+def annotation_means_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(diel.annotation_means(observations(spark, d)))
+
+
 def date_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diel.daily_mean(diel.date_range(observations(spark, d), "20240105", "20240120")))
 
@@ -122,10 +132,10 @@ _H = " ".join(f"h{h}" for h in range(24))
 
 QUERIES = {
     "diel_hourly": hourly, "diel_hourly_partial": hourly_partial, "diel_combined_hourly": combined_hourly, "diel_day_night": day_night,
-    "diel_date_hour_pivot": date_hour_pivot, "diel_date_hour_pivot_max": date_hour_pivot_max, "diel_bubble_raster": bubble_raster,
+    "diel_date_hour_pivot": date_hour_pivot, "diel_date_hour_pivot_max": date_hour_pivot_max, "diel_bubble_raster": bubble_raster, "diel_bubble_raster_all": bubble_raster_all,
     "diel_daily_mean": daily_mean, "diel_daily_row_max": daily_row_max, "diel_icc": icc, "diel_reliability": reliability, "diel_index": diel_index,
     "diel_weekly_extreme": weekly_extreme, "diel_rolling_mean": rolling_mean, "diel_rolling_bootstrap": rolling_bootstrap, "diel_cumulative_max": cumulative_max,
-    "diel_annotation_means": annotation_means, "diel_date_range": date_range, "diel_distinct_days": distinct_days, "diel_keyed_hours": keyed_hours,
+    "diel_annotation_means": annotation_means, "diel_annotation_means_all": annotation_means_all, "diel_date_range": date_range, "diel_distinct_days": distinct_days, "diel_keyed_hours": keyed_hours,
     "diel_primary_series": primary_series,
 }
 
@@ -157,3 +167,5 @@ ORACLES = {
         CAST(least(greatest(hour(ts) + event_id % 4, 1), 24) - 1 AS INTEGER) AS hour_bin, CASE WHEN event_id % 7 <> 0 THEN round(value * 1000, 2) END AS value FROM events WHERE event_id % 11 <> 0)"""),
     "diel_primary_series": sql_rounded("value", "SELECT date, avg(CASE WHEN value > 400 THEN (value + value * 2 + value) / 3 WHEN value > 50 THEN (value + value * 2) / 2 ELSE value END) AS value FROM o GROUP BY date", OBS),
 }
+ORACLES["diel_bubble_raster_all"] = ORACLES["diel_bubble_raster"].replace(" WHERE value > 100", "")
+ORACLES["diel_annotation_means_all"] = ORACLES["diel_annotation_means"].replace(" WHERE value > 150", "")
