@@ -1,8 +1,11 @@
 """Whole files decide how they are read, and whole tables are drawn."""
 
+import sys
+import types
+
 import pytest
 
-from tidewake.sources import scans
+from tidewake.sources import scans, sinks
 
 
 @pytest.mark.parametrize("letter, ending, encoding", [("é", "", "cp1252"), ("“", "", "cp1252"), ("é", "", "utf-8"), ("x", "é", "cp1252")])
@@ -17,3 +20,15 @@ def test_a_file_that_no_encoding_reads_is_left_out(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"frame,note\n" + b"1,a\n" * 20_000 + b"2,\x81\xff\n")
     (tmp_path / "b.csv").write_bytes(b"frame,note\n3,b\n")
     assert [r["frame"] for r in scans.tracking(spark, str(tmp_path)).collect()] == ["3"]
+
+
+def test_a_figure_draws_all_rows_or_none(spark, tmp_path, monkeypatch):
+    drawn, axes = [], types.SimpleNamespace(figure=types.SimpleNamespace(savefig=lambda path: None))
+    pyplot = types.SimpleNamespace(close=lambda figure: None)
+    monkeypatch.setitem(sys.modules, "matplotlib", types.SimpleNamespace(use=lambda backend: None, pyplot=pyplot))
+    monkeypatch.setattr("pandas.DataFrame.plot", lambda pdf, x, y: drawn.append(len(pdf)) or axes)
+    df = spark.range(20).selectExpr("id as x", "id as y")
+    assert sinks.figure(df, str(tmp_path / "f.png"), "x", ["y"], most=20) and drawn == [20]
+    with pytest.raises(ValueError, match="19 points"):
+        sinks.figure(df, str(tmp_path / "f.png"), "x", ["y"], most=19)
+    assert drawn == [20]

@@ -58,7 +58,10 @@ def rejects(df: DataFrame, path: str) -> None:
 
 
 def figure(df: DataFrame, path: str, x: str, ys: list[str], most: int = 10_000) -> bool:
-    """A line plot of a small aggregate where a plotting library is there; the data of every figure is a table first."""
+    """A line plot of a small aggregate where a plotting library is there; the data of every figure is a table first.
+
+    A table of more than ``most`` rows is an error: aggregate it before.
+    """
     try:
         import matplotlib
     except ImportError:
@@ -66,7 +69,9 @@ def figure(df: DataFrame, path: str, x: str, ys: list[str], most: int = 10_000)
     matplotlib.use("Agg")
     from matplotlib import pyplot
 
-    pdf = df.select(x, *ys).orderBy(x).limit(most).toPandas()
+    pdf = df.select(x, *ys).orderBy(x).limit(most + 1).toPandas()
+    if len(pdf) > most:
+        raise ValueError(f"a figure holds {most} points at most: aggregate the table first")
     axes = pdf.plot(x=x, y=ys)
     axes.figure.savefig(path)
     pyplot.close(axes.figure)
