@@ -5,9 +5,10 @@ least values under BANDS x DEPTH = 24 x 5 multipliers make 24 keys; texts that s
 none with probability (1 - s^5)^24: 7 in 100,000 pairs at 0.8, none to speak of above 0.85. Pairs that meet are held against
 each other by their whole sets, so every link is exact.
 
-A key with over ``crowd`` distinct texts isn't paired. Its texts are held against hubs among them; those that no hub links stay
-in the crowd for another round with twice the hubs, until the rest is small enough to be paired. There a pair can be missed
-if only one of the two is linked to a hub and they share no other key.
+Every key's texts are first held against one hub among them, the same for many keys. Texts that are in one component by then
+need no more links among them, so only pairs across components are held against each other, in keys of up to ``crowd`` texts.
+In a larger key those outside of the hub's component choose another hub, round by round. There a pair can be missed if only
+one of the two is in a hub's component and they share no smaller key.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import Scratch
+from tidewake.llm.components import star_components
 
 WIDTH, BANDS, DEPTH = 5, 24, 5
 _PLACE = np.array([xxhash.xxh64_intdigest(f"place{k}") | 1 for k in range(WIDTH)], np.uint64)
@@ -91,42 +93,44 @@ def _fits(a: str, b: str, least: float) -> Column:
 
 
 def _paired(met: DataFrame, least: float) -> DataFrame:
-    x, y = met.select("key", F.col("wid").alias("a"), F.col("size").alias("size_a")), met.select("key", F.col("wid").alias("b"), F.col("size").alias("size_b"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & _fits("size_a", "size_b", least)).select("a", "b")
+    x, y = (met.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("wid", "size", "group")]) for k in "ab")
+    fit = (F.col("wid_a") < F.col("wid_b")) & (F.col("group_a") != F.col("group_b")) & _fits("size_a", "size_b", least)
+    return x.join(y, "key").where(fit).select(F.col("wid_a").alias("a"), F.col("wid_b").alias("b"))
 
 
 def links(rows: DataFrame, texts: DataFrame, scratch: Scratch, least: float = 0.8, crowd: int = 32, rounds: int = 60) -> DataFrame:
-    """rows (rid, fp, wid, size, bands) and texts (rid, text binary) -> (a, b): fingerprints of texts that are alike."""
+    """rows (rid, fp, wid, size, bands) and texts (rid, text binary) -> (a, b): fingerprints of texts that are alike, enough of them for the components."""
     one = rows.where("size > 0").groupBy("wid").agg(F.min(F.struct("rid", "fp", "size", "bands")).alias("r")).select("wid", "r.*")
     one = scratch.save(one, "texts")
     keys = one.select("wid", "size", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.save(keys.join(shared, "key"), "meet")
-    asked = scratch.save(_paired(met.where(F.col("n") <= crowd), least).distinct(), "asked")
-    left = met.where(F.col("n") > crowd).select("key", "wid", "size")
-    wanted = asked.select(F.col("a").alias("wid")).union(asked.select("b")).union(left.select("wid")).distinct()
-    wanted = one.select("wid", "rid", "fp").join(wanted, "wid")
+    wanted = one.select("wid", "rid", "fp").join(met.select("wid").distinct(), "wid")
     sets = _sets(wanted.join(texts, "rid")).groupBy("wid").agg(F.first("fp").alias("fp"), F.first("held").alias("held"))
     sets = scratch.save(sets, "sets")
-    found = [scratch.save(_alike(asked, sets, least), "alike")]
+    found = scratch.spark.createDataFrame([], "a long, b long, fp_a long, fp_b long")
+    left = met.select("key", "wid", "size", F.col("wid").alias("group"))
     for k in range(rounds):
+        hub = F.min(F.struct(F.xxhash64(F.lit(k), "wid"), F.col("wid").alias("hub"), F.col("size").alias("hub_size"), F.col("group").alias("hub_group"))).alias("h")
+        hubs = scratch.save(left.groupBy("key").agg(hub).select("key", "h.hub", "h.hub_size", "h.hub_group"), f"hubs{k}")
+        asked = left.join(hubs, "key").where((F.col("group") != F.col("hub_group")) & _fits("size", "hub_size", least)).select(F.least("hub", "wid").alias("a"), F.greatest("hub", "wid").alias("b"))
+        found = found.union(scratch.save(_alike(asked.distinct(), sets, least), f"alike-hubs{k}"))
+        # texts of one component need no more links among them; the others of a key stay, without its hub's component
+        roots = scratch.save(star_components(found.select("a", "b"), Scratch(scratch.spark, "shingles")), f"roots{k}")
+        named = met.select("key", "wid", "size").join(roots.withColumnRenamed("node", "wid"), "wid", "left").select("key", "wid", "size", F.coalesce("root", "wid").alias("group"))
+        if k:
+            named = named.join(left.select("key", "wid"), ["key", "wid"], "left_semi")
+        done = hubs.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", "hub", F.coalesce("root", "hub").alias("hub_group"))
+        rest = named.join(done, "key").where(F.col("group") != F.col("hub_group")).select("key", "wid", "size", "group")
+        many = rest.groupBy("key").agg(F.count("*").alias("n"))
+        whole = named.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+        rest = scratch.save(named.join(whole.join(many, "key"), "key").join(done, "key"), f"rest{k}")
+        # a small key is paired whole; of a large one only what its hub's component left
+        pairs = scratch.save(_paired(rest.where(F.col("m") <= crowd), least).distinct(), f"asked{k}")
+        found = found.union(scratch.save(_alike(pairs, sets, least), f"alike{k}"))
+        left = rest.where((F.col("m") > crowd) & (F.col("n") > 1) & (F.col("group") != F.col("hub_group"))).select("key", "wid", "size", "group")
         if left.isEmpty():
             break
-        best = [F.min(F.struct(F.xxhash64(F.lit(k), F.lit(s), "wid"), F.col("wid").alias("hub"), F.col("size").alias("hub_size"))) for s in range(1 << min(k, 5))]
-        hubs = left.groupBy("key").agg(F.array_distinct(F.array(*best)).alias("h")).select("key", F.explode("h").alias("h")).select("key", "h.hub", "h.hub_size")
-        by_hub = left.join(hubs, "key").where((F.col("wid") != F.col("hub")) & _fits("size", "hub_size", least))
-        asked = by_hub.select(F.col("hub").alias("a"), F.col("wid").alias("b")).distinct()
-        alike = scratch.save(_alike(asked, sets, least), f"alike-hubs{k}")
-        done = by_hub.join(alike.select(F.col("a").alias("hub"), F.col("b").alias("wid")), ["hub", "wid"]).select("key", "wid").union(hubs.select("key", F.col("hub").alias("wid"))).distinct()
-        rest = left.join(done, ["key", "wid"], "left_anti")
-        many = rest.groupBy("key").agg(F.count("*").alias("n"))
-        rest = scratch.save(rest.join(many, "key"), f"rest{k}")
-        pairs = scratch.save(_paired(rest.where(F.col("n") <= crowd), least).distinct(), f"asked{k}")
-        found += [alike, scratch.save(_alike(pairs, sets, least), f"alike-rest{k}")]
-        left = rest.where(F.col("n") > crowd).select("key", "wid", "size")
     else:
         raise RuntimeError(f"crowds are left after {rounds} rounds")
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.where("fp_a <> fp_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    return found.where("fp_a <> fp_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
