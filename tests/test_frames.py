@@ -169,6 +169,32 @@ def test_arc_length_bounds(spark):
     assert fits[0] is not None and fits[0] == fits[1] and fits[2] is None and fits[3] is None
 
 
+def test_settings_by_set(spark):
+    df = frames.flags(video(spark, [0], {(0, "MFC3"): (0.0, 5.0, 0.9), (0, "Tail2"): (0.0, 30.0, 0.9)}))
+    cfg = FrameConfig(sets={"front": PARTS[:6], "back": PARTS[5:]}, length_mm={"front": (None, 50.0)})
+    got = frames.curvature(df, cfg).first()
+    assert got["front_px"] is None and got["back_px"] is not None and cfg.least_points("front") == 5
+
+
+def test_weights_choose_the_triplet():
+    rng = np.random.default_rng(2)
+    p = rng.normal(0, 50, (6, 5, 2))
+    w = rng.uniform(0, 3, (6, 5))
+    got = circles.fit(p, "threept", w)
+    for row, points, weights in zip(got, p, w, strict=True):
+        best = max(((abs(np.linalg.det([points[j] - points[i], points[k] - points[i]])) * (weights[i] + weights[j] + weights[k]), (i, j, k)) for i in range(5) for j in range(i + 1, 5) for k in range(j + 1, 5)))[1]
+        assert row == pytest.approx(circles.fit(points[None, list(best)], "threept")[0])
+    assert circles.fit(p, "threept", np.ones((6, 5))) == pytest.approx(circles.fit(p, "threept"))
+
+
+def test_weights_as_a_column(spark):
+    p = arc(80.0, 5)
+    df = spark.createDataFrame([(p.tolist(), [1.0] * 5), (p[:2].tolist(), [1.0] * 2), (None, None)], "p array<array<double>>, w array<double>")
+    points = F.transform("p", lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))
+    got = [r["r"] for r in df.select(circles.fit_circle(points, "threept", F.col("w")).alias("c")).select(F.col("c.radius").alias("r")).collect()]
+    assert got == [pytest.approx(80.0), None, None]
+
+
 def test_unknown_fit_is_an_error():
     with pytest.raises(ValueError):
         circles.fit(arc(10)[None], "other")
@@ -184,7 +210,7 @@ def test_class_edges(spark):
 def test_rounding_rules(spark):
     names = {"curvature_1_mm": 0.00335, "curvature_2_mm": 0.03, "body_length_mm": 200.0, "body_length_std_mm": 12.5, "Head1_frame_dist_mm": 2.5, "Tail1_swim_frequency_hz": 1.23456, "Tail1_one_sided_frequency_hz": 1.23456, "u_shape_percentage": 1.005, "Head1_x": 1.23456}
     got = rounding.round_frames(spark.createDataFrame([tuple(names.values())], ", ".join(f"{n} double" for n in names))).first().asDict()
-    assert got == {"curvature_1_mm": 0.0034, "curvature_2_mm": None, "body_length_mm": None, "body_length_std_mm": None, "Head1_frame_dist_mm": 2.0, "Tail1_swim_frequency_hz": 1.0, "Tail1_one_sided_frequency_hz": 1.2346, "u_shape_percentage": 1.0, "Head1_x": 1.235}
+    assert got == {"curvature_1_mm": 0.0034, "curvature_2_mm": None, "body_length_mm": None, "body_length_std_mm": None, "Head1_frame_dist_mm": 2.0, "Tail1_swim_frequency_hz": 1.2346, "Tail1_one_sided_frequency_hz": 1.2346, "u_shape_percentage": 1.0, "Head1_x": 1.235}
     assert [rounding.table_digits(n, False) for n in ("curvature_1_mm_mean", "tail1_hz", "skipped_rate_window_pct", "mid_time_s", "sum_x", "fps", "x", "x_n")] == [5, 2, 2, 3, 2, 2, 3, None]
 
 
@@ -204,6 +230,8 @@ def test_fit_is_there_for_sql(spark):
     p = arc(50.0)
     df = spark.createDataFrame([(p[:, 0].tolist(), p[:, 1].tolist())], "xs array<double>, ys array<double>")
     assert df.selectExpr("fit_circle(xs, ys).radius AS r").first()["r"] == pytest.approx(50.0)
+    gaps = spark.createDataFrame([(None, None), ([1.0], [2.0]), ([1.0, None, 2.0], [0.0, 1.0, 5.0]), ([1.0, 2.0, 4.0], [1.0])], "xs array<double>, ys array<double>")
+    assert [r["r"] for r in gaps.selectExpr("fit_circle(xs, ys).radius AS r").collect()] == [None] * 4
 
 
 def test_cpu_share():

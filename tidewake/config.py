@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 # Body parts in file order, and the sets used for curvature, swimming and lengths.
 PARTS = ("Head1", "Head2", "MFC1", "MFC2", "MFC3", "MFC4", "MFC5", "Tail1", "Tail2", "Tail3", "Tail4")
@@ -14,6 +14,7 @@ ONE_SIDED = {"Tail1": 3.0, "Tail2": 5.0, "Tail3": 9.0, "Tail4": 15.0, "MFC5": 2.
 STATES = ("Active", "Swimming", "Resting")
 
 
+# Thresholds and rates of FrameConfig, WindowConfig, DielConfig and ActivityConfig.
 @dataclass(frozen=True)
 class FrameConfig:
     likelihood: float = 0.6
@@ -28,11 +29,22 @@ class FrameConfig:
     extreme: float = 0.01
     normal: float = 0.0033
     fit: str = "hyper"
-    #: Bounds of a set's arc length in mm; None is open.
-    length_mm: tuple[float | None, float | None] = (None, None)
+    #: Parts of each curvature set, and how many of them a fit needs.
+    sets: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(CURVATURE_SETS))
+    min_points: dict[str, int] = field(default_factory=lambda: dict(CURVATURE_MIN_POINTS))
+    #: Bounds of a set's arc length in mm, for all sets or by name; None is open.
+    length_mm: tuple[float | None, float | None] | dict[str, tuple[float | None, float | None]] = (None, None)
     #: Cumulative travel restarts at 0 on an accepted frame that follows a rejected one.
     compat_quirks: bool = True
 
+    def bounds(self, name: str) -> tuple[float | None, float | None]:
+        """Bounds of a set's arc length."""
+        return self.length_mm.get(name, (None, None)) if isinstance(self.length_mm, dict) else self.length_mm
+
+    def least_points(self, name: str) -> int:
+        """Points that a fit of a set needs: four fifths of its parts where nothing is set."""
+        return self.min_points.get(name, -(-4 * len(self.sets[name]) // 5))
+
 
 @dataclass(frozen=True)
 class WindowConfig:

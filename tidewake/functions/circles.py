@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,59 +55,84 @@ def _algebraic(p: np.ndarray, hyper: bool) -> np.ndarray:
     return out
 
 
-def _three_points(p: np.ndarray) -> np.ndarray:
-    """The circle of the triplet with the largest area, the first of equals; all triplets of 12 points or fewer, else of ten spread ones."""
+def _three_points(p: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """The circle of the triplet with the largest area times the weights of its points, the first of equals; all triplets of 12 points or fewer, else of ten spread ones."""
     n = p.shape[1]
+    w = np.ones(p.shape[:2]) if weights is None else np.maximum(weights, 1e-6)
     at = list(range(n)) if n <= 12 else [0, *np.linspace(1, n - 2, 8, dtype=int).tolist(), n - 1]
+    triplets = [*combinations(at, 3), (0, n // 2, n - 1)]
     best, out = np.full(len(p), -1.0), np.full((len(p), 3), np.nan)
     with np.errstate(all="ignore"):
-        for i, j, k in combinations(at, 3):
+        for i, j, k in triplets:
             u, v = p[:, j] - p[:, i], p[:, k] - p[:, i]
             cross = u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
             u2, v2 = (u * u).sum(1), (v * v).sum(1)
             ox, oy = (v[:, 1] * u2 - u[:, 1] * v2) / (2 * cross), (u[:, 0] * v2 - v[:, 0] * u2) / (2 * cross)
-            radius = np.hypot(ox, oy)
-            win = (np.abs(cross) >= 1e-6) & (np.abs(cross) > best) & np.isfinite(radius) & (radius > 0)
-            best = np.where(win, np.abs(cross), best)
+            radius, score = np.hypot(ox, oy), np.abs(cross) * (w[:, i] + w[:, j] + w[:, k])
+            win = (np.abs(cross) >= 1e-6) & (score > best) & np.isfinite(radius) & (radius > 0)
+            best = np.where(win, score, best)
             out[win] = np.column_stack([radius, p[:, i, 0] + ox, p[:, i, 1] + oy])[win]
     return out
 
 
-def fit(points: np.ndarray, method: str) -> np.ndarray:
-    """rows x points x 2 -> rows x (kappa, radius, cx, cy)."""
-    if method not in ("hyper", "pratt", "threept"):
+METHODS = ("hyper", "pratt", "threept")
+
+
+def fit(points: np.ndarray, method: str, weights: np.ndarray | None = None) -> np.ndarray:
+    """rows x points x 2 -> rows x (kappa, radius, cx, cy). weights: rows x points, for the fit through three points."""
+    if method not in METHODS:
         raise ValueError(f"unknown fit {method!r}")
     if points.shape[1] < 3:
         return np.full((len(points), 4), np.nan)
-    got = _three_points(points) if method == "threept" else _algebraic(points, method == "hyper")
+    got = _three_points(points, weights) if method == "threept" else _algebraic(points, method == "hyper")
     return np.column_stack([1.0 / got[:, 0], got])
 
 
-def fit_circle(points: Column, method: str = "hyper") -> Column:
-    """struct (kappa, radius, cx, cy) of array<struct<x, y>>; missing points are left out; a row that no circle fits is null fields, not an error."""
-    if method not in ("hyper", "pratt", "threept"):
+def _fit_lists(method: str, *lists: pa.Array) -> pa.Array:
+    """Lists of x, y and, where given, weights: rows of equal length are fitted together; null or short lists, and lists of unequal lengths or with gaps, have null fields."""
+    sizes = [np.asarray(c.value_lengths().fill_null(0)) for c in lists]
+    # null lists have no values in what flatten gives
+    flat = [np.asarray(c.flatten().cast(pa.float64()).fill_null(np.nan)) for c in lists]
+    ends, out = [np.cumsum(s) for s in sizes], np.full((len(sizes[0]), 4), np.nan)
+    same = np.all([s == sizes[0] for s in sizes], axis=0)
+    for n in np.unique(sizes[0][same & (sizes[0] >= 3)]):
+        rows = np.flatnonzero(same & (sizes[0] == n))
+        x, y, *w = (f[(e[rows] - n)[:, None] + np.arange(n)] for f, e in zip(flat, ends, strict=True))
+        out[rows] = fit(np.stack([x, y], axis=2), method, *w)
+    return pa.StructArray.from_arrays([pa.array(out[:, k], pa.float64(), mask=~np.isfinite(out[:, k])) for k in range(4)], ["kappa", "radius", "cx", "cy"])
+
+
+def fit_circle(points: Column, method: str = "hyper", weights: Column | None = None) -> Column:
+    """struct (kappa, radius, cx, cy) of array<struct<x, y>>; missing points are left out; a row that no circle fits is null fields, not an error.
+
+    weights: array<double> beside the points, for the fit through three points; a point without one weighs the least.
+    """
+    if method not in METHODS:
         raise ValueError(f"unknown fit {method!r}")
+    there = lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull()
+    if weights is None:
 
-    @F.pandas_udf(RESULT)
-    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        out = np.full((len(xs), 4), np.nan)
-        sizes = np.array([0 if v is None else len(v) for v in xs])
-        for n in np.unique(sizes[sizes >= 3]):
-            rows = np.flatnonzero(sizes == n)
-            p = np.stack([np.stack([np.asarray(xs.iloc[r], float), np.asarray(ys.iloc[r], float)], 1) for r in rows])
-            out[rows] = fit(p, method)
-        return pd.DataFrame(out, columns=["kappa", "radius", "cx", "cy"]).astype(object).where(np.isfinite(out), None)
+        @F.arrow_udf(RESULT)
+        def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+            return _fit_lists(method, xs, ys)
+
+        kept = F.filter(points, there)
+        return run(F.transform(kept, lambda p: p["x"]), F.transform(kept, lambda p: p["y"]))
+
+    @F.arrow_udf(RESULT)
+    def run_weighted(xs: pa.Array, ys: pa.Array, ws: pa.Array) -> pa.Array:
+        return _fit_lists(method, xs, ys, ws)
 
-    kept = F.filter(points, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    return run(F.transform(kept, lambda p: p["x"]), F.transform(kept, lambda p: p["y"]))
+    pairs = F.filter(F.zip_with(points, weights, lambda p, w: F.struct(p.alias("p"), F.coalesce(w, F.lit(0.0)).alias("w"))), lambda z: there(z["p"]))
+    return run_weighted(*[F.transform(pairs, f) for f in (lambda z: z["p"]["x"], lambda z: z["p"]["y"], lambda z: z["w"])])
 
 
 def register(spark, name: str = "fit_circle", method: str = "hyper") -> None:
-    """fit_circle(xs, ys) for SQL."""
+    """fit_circle(xs, ys) for SQL; nulls as in ``fit_circle``."""
 
     @F.pandas_udf(RESULT)
     def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        rows = [fit(np.stack([np.asarray(x, float), np.asarray(y, float)], 1)[None], method)[0] for x, y in zip(xs, ys, strict=True)]
-        return pd.DataFrame(rows, columns=["kappa", "radius", "cx", "cy"])
+        got = _fit_lists(method, *[pa.array(list(s), pa.list_(pa.float64())) for s in (xs, ys)])
+        return pd.DataFrame({f.name: got.field(k).to_pandas() for k, f in enumerate(got.type)})
 
     spark.udf.register(name, run)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.config import CURVATURE_MIN_POINTS, CURVATURE_SETS, MFC_PARTS, ONE_SIDED, PARTS, SWIM_PARTS, FrameConfig
+from tidewake.config import MFC_PARTS, ONE_SIDED, PARTS, SWIM_PARTS, FrameConfig
 from tidewake.functions.circles import fit_circle
 from tidewake.functions.geometry import bend_side, curvature_class, distance, lateral, path_length, with_circumcircle
 
@@ -134,7 +134,7 @@ def _curvature_columns(df: DataFrame, name: str, kappa: Column, radius: Column,
     df = df.withColumn("_mm", kappa / cfg.mm_per_px)
     mm, ok = F.col("_mm"), F.abs("_mm") <= cfg.invalid
     label = F.when(ok & F.col("body_length_mm").isNull(), "Invalid").when(ok, curvature_class(mm, cfg.extreme, cfg.normal, cfg.invalid)).when(mm.isNotNull(), "Invalid")
-    side = bend_side(cx, cy, at("pts", "Head1"), at("pts", CURVATURE_SETS[name][-1]))
+    side = bend_side(cx, cy, at("pts", "Head1"), at("pts", cfg.sets[name][-1]))
     df = df.withColumns({f"{name}_class": label, "_side": side})
     bent = lambda s: F.coalesce(ok & (F.col(f"{name}_class") != "Invalid") & (F.col("_side") == s), F.lit(False)).cast("long")
     return df.withColumns({
@@ -144,16 +144,16 @@ def _curvature_columns(df: DataFrame, name: str, kappa: Column, radius: Column,
     }).drop("_mm", "_side")
 
 
-def curvature(df: DataFrame, cfg: FrameConfig = FrameConfig(), sets: tuple[str, ...] = tuple(CURVATURE_SETS)) -> DataFrame:
-    """Curvature columns of each set on accepted frames, by the configured fit."""
-    low, high = cfg.length_mm
-    fits = {}
+def curvature(df: DataFrame, cfg: FrameConfig = FrameConfig(), sets: tuple[str, ...] | None = None) -> DataFrame:
+    """Curvature columns of each set (all of the settings' if none are named) on accepted frames, by the configured fit."""
+    sets, fits = sets or tuple(cfg.sets), {}
     for name in sets:
-        points = F.array(*[at("pts", p) for p in CURVATURE_SETS[name]])
+        low, high = cfg.bounds(name)
+        points = F.array(*[at("pts", p) for p in cfg.sets[name]])
         seen = F.filter(points, lambda p: p.isNotNull())
-        usable = F.col("accepted") & (F.size(seen) >= CURVATURE_MIN_POINTS[name])
+        usable = F.col("accepted") & (F.size(seen) >= cfg.least_points(name))
         if low is not None or high is not None:
-            arc = path_length([at("pts", p) for p in CURVATURE_SETS[name]]) * cfg.mm_per_px
+            arc = path_length([at("pts", p) for p in cfg.sets[name]]) * cfg.mm_per_px
             usable = usable & (arc >= low if low is not None else F.lit(True)) & (arc <= high if high is not None else F.lit(True))
         fits[f"_fit_{name}"] = fit_circle(F.when(usable, seen), cfg.fit)
     df = df.withColumns(fits)  # one trip to Python for all sets
@@ -165,7 +165,7 @@ def curvature(df: DataFrame, cfg: FrameConfig = FrameConfig(), sets: tuple[str,
 
 def curvature_by_ends(df: DataFrame, name: str = "curvature_1", cfg: FrameConfig = FrameConfig()) -> DataFrame:
     """Curvature columns of a set from the circle through its first, middle and last part; no Python."""
-    parts = CURVATURE_SETS[name]
+    parts = cfg.sets[name]
     ends = [F.when(F.col("accepted"), at("pts", p)) for p in (parts[0], parts[len(parts) // 2], parts[-1])]
     df = with_circumcircle(df, *ends)
     made = [F.col(f"_{k}") for k in ("kappa", "radius", "cx", "cy")]
@@ -187,7 +187,7 @@ def tracking_table(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame
     for k, p in enumerate(PARTS):
         for name, c in (("frame_dist", F.col("dist_px")[k]), ("cum_dist", F.col("cum_px")[k])):
             cols += [c.alias(f"{p}_{name}_px"), (c * r).alias(f"{p}_{name}_mm")]
-    for s in CURVATURE_SETS:
+    for s in cfg.sets:
         cols += [F.col(f"{s}_{c}") for c in ("px", "mm", "radius_px", "radius_mm", "center_x", "center_y", "u_shape", "n_shape", "class")]
     for p in SWIM_PARTS:
         cols.append(F.col(f"{p}_sign"))

@@ -16,8 +16,10 @@ _NUMBERS = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T
 def frame_rule(name: str, cfg: FrameConfig = FrameConfig()) -> tuple[str, int]:
     """(kind, digits) of a frame or summary column, the first rule that fits: kinds plain, int, curvature (blank beyond the limit), body (blank outside the bounds)."""
     n = name.lower()
+    # The words that make a curvature column another figure.
     curved = n.startswith("curvature_") and not any(k in n for k in ("radius", "center", "class", "u_shape", "n_shape", "percentage", "count"))
     rules = (
+        ("frequency_hz" in n, ("plain", 4)),
         ("radius_px" in n or "radius_mm" in n, ("int", 0)),
         (curved and n.endswith("_mm"), ("curvature", 4)),
         (curved and n.endswith("_px"), ("plain", 4)),
@@ -27,7 +29,6 @@ def frame_rule(name: str, cfg: FrameConfig = FrameConfig()) -> tuple[str, int]:
         ("likelihood" in n, ("plain", 3)),
         (any(k in n for k in ("count", "swim", "bending")), ("int", 0)),
         ("percentage" in n, ("plain", 2)),
-        ("frequency_hz" in n, ("plain", 4)),
     )
     return next((rule for fits, rule in rules if fits), ("plain", 3))
 

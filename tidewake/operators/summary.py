@@ -16,7 +16,7 @@ def _last(c: Column) -> Column:
 
 
 def _curvature(name: str, cfg: FrameConfig) -> list[Column]:
-    seen = all_likely(F.col("kp"), CURVATURE_SETS[name], cfg)
+    seen = all_likely(F.col("kp"), cfg.sets[name], cfg)
     label = F.col(f"{name}_class")
     out = []
     for unit, scale in (("px", cfg.mm_per_px), ("mm", 1.0)):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import CURVATURE_SETS, ONE_SIDED, PARTS, SWIM_PARTS, FrameConfig
 from tidewake.operators import frames, rounding, summary
-from tidewake.plans.common import POSE, poses, rounded, sql_rounded
+from tidewake.plans.common import DIGITS, POSE, poses, rounded, sql_rounded
 
 CFG = FrameConfig()
 AT = frames.AT
@@ -54,7 +54,7 @@ def curvature_by_ends(spark: SparkSession, d: str) -> DataFrame:
 def _fitted(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         got = frames.curvature(frames.flags(poses(spark, d)), replace(CFG, fit=method))
-        return rounded(got.select("video_id", "frame", *[f"{s}_{c}" for s in CURVATURE_SETS for c in _CURVED]))
+        return rounded(got.select("video_id", "frame", *[f"{s}_{c}" for s in CURVATURE_SETS for c in _CURVED]), 5 if method == "threept" else DIGITS)
 
     run.__doc__ = f"Curvature of the three part sets by the {method} fit."
     return run
@@ -65,6 +65,12 @@ def video_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary.video_summary(got, CFG, ("curvature_1",)))
 
 
+def rounded_video_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the summary as the sink writes it."""
+    got = frames.curvature_by_ends(_swum(spark, d))
+    return rounding.round_frames(summary.video_summary(got, CFG, ("curvature_1",)))
+
+
 def tail_beats(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies of a summary joined with its frames."""
     got = frames.curvature_by_ends(_swum(spark, d))
@@ -169,10 +175,53 @@ def _summary_sql() -> tuple[list[str], str, str]:
 _SUM_DOUBLES, _SUM_BODY, _SUM_CTES = _summary_sql()
 _SWIM_CTES = _swim_sql()
 
+
+
+def _rounded_summary_sql() -> str:
+    """The summary's columns to the digits that the written table has, by what they are."""
+    out = ["video_name"]
+    whole = ["total_frames", "skipped_frames_missing_invalid", "skipped_frames_wrong_detection"]
+    whole += [f"{p}_total_distance_{u}" for p in PARTS for u in ("px", "mm")]
+    whole += [f"curvature_1_{k}_count" for k in ("u_shape", "n_shape", "extreme", "normal", "minimal", "invalid")] + [f"mfc_length_{s}_mm" for s in ("mean", "std", "min", "max")]
+    for p in SWIM_PARTS:
+        whole += [f"{p}_total_swim_count", f"{p}_total_one_sided_bending", f"{p}_swimming_efficiency_%"]
+        whole += [f"{p}_{n}_{u}" for n in ("relative_travel_distance", "travel_distance", "travel_distance_whole") for u in ("px", "mm")]
+    out += [f'round_even("{c}"::DOUBLE, 0) AS "{c}"' for c in whole]
+    out += [f"round_even(curvature_1_radius_{s}_{u}, 3) AS curvature_1_radius_{s}_{u}" for s in ("min", "max", "mean") for u in ("px", "mm")]
+    out += [f"round_even(curvature_1_{s}_px, 4) AS curvature_1_{s}_px, CASE WHEN abs(curvature_1_{s}_mm) <= 0.02 THEN round_even(curvature_1_{s}_mm, 4) END AS curvature_1_{s}_mm" for s in ("min", "max", "mean", "std")]
+    out += [f"round_even(curvature_1_{k}_percentage, 2) AS curvature_1_{k}_percentage" for k in ("u_shape", "n_shape", "extreme", "normal", "minimal", "invalid")]
+    out += [f"CASE WHEN body_length_{s}_mm BETWEEN 270 AND 670 THEN round_even(body_length_{s}_mm, 0) END AS body_length_{s}_mm" for s in ("mean", "std", "min", "max")]
+    out += [f'round_even("{p}_{n}_frequency_hz", 4) AS "{p}_{n}_frequency_hz"' for p in SWIM_PARTS for n in ("swim", "one_sided", "combined")]
+    return POSE + _SWIM_CTES + _ends_sql() + _SUM_CTES + f" SELECT {', '.join(out)} FROM ({_SUM_BODY})"
+
+
+def _triplet_sql() -> str:
+    """The largest triangle of each set's points, by hand: corners of every triplet, then the first of the largest."""
+    ctes, out = POSE, []
+    for name, parts in CURVATURE_SETS.items():
+        n, last = len(parts), AT[parts[-1]]
+        xs, ys = (f"[{', '.join(f'{c}{AT[p]}' for p in parts)}]" for c in "xy")
+        ctes += f""", {name}_t AS (SELECT i.range AS i, j.range AS j, k.range AS k FROM range({n}) i JOIN range({n}) j ON j.range > i.range JOIN range({n}) k ON k.range > j.range),
+{name}_p AS (SELECT video_id, frame, body, x0 AS hx, y0 AS hy, x{last} AS ex, y{last} AS ey, {xs} AS xs, {ys} AS ys FROM d WHERE accepted),
+{name}_c AS (SELECT p.*, i, j, k, xs[i + 1] AS px, ys[i + 1] AS py, xs[j + 1] - xs[i + 1] AS ux, ys[j + 1] - ys[i + 1] AS uy, xs[k + 1] - xs[i + 1] AS vx, ys[k + 1] - ys[i + 1] AS vy FROM {name}_p p, {name}_t),
+{name}_a AS (SELECT *, ux * vy - uy * vx AS cr FROM {name}_c),
+{name}_b AS (SELECT * FROM {name}_a WHERE abs(cr) >= 1e-6 QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY abs(cr) DESC, i, j, k) = 1),
+{name}_o AS (SELECT *, (vy * (ux * ux + uy * uy) - uy * (vx * vx + vy * vy)) / (2 * cr) AS ox, (ux * (vx * vx + vy * vy) - vx * (ux * ux + uy * uy)) / (2 * cr) AS oy FROM {name}_b),
+{name}_k AS (SELECT *, 1 / sqrt(ox * ox + oy * oy) AS kappa, 1 / sqrt(ox * ox + oy * oy) / 2.0 AS mm FROM {name}_o),
+{name}_l AS (SELECT *, abs(mm) <= 0.02 AS ok, CASE WHEN abs(mm) <= 0.02 AND body IS NULL THEN 'Invalid' WHEN abs(mm) >= 0.02 THEN 'Invalid' WHEN mm >= 0.01 THEN 'Extreme' WHEN mm >= 0.0033 THEN 'Normal' ELSE 'Minimal' END AS label,
+    (ex - hx) * (py + oy - hy) - (ey - hy) * (px + ox - hx) AS side FROM {name}_k),
+{name} AS (SELECT video_id, frame, CASE WHEN ok THEN kappa END AS {name}_px, CASE WHEN ok THEN mm END AS {name}_mm, CASE WHEN ok THEN round_even(1 / kappa, 0) END AS {name}_radius_px, CASE WHEN ok THEN round_even(2 / kappa, 0) END AS {name}_radius_mm,
+    CASE WHEN ok THEN px + ox END AS {name}_center_x, CASE WHEN ok THEN py + oy END AS {name}_center_y, label AS {name}_class,
+    CASE WHEN ok AND label <> 'Invalid' AND side > 0 THEN 1 ELSE 0 END::BIGINT AS {name}_u_shape, CASE WHEN ok AND label <> 'Invalid' AND side < 0 THEN 1 ELSE 0 END::BIGINT AS {name}_n_shape FROM {name}_l)"""
+        out += [f"coalesce({name}_{c}, 0)::BIGINT AS {name}_{c}" if c.endswith("shape") else f"{name}_{c}" for c in _CURVED]
+    joins = " ".join(f"LEFT JOIN {name} ON {name}.video_id = d.video_id AND {name}.frame = d.frame" for name in CURVATURE_SETS)
+    return sql_rounded([f"{name}_{c}" for name in CURVATURE_SETS for c in _CURVED[:6]], f"SELECT d.video_id, d.frame, {', '.join(out)} FROM d {joins}", ctes, 5)
+
+
 QUERIES = {
     "frame_likelihood": likelihood, "frame_flags": flags, "frame_distances": distances, "frame_swim": swim, "frame_curvature_by_ends": curvature_by_ends,
     "frame_curvature_hyper": _fitted("hyper"), "frame_curvature_pratt": _fitted("pratt"), "frame_curvature_three_points": _fitted("threept"),
-    "video_summary": video_summary, "video_tail_beats": tail_beats, "tracking_table": tracking_table, "tracking_rounded": rounded_distances,
+    "video_summary": video_summary, "video_summary_rounded": rounded_video_summary, "video_tail_beats": tail_beats, "tracking_table": tracking_table, "tracking_rounded": rounded_distances,
 }
 
 ORACLES = {
@@ -182,6 +231,8 @@ ORACLES = {
     "frame_swim": sql_rounded("sign rel travel cum_rel cum_travel cum_travel_whole", _SWIM_ROWS, POSE + _SWIM_CTES),
     "frame_curvature_by_ends": sql_rounded([f"curvature_1_{c}" for c in _CURVED[:6]], f"SELECT video_id, frame, {', '.join(f'curvature_1_{c}' for c in _CURVED)} FROM c", POSE + _ends_sql()),
     "video_summary": sql_rounded(_SUM_DOUBLES, _SUM_BODY, POSE + _SWIM_CTES + _ends_sql() + _SUM_CTES),
+    "video_summary_rounded": _rounded_summary_sql(),
+    "frame_curvature_three_points": _triplet_sql(),
     "video_tail_beats": sql_rounded([f"{p}_{m}_frequency_hz" for p in SWIM_PARTS for m in ("swim", "one_sided", "combined")], f"SELECT v.video_id AS video_name, {_BEATS} FROM (SELECT DISTINCT video_id FROM d) v {_BEAT_JOIN}", POSE + _SWIM_CTES + _BEAT_CTES),
     "tracking_rounded": POSE + _SWIM_CTES + _ends_sql("h") + """ SELECT video_id, frame AS coords, round_even(x0, 3) AS "Head1_x", round_even(l0, 3) AS "Head1_likelihood", round_even(d0 * 2.0, 0) AS "Head1_frame_dist_mm",
         round_even(sum(coalesce(d0, 0.0)) OVER (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS "Head1_cum_dist_px", CASE WHEN abs(curvature_1_mm) <= 0.02 THEN round_even(curvature_1_mm, 4) END AS curvature_1_mm, curvature_1_radius_px,
