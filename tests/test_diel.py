@@ -16,6 +16,41 @@ def obs(spark, rows):
     return spark.createDataFrame([(dt.date(2024, 10, d), h, v) for d, h, v in rows], "date date, hour_bin int, value double")
 
 
+def test_icc_of_large_values(spark):
+    """Deviations from the mean: a shift of all values changes nothing."""
+    rows = [(1 + k % 9, k % 24, float(k * 7 % 13)) for k in range(200)]
+    near = diel.icc(obs(spark, rows)).first()
+    far = diel.icc(obs(spark, [(d, h, v + 1e7) for d, h, v in rows])).first()
+    assert far["icc"] == pytest.approx(near["icc"], rel=1e-4, abs=1e-6) and far["ms_between"] == pytest.approx(near["ms_between"], rel=1e-4)
+
+
+def test_analyses_are_switched_by_name(spark):
+    df = obs(spark, [(1, 3, 2.0), (2, 3, 4.0)])
+    assert set(diel.report(df)) == set(diel.ANALYSES)
+    got = diel.report(df, {name: name == "hourly" for name in diel.ANALYSES})
+    assert set(got) == {"hourly"} and [r["hour_bin"] for r in got["hourly"].collect()] == list(range(24))
+    with pytest.raises(ValueError):
+        diel.report(df, {"other": True})
+
+
+def test_density_is_the_sum_over_all_rows(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(5, 2, 400)
+    got = activity.density(spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(3), "v", 11).orderBy("x").collect()
+    h = v.std(ddof=1) * len(v) ** -0.2
+    x = np.linspace(v.min(), v.max(), 11)
+    want = np.exp(-(((x[:, None] - v) / h) ** 2) / 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert [r["x"] for r in got] == pytest.approx(x) and [r["density"] for r in got] == pytest.approx(want)
+    assert activity.density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").collect() == []
+    assert activity.density(spark.createDataFrame([], "v double"), "v").collect() == []
+
+
+def test_classes_come_most_frequent_first(spark):
+    df = spark.createDataFrame([(x,) for x in ["a", "b", "b", "Invalid", None, "c", "c", "c"]], "label string")
+    assert [(r["label"], r["n"], r["n_invalid"]) for r in activity.class_shares(df).collect()] == [("c", 3, 1), ("b", 2, 1), ("a", 1, 1)]
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("20241018_time_18",), ("20241018_time_0",), ("20241018_time_30",), ("x",), (None,), ("20241340_time_3",)], "Datetime string")
     assert sorted(r["hour_bin"] for r in diel.parse_keys(df).collect()) == [0, 17, 23]

@@ -1,4 +1,4 @@
-"""Operators whose queries filter their table also run over all of it."""
+"""Queries run over all rows of their tables."""
 
 import pytest
 
@@ -6,7 +6,7 @@ from tests.conftest import DATA
 from tidewake.operators import diel as operators
 from tidewake.plans import common, diel, misc, windows
 
-WHOLE = {"horizontal_stats_all": "lineitem", "numeric_coercion_all": "orders"}
+WHOLE = {"horizontal_stats": "lineitem", "numeric_coercion": "orders"}
 
 
 @pytest.mark.parametrize("name, source", WHOLE.items())
@@ -20,5 +20,5 @@ def test_every_row_is_there(name, source, spark, duck):
 @pytest.mark.parametrize("name", ["bubble_raster", "annotation_means"])
 def test_every_observation_is_there(name, spark):
     whole = common.rounded(getattr(operators, name)(common.observations(spark, DATA)))
-    assert sorted(map(repr, diel.QUERIES[f"diel_{name}_all"](spark, DATA).collect())) == sorted(map(repr, whole.collect()))
-    assert "150" not in diel.ORACLES[f"diel_{name}_all"] and "value > 100" not in diel.ORACLES[f"diel_{name}_all"]
+    assert sorted(map(repr, diel.QUERIES[f"diel_{name}"](spark, DATA).collect())) == sorted(map(repr, whole.collect()))
+    assert "150" not in diel.ORACLES[f"diel_{name}"] and "value > 100" not in diel.ORACLES[f"diel_{name}"]

@@ -83,3 +83,15 @@ def test_tables_without_signals(spark):
     df = spark.createDataFrame([("f", 0, 1.0)], "file string, frame long, other double")
     assert not windows.usable(df) and windows.reference_curvature(df) is None
     assert windows.window_table(windows.prepare(df), CFG).first()["tail1_hz"] is None
+
+
+def test_a_table_without_classes_has_no_shares(spark):
+    df = windows.prepare(table(spark, [0.1, None, 0.1])).drop("curvature_1_class")
+    got = windows.bending_shares(windows.bending_counts(df, ["file"])).first()
+    assert got["curvature_1_invalid_percentage"] is None and (got["bending_total_valid_frames"], got["bending_total_considered_frames"]) == (0, 2)
+    assert files.bending_section(windows.bending_counts(df, ["file"])).first()["curvature_1_invalid_percentage"] == 100.0
+
+
+def test_windows_keep_their_source(spark):
+    df = table(spark, [0.1] * 5).withColumn("source_path", F.lit("/data/a.csv"))
+    assert {r["source_path"] for r in windows.window_table(windows.prepare(df), CFG).collect()} == {"/data/a.csv"}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,8 +47,8 @@ def state_counts(df: DataFrame, state: str = "state", states: tuple[str, ...] =
     spine = df.sparkSession.createDataFrame([(k, s) for k, s in enumerate(states)], "ordinal int, state string")
     n = df.groupBy(F.col(state).alias("state")).agg(F.count("*").alias("n"))
     got = spine.join(F.broadcast(n.where(F.col("state").isin(*states))), "state", "left").select("ordinal", "state", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    total = got.agg(F.sum("n").alias("total"))
-    return got.join(F.broadcast(total)).select("ordinal", "state", "n", F.when(F.col("total") > 0, F.col("n") * 100.0 / F.col("total")).otherwise(0.0).alias("pct"))
+    total = F.sum("n").over(W.partitionBy())  # over the few states
+    return got.select("ordinal", "state", "n", F.when(total > 0, F.col("n") * 100.0 / total).otherwise(0.0).alias("pct"))
 
 
 def transitions(df: DataFrame, order: list[str], state: str = "state", states: tuple[str, ...] = STATES, by: list[str] | None = None) -> DataFrame:
@@ -70,9 +73,10 @@ def without_invalid(df: DataFrame, label: str = "label") -> DataFrame:
 def class_shares(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, pct, n_invalid, invalid_pct): shares among labels that are not Invalid, most frequent first by n."""
     n = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("every"), F.coalesce(F.sum(F.when(F.col("label") == "Invalid", F.col("n"))), F.lit(0)).alias("n_invalid"))
-    got = n.where("label <> 'Invalid'").join(F.broadcast(total))
-    return got.select("label", "n", (F.col("n") * 100.0 / (F.col("every") - F.col("n_invalid"))).alias("pct"), "n_invalid", (F.col("n_invalid") * 100.0 / F.col("every")).alias("invalid_pct"))
+    whole = W.partitionBy()  # over the few labels
+    n = n.withColumns({"every": F.sum("n").over(whole), "n_invalid": F.coalesce(F.sum(F.when(F.col("label") == "Invalid", F.col("n"))).over(whole), F.lit(0))})
+    got = n.where("label <> 'Invalid'").select("label", "n", (F.col("n") * 100.0 / (F.col("every") - F.col("n_invalid"))).alias("pct"), "n_invalid", (F.col("n_invalid") * 100.0 / F.col("every")).alias("invalid_pct"))
+    return got.orderBy(F.desc("n"), "label")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -81,25 +85,43 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("every"), F.avg("v").alias("mean"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = v.join(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    known = ends.select(F.struct("*")).scalar()
+    counts = v.withColumn("ends", known).select("v", "ends.*").groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    got = spine.join(F.broadcast(counts), "bin", "left").join(F.broadcast(ends))
+    got = spine.join(F.broadcast(counts), "bin", "left").withColumn("ends", known).select("bin", "n", "ends.*")
     n = F.coalesce("n", F.lit(0)).cast("long")
     return got.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), n.alias("n"), F.when(width > 0, n / (F.col("every") * width)).alias("density"), "mean")
 
 
-def density(df: DataFrame, value: str, points: int = 300, bins: int = 4096) -> DataFrame:
-    """(x, density): a Gaussian kernel estimate on evenly spaced points, bandwidth n^(-1/5) sample deviations.
+def density(df: DataFrame, value: str, points: int = 300) -> DataFrame:
+    """(x, density): a Gaussian kernel estimate on evenly spaced points from the least to the largest value, bandwidth n^(-1/5) sample deviations.
 
-    Values are first counted in ``bins`` fine bins whose means stand for them, so work is points x bins whatever the number of rows.
+    Exact: every row adds to every point. A task adds its rows up in an array of ``points`` numbers, so what moves is that
+    array from each task. No rows where there is a single value or none.
     """
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("every"), F.stddev_samp("v").alias("sd"))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    counts = v.join(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
-    grid = df.sparkSession.range(points).join(F.broadcast(ends.where("every > 1 and sd > 0"))).select((F.col("lo") + F.col("id") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"), (F.col("sd") * F.pow("every", F.lit(-0.2))).alias("h"), "every")
-    z = (F.col("x") - F.col("m")) / F.col("h")
-    return grid.join(F.broadcast(counts)).groupBy("x").agg((F.sum(F.col("n") * F.exp(-z * z / 2)) / F.first(F.col("every") * F.col("h")) / math.sqrt(2 * math.pi)).alias("density"))
+    ends = ends.select(F.struct("lo", "hi", "every", (F.col("sd") * F.pow("every", F.lit(-0.2))).alias("h"))).scalar()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, grid = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, lo, hi, h = (b.column(c).to_numpy() for c in ("v", "lo", "hi", "h"))
+            if not h[0] > 0:
+                return
+            if total is None:
+                total, grid = np.zeros(points), lo[0] + np.arange(points) * (hi[0] - lo[0]) / (points - 1)
+            for at in range(0, len(v), 4096):
+                z = (grid[:, None] - v[None, at : at + 4096]) / h[0]
+                total += np.exp(-z * z / 2).sum(axis=1)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(points, dtype=np.int32)), pa.array(total)], ["k", "part"])
+
+    sums = v.withColumn("ends", ends).select("v", "ends.lo", "ends.hi", "ends.h").mapInArrow(run, "k int, part double").groupBy("k").agg(F.sum("part").alias("total"))
+    x = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1)
+    return sums.withColumn("ends", ends).select("k", "total", "ends.*").select(x.alias("x"), (F.col("total") / (F.col("every") * F.col("h")) / math.sqrt(2 * math.pi)).alias("density"))
 
 
 def thinned(df: DataFrame, index: str, total: int, most: int = 15) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidewake.config import DielConfig
 from tidewake.functions import text
-from tidewake.functions.values import bubble_area, iqr, numeric, period, spearman_brown, week_start, wilson
+from tidewake.functions.values import bubble_area, numeric, period, spearman_brown, week_start, wilson
+from tidewake.operators.ranks import with_quantiles
 
 SPEED = r"^Average speed of .*\(BL/s\)$"
 
@@ -84,24 +85,22 @@ def hour_spine(spark: SparkSession) -> DataFrame:
 def hourly(df: DataFrame, value: str = "value") -> DataFrame:
     """hour_bin 0..23, mean, sample std, count; hours without values are there with nulls."""
     agg = df.where(F.col(value).isNotNull()).groupBy("hour_bin").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"))
-    return hour_spine(df.sparkSession).join(F.broadcast(agg), "hour_bin", "left")
+    return hour_spine(df.sparkSession).join(F.broadcast(agg), "hour_bin", "left").orderBy("hour_bin")
 
 
 def combined_hourly(df: DataFrame, values: list[str]) -> DataFrame:
     """One column of hourly means for each metric, in one aggregation."""
     agg = df.groupBy("hour_bin").agg(*[F.avg(v).alias(v) for v in values])
-    return hour_spine(df.sparkSession).join(F.broadcast(agg), "hour_bin", "left")
-
-
-def _stats(value: str) -> list[Column]:
-    v = F.col(value)
-    return [F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), iqr(v).alias("iqr"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count")]
+    return hour_spine(df.sparkSession).join(F.broadcast(agg), "hour_bin", "left").orderBy("hour_bin")
 
 
 def day_night(df: DataFrame, value: str = "value", cfg: DielConfig = DielConfig()) -> DataFrame:
     """Stats by (date, period), and by period with a null date."""
-    got = df.where(F.col(value).isNotNull()).withColumn("period", period(F.col("hour_bin"), cfg.sunrise, cfg.sunset))
-    return got.groupingSets([["date", "period"], ["period"]], "date", "period").agg(*_stats(value))
+    v = F.col(value)
+    got = df.where(v.isNotNull()).withColumn("period", period(F.col("hour_bin"), cfg.sunrise, cfg.sunset))
+    plain = {"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "count": F.count(v)}
+    got = with_quantiles(got, ["date", "period"], plain, {"median": (v, 0.5), "low": (v, 0.25), "high": (v, 0.75)}, [["date", "period"], ["period"]])
+    return got.select("date", "period", "mean", "median", "std", (F.col("high") - F.col("low")).alias("iqr"), "min", "max", "count")
 
 
 def date_hour_pivot(df: DataFrame, value: str = "value", how: str = "mean") -> DataFrame:
@@ -116,7 +115,7 @@ def bubble_raster(df: DataFrame, value: str = "value") -> DataFrame:
     cells = df.where(F.col(value).isNotNull()).groupBy("date", "hour_bin").agg(F.avg(value).alias("value"))
     grid = cells.select("date").distinct().select("date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour_bin"))
     ends = cells.agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    got = grid.join(cells, ["date", "hour_bin"], "left").join(F.broadcast(ends))
+    got = grid.join(cells, ["date", "hour_bin"], "left").withColumn("ends", ends.select(F.struct("low", "high")).scalar()).select("*", "ends.*")
     return got.select("date", "hour_bin", "value", bubble_area(F.col("value"), F.col("low"), F.col("high")).alias("area"))
 
 
@@ -134,9 +133,12 @@ def daily_max(df: DataFrame, values: list[str]) -> DataFrame:
 def icc(df: DataFrame, value: str = "value", group: str = "date") -> DataFrame:
     """One row: icc, ms_between, ms_within, k_bar, g, n of a one-way model with unequal groups, from per-group moments."""
     by = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("ssw"))
-    got = by.agg(F.count("*").alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("ssw").alias("ssw"), F.sum(F.col("n") * F.col("m")).alias("s1"), F.sum(F.col("n") * F.col("m") ** 2).alias("s2"), F.avg("n").alias("k"))
+    # deviations from the grand mean, over the table of groups: moments would cancel where the mean is large
+    every = W.partitionBy()
+    by = by.withColumn("off", F.col("m") - F.sum(F.col("n") * F.col("m")).over(every) / F.sum("n").over(every))
+    got = by.agg(F.count("*").alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("ssw").alias("ssw"), F.sum(F.col("n") * F.col("off") ** 2).alias("ssb"), F.avg("n").alias("k"))
     ok = (F.col("n") >= 3) & (F.col("g") >= 2) & (F.col("n") > F.col("g"))
-    msb = F.when(ok, (F.col("s2") - F.col("s1") ** 2 / F.col("n")) / (F.col("g") - 1))
+    msb = F.when(ok, F.col("ssb") / (F.col("g") - 1))
     msw = F.when(ok, F.col("ssw") / (F.col("n") - F.col("g")))
     got = got.select(msb.alias("ms_between"), msw.alias("ms_within"), F.when(ok, F.col("k")).alias("k_bar"), "g", "n")
     below = F.col("ms_between") + (F.col("k_bar") - 1) * F.col("ms_within")
@@ -201,6 +203,22 @@ def distinct_days(df: DataFrame) -> DataFrame:
     return df.agg(F.count_distinct("date").alias("n_days"))
 
 
+#: The analyses of ``report`` by name; each takes the observations and the settings.
+ANALYSES = {
+    "hourly": lambda df, cfg: hourly(df), "day_night": lambda df, cfg: day_night(df, cfg=cfg), "date_hour": lambda df, cfg: date_hour_pivot(df), "bubbles": lambda df, cfg: bubble_raster(df),
+    "daily": lambda df, cfg: daily_mean(df), "stability": lambda df, cfg: rolling_bootstrap(daily_mean(df), cfg), "reliability": lambda df, cfg: reliability(icc(df)),
+    "diel_index": lambda df, cfg: diel_index(df, cfg=cfg), "cumulative_max": lambda df, cfg: cumulative_max(daily_max(df, ["value"])), "annotations": lambda df, cfg: annotation_means(df, cfg=cfg),
+}
+
+
+def report(df: DataFrame, wanted: dict[str, bool] | None = None, cfg: DielConfig = DielConfig()) -> dict[str, DataFrame]:
+    """The analyses of observations (date, hour_bin, value) that are switched on, by name; all where nothing is said."""
+    unknown = set(wanted or {}) - set(ANALYSES)
+    if unknown:
+        raise ValueError(f"unknown analyses: {', '.join(sorted(unknown))}")
+    return {name: make(df, cfg) for name, make in ANALYSES.items() if (wanted or {}).get(name, True)}
+
+
 def annotation_means(df: DataFrame, value: str = "value", cfg: DielConfig = DielConfig()) -> DataFrame:
     """Day and night averages by their three definitions: of hourly means, of date-hour cells, of rows."""
     p = period(F.col("hour_bin"), cfg.sunrise, cfg.sunset).alias("period")

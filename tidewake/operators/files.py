@@ -11,16 +11,35 @@ from pyspark.sql import functions as F
 from tidewake.config import WindowConfig
 from tidewake.functions import text
 from tidewake.functions.values import divide
+from tidewake.operators.ranks import with_quantiles
 from tidewake.operators.windows import bending_shares, peak_curvature
 
 RATES = ("tail1_hz", "tail2_hz", "tail3_hz", "tail4_hz", "freq_mean_hz")
 
 
 def describe(c: str) -> dict[str, Column]:
-    """Eight figures of a column, nulls left out."""
+    """Eight figures of a column, nulls left out; for groups of bounded size, as the windows of a file."""
     v = F.col(c).cast("double")
     p = F.percentile(v, F.array(F.lit(0.1), F.lit(0.9)))
-    return {f"{c}_mean": F.avg(v), f"{c}_median": F.median(v), f"{c}_std": F.stddev_pop(v), f"{c}_min": F.min(v), f"{c}_max": F.max(v), f"{c}_p10": p[0], f"{c}_p90": p[1], f"{c}_nonzero_ratio": F.avg((v > 0).cast("double"))}
+    return _plain(c) | {f"{c}_median": F.median(v), f"{c}_p10": p[0], f"{c}_p90": p[1]}
+
+
+def _plain(c: str) -> dict[str, Column]:
+    v = F.col(c).cast("double")
+    return {f"{c}_mean": F.avg(v), f"{c}_std": F.stddev_pop(v), f"{c}_min": F.min(v), f"{c}_max": F.max(v), f"{c}_nonzero_ratio": F.avg((v > 0).cast("double"))}
+
+
+def _ranks(c: str) -> dict[str, tuple[Column, float]]:
+    return {f"{c}_{k}": (F.col(c), p) for k, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))}
+
+
+def describe_groups(df: DataFrame, cols: list[str], by: list[str], sets: list[list[str]] | None = None, **more: Column) -> DataFrame:
+    """The same eight figures of columns by groups of any size, with other aggregates; sets: grouping sets over ``by``."""
+    plain, ranks = dict(more), {}
+    for c in cols:
+        plain |= _plain(c)
+        ranks |= _ranks(c)
+    return with_quantiles(df, by, plain, ranks, sets)
 
 
 def weighted(mean_col: str, weight: str = "frames_non_skipped_window") -> dict[str, Column]:
@@ -43,7 +62,10 @@ def first_max(value: Column, order: Column, *carry: Column) -> Column:
 
 
 def file_summary(windows: DataFrame, cfg: WindowConfig = WindowConfig(), bending: DataFrame | None = None, peaks: DataFrame | None = None) -> DataFrame:
-    """One row for each file of a window table. bending: counts by file; peaks: the output of ``curvature_peaks``."""
+    """One row for each file of a window table. bending: counts by file; peaks: the output of ``curvature_peaks``.
+
+    The file's name is shortened to its date, hour and what follows ``tracking_analysis``.
+    """
     agg: dict[str, Column] = {"fps": F.first("fps"), "window_seconds": F.first("window_seconds"), "n_windows": F.count("*"), "n_frames": F.sum("frames_in_window"), "skipped_frames": F.sum("frames_skipped_window")}
     for c in RATES:
         agg |= describe(c)
@@ -67,7 +89,7 @@ def file_summary(windows: DataFrame, cfg: WindowConfig = WindowConfig(), bending
     got = got.withColumns({"max_freq_window_idx": F.col("_top.window_idx"), "max_freq_hz": F.col("_top.freq_mean_hz"), "max_freq_start_frame": F.col("_top.start_frame"), "max_freq_end_frame": F.col("_top.end_frame"), "max_freq_timestamp_s": F.col("_top.mid_time_s"), "max_freq_timestamp_mmss": text.mmss(F.col("_top.mid_time_s"))}).drop("_top")
     for more in ([bending_shares(bending)] if bending is not None else []) + ([peaks] if peaks is not None else []):
         got = got.join(more, "file", "left")
-    return got
+    return got.withColumn("file", text.simple_stem(F.col("file")))
 
 
 def curvature_peaks(frames: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
@@ -79,40 +101,45 @@ def curvature_peaks(frames: DataFrame, cfg: WindowConfig = WindowConfig()) -> Da
 
 
 def frequency_section(windows: DataFrame, by: list[list[str]] | None = None) -> DataFrame:
-    """Global frequency figures; by: grouping sets, as [["root"], []] for each root and the grand total in one pass."""
+    """Global frequency figures; by: grouping sets, as [["root"], []] for each root and the grand total."""
     n, s = F.coalesce(F.sum("frames_in_window"), F.lit(0)), F.coalesce(F.sum("frames_skipped_window"), F.lit(0))
     agg = {"total_windows": F.count("*"), "total_frames_est": n, "total_skipped_frames": s, "total_skipped_rate_pct": F.coalesce(divide(s * 100.0, n), F.lit(0.0))}
-    for c in RATES:
-        agg |= describe(c)
-    names = sorted({c for g in by or [] for c in g})
-    grouped = windows.groupingSets(by, *names) if by else windows.groupBy()
-    got = grouped.agg(*[c.alias(k) for k, c in agg.items()])
+    got = describe_groups(windows, list(RATES), _names(by), by, **agg)
     total = sum((F.coalesce(f"tail{k}_hz_mean", F.lit(0.0)) for k in range(1, 5)), F.lit(0.0))
     got = got.withColumns({f"tail{k}_freq_pct": F.when(total > 0, F.col(f"tail{k}_hz_mean") / total * 100) for k in range(1, 5)})
     return got.select(F.lit("global_frequency").alias("section"), F.lit("O").alias("variant"), "*")
 
 
-def series_section(windows: DataFrame, cols: list[str], section: str, label: str, weight: str = "frames_non_skipped_window") -> DataFrame:
-    """A row for each series of window means, unpivoted before one aggregation."""
+def _names(by: list[list[str]] | None) -> list[str]:
+    return sorted({c for g in by or [] for c in g})
+
+
+def series_section(windows: DataFrame, cols: list[str], section: str, label: str, weight: str = "frames_non_skipped_window", by: list[list[str]] | None = None) -> DataFrame:
+    """A row for each series of window means (and each group of the grouping sets), unpivoted before one aggregation."""
+    names = _names(by)
     pairs = F.explode(F.array(*[F.struct(F.lit(c[:-5]).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")
-    long = windows.select(weight, pairs).select(weight, "p.name", "p.v")
-    got = long.groupBy("name").agg(*[c.alias(k) for k, c in weighted("v", weight).items()])
+    long = windows.select(*names, weight, pairs).select(*names, weight, "p.name", "p.v")
+    plain = {k: c for k, c in weighted("v", weight).items() if k != "median"}
+    got = with_quantiles(long, [*names, "name"], plain, {"median": (F.col("v"), 0.5)}, [[*g, "name"] for g in by or [[]]])
     name = F.regexp_replace("name", "_mm$", "") if label == "curvature" else F.col("name")
-    return got.select(F.lit(section).alias("section"), F.lit("O").alias("variant"), name.alias(label), "mean", "median", "std", "min", "max", "valid_ratio", "n_valid")
+    return got.select(F.lit(section).alias("section"), F.lit("O").alias("variant"), *names, name.alias(label), "mean", "median", "std", "min", "max", "valid_ratio", "n_valid")
 
 
-def bending_section(counts: DataFrame) -> DataFrame:
-    """Global bending shares from additive counts."""
-    cols = ["considered", "valid", "invalid", "minimal", "normal", "extreme"]
-    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols])
+def bending_section(counts: DataFrame, by: list[list[str]] | None = None) -> DataFrame:
+    """Global bending shares from additive counts, for each group of the grouping sets."""
+    cols, names = ["considered", "valid", "invalid", "minimal", "normal", "extreme"], _names(by)
+    total = (counts.groupingSets(by, *names) if by else counts.groupBy()).agg(F.lit(True).alias("known"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols])
     return bending_shares(total).select(F.lit("global_bending_distribution").alias("section"), F.lit("O").alias("variant"), "*")
 
 
-def integrate(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The four sections below each other in their fixed order (section_order), columns that one lacks as nulls."""
+def integrate(windows: DataFrame, counts: DataFrame, by: list[list[str]] | None = None) -> DataFrame:
+    """The four sections below each other in their fixed order (section_order), columns that one lacks as nulls.
+
+    by: grouping sets over columns of both tables, as [["root"], []] for every session and the grand total.
+    """
     curved, others = series_columns(windows)
-    parts = [frequency_section(windows)]
-    parts += [series_section(windows, curved, "global_curvature", "curvature")] if curved else []
-    parts += [series_section(windows, others, "global_series", "series")] if others else []
-    parts.append(bending_section(counts))
+    parts = [frequency_section(windows, by)]
+    parts += [series_section(windows, curved, "global_curvature", "curvature", by=by)] if curved else []
+    parts += [series_section(windows, others, "global_series", "series", by=by)] if others else []
+    parts.append(bending_section(counts, by))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("section_order", F.lit(k)) for k, p in enumerate(parts)])

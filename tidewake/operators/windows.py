@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import WindowConfig
 from tidewake.functions.values import divide, numeric
+from tidewake.operators.ranks import with_quantiles
 
 TAILS = ("Tail1", "Tail2", "Tail3", "Tail4")
 
@@ -126,11 +127,18 @@ def prepare(df: DataFrame, reference: str | None = None, numbers: bool = False)
 
 
 def six_stats(c: str, keep: Column) -> list[Column]:
-    """mean, median, population std, min, max and n of a column over the rows that count."""
+    """mean, median, population std, min, max and n of a column over the rows that count; for groups of bounded size, as windows."""
     v = F.when(keep, F.col(c).cast("double"))
     return [F.avg(v).alias(f"{c}_mean"), F.median(v).alias(f"{c}_median"), F.stddev_pop(v).alias(f"{c}_std"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max"), F.count(v).alias(f"{c}_n")]
 
 
+def six_of_groups(df: DataFrame, c: str, by: list[str], sets: list[list[str]] | None = None) -> DataFrame:
+    """The same figures over all rows of groups of any size; sets: grouping sets over ``by``."""
+    v = F.col(c).cast("double")
+    plain = {f"{c}_mean": F.avg(v), f"{c}_std": F.stddev_pop(v), f"{c}_min": F.min(v), f"{c}_max": F.max(v), f"{c}_n": F.count(v)}
+    return with_quantiles(df, by, plain, {f"{c}_median": (v, 0.5)}, sets)
+
+
 def horizontal(values: list[Column]) -> dict[str, Column]:
     """Null-skipping mean, median, min, max and n over columns."""
     kept = F.array_sort(F.array_compact(F.array(*values)))
@@ -149,6 +157,7 @@ def window_table(df: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame
     agg = [F.count("*").alias("frames_in_window"), F.count_if(keep).alias("frames_non_skipped_window"), F.max("frame").alias("_last")]
     agg += [F.sum(F.when(keep, F.col(f"inc_{t}"))).alias(f"_inc{k}") for k, t in enumerate(TAILS, 1)]
     agg += [F.count(f"inc_{t}").alias(f"_has{k}") for k, t in enumerate(TAILS, 1)]
+    agg += [F.first("source_path").alias("source_path")] if "source_path" in df.columns else []
     agg += [s for c in stats for s in six_stats(c, keep)]
     agg += [F.coalesce(F.sum(F.when(keep, F.col(c).cast("double"))), F.lit(0.0)).alias(f"sum_{c}") for c in sums]
     got = df.groupBy("file", window_index(F.col("frame"), cfg).alias("window_idx")).agg(*agg)
@@ -172,15 +181,19 @@ def window_table(df: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame
 
 
 def bending_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Additive counts of curvature_1_class over rows that count: considered, valid, invalid, minimal, normal, extreme."""
-    keep, label = ~F.col("skip"), F.lower(F.trim("curvature_1_class"))
+    """Additive counts of curvature_1_class over rows that count: considered, valid, invalid, minimal, normal, extreme.
+
+    Without the class column every row that counts is invalid, and its shares are null.
+    """
+    keep, label = ~F.col("skip"), F.lower(F.trim("curvature_1_class")) if "curvature_1_class" in df.columns else F.lit(None).cast("string")
     count = lambda c: F.count_if(keep & c)
-    return df.groupBy(*(by or [])).agg(F.count_if(keep).alias("considered"), count(label.isNotNull()).alias("valid"), count(label.isNull()).alias("invalid"), *[count(label == k).alias(k) for k in ("minimal", "normal", "extreme")])
+    known = F.lit("curvature_1_class" in df.columns).alias("known")
+    return df.groupBy(*(by or [])).agg(known, F.count_if(keep).alias("considered"), count(label.isNotNull()).alias("valid"), count(label.isNull()).alias("invalid"), *[count(label == k).alias(k) for k in ("minimal", "normal", "extreme")])
 
 
 def bending_shares(counts: DataFrame) -> DataFrame:
     """Percentages of what was considered; null where nothing was."""
     n = F.col("considered")
-    share = {f"curvature_1_{k}_percentage": divide(F.col(k) * 100.0, n) for k in ("minimal", "normal", "extreme", "invalid")}
-    others = [c for c in counts.columns if c not in ("considered", "valid", "invalid", "minimal", "normal", "extreme")]
+    share = {f"curvature_1_{k}_percentage": F.when(F.col("known"), divide(F.col(k) * 100.0, n)) for k in ("minimal", "normal", "extreme", "invalid")}
+    others = [c for c in counts.columns if c not in ("known", "considered", "valid", "invalid", "minimal", "normal", "extreme")]
     return counts.select(*others, *[c.alias(k) for k, c in share.items()], F.col("valid").alias("bending_total_valid_frames"), n.alias("bending_total_considered_frames"))

@@ -41,11 +41,6 @@ def date_hour_pivot_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bubble_raster(spark: SparkSession, d: str) -> DataFrame:
-    """Only large values: some cells are missing."""
-    return rounded(diel.bubble_raster(observations(spark, d).where("value > 100")))
-
-
-def bubble_raster_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diel.bubble_raster(observations(spark, d)))
 
 
@@ -89,11 +84,6 @@ def cumulative_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotation_means(spark: SparkSession, d: str) -> DataFrame:
-    """Only large values: some cells are missing."""
-    return rounded(diel.annotation_means(observations(spark, d).where("value > 150")))
-
-
-def annotation_means_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diel.annotation_means(observations(spark, d)))
 
 
@@ -132,10 +122,10 @@ _H = " ".join(f"h{h}" for h in range(24))
 
 QUERIES = {
     "diel_hourly": hourly, "diel_hourly_partial": hourly_partial, "diel_combined_hourly": combined_hourly, "diel_day_night": day_night,
-    "diel_date_hour_pivot": date_hour_pivot, "diel_date_hour_pivot_max": date_hour_pivot_max, "diel_bubble_raster": bubble_raster, "diel_bubble_raster_all": bubble_raster_all,
+    "diel_date_hour_pivot": date_hour_pivot, "diel_date_hour_pivot_max": date_hour_pivot_max, "diel_bubble_raster": bubble_raster,
     "diel_daily_mean": daily_mean, "diel_daily_row_max": daily_row_max, "diel_icc": icc, "diel_reliability": reliability, "diel_index": diel_index,
     "diel_weekly_extreme": weekly_extreme, "diel_rolling_mean": rolling_mean, "diel_rolling_bootstrap": rolling_bootstrap, "diel_cumulative_max": cumulative_max,
-    "diel_annotation_means": annotation_means, "diel_annotation_means_all": annotation_means_all, "diel_date_range": date_range, "diel_distinct_days": distinct_days, "diel_keyed_hours": keyed_hours,
+    "diel_annotation_means": annotation_means, "diel_date_range": date_range, "diel_distinct_days": distinct_days, "diel_keyed_hours": keyed_hours,
     "diel_primary_series": primary_series,
 }
 
@@ -146,7 +136,7 @@ ORACLES = {
     "diel_day_night": sql_rounded("mean median std iqr min max", f"SELECT date, period, {_STATS} FROM (SELECT *, {_DAY} AS period FROM o) GROUP BY GROUPING SETS ((date, period), (period))", OBS),
     "diel_date_hour_pivot": sql_rounded(_H, f"SELECT date, {_PIVOT.format('avg')} FROM o GROUP BY date", OBS),
     "diel_date_hour_pivot_max": sql_rounded(_H, f"SELECT date, {_PIVOT.format('max')} FROM o GROUP BY date", OBS),
-    "diel_bubble_raster": sql_rounded("value area", "SELECT date, hour_bin, value, CASE WHEN value IS NULL THEN NULL WHEN hi = lo THEN 368.0 ELSE 16 + (value - lo) / (hi - lo) * 704 END AS area FROM (SELECT d.date, h.hour_bin, c.value FROM (SELECT DISTINCT date FROM c) d CROSS JOIN (SELECT range::INTEGER AS hour_bin FROM range(24)) h LEFT JOIN c ON c.date = d.date AND c.hour_bin = h.hour_bin), (SELECT min(value) AS lo, max(value) AS hi FROM c)", OBS + ", c AS (SELECT date, hour_bin, avg(value) AS value FROM o WHERE value > 100 GROUP BY date, hour_bin)"),
+    "diel_bubble_raster": sql_rounded("value area", "SELECT date, hour_bin, value, CASE WHEN value IS NULL THEN NULL WHEN hi = lo THEN 368.0 ELSE 16 + (value - lo) / (hi - lo) * 704 END AS area FROM (SELECT d.date, h.hour_bin, c.value FROM (SELECT DISTINCT date FROM c) d CROSS JOIN (SELECT range::INTEGER AS hour_bin FROM range(24)) h LEFT JOIN c ON c.date = d.date AND c.hour_bin = h.hour_bin), (SELECT min(value) AS lo, max(value) AS hi FROM c)", OBS + ", c AS (SELECT date, hour_bin, avg(value) AS value FROM o GROUP BY date, hour_bin)"),
     "diel_daily_mean": sql_rounded("value", "SELECT * FROM y", _DAILY),
     "diel_daily_row_max": sql_rounded("value", "SELECT CAST(l_shipdate AS DATE) AS date, max(greatest(l_quantity, l_tax, l_discount)) AS value FROM lineitem GROUP BY 1"),
     "diel_icc": sql_rounded("icc ms_between ms_within k_bar", "SELECT (ms_between - ms_within) / (ms_between + (k_bar - 1) * ms_within) AS icc, * FROM i", _ICC),
@@ -158,14 +148,12 @@ ORACLES = {
         FROM (SELECT date, count(*) FILTER (WHERE event_type = 'error') * 100.0::DOUBLE / count(*) AS pct, count(*) AS frames FROM o GROUP BY date) GROUP BY 1)""", OBS),
     "diel_rolling_mean": sql_rounded("mean", "SELECT date, CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END AS mean FROM y WINDOW w AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", _DAILY),
     "diel_cumulative_max": sql_rounded("value cummax", "SELECT date, value, max(value) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cummax FROM (SELECT date, max(value) AS value FROM o GROUP BY date)", OBS),
-    "diel_annotation_means": sql_rounded("v", f"""SELECT 'hourly_means' AS kind, {_DAY} AS period, avg(m) AS v FROM (SELECT range AS hour_bin, m FROM range(24) LEFT JOIN (SELECT hour_bin, avg(value) AS m FROM o WHERE value > 150 GROUP BY 1) x ON x.hour_bin = range) GROUP BY 2
-        UNION ALL SELECT 'cells', {_DAY} AS period, avg(m) FROM (SELECT date, hour_bin, avg(value) AS m FROM o WHERE value > 150 GROUP BY 1, 2) GROUP BY 2
-        UNION ALL SELECT 'rows', {_DAY} AS period, avg(value) FROM o WHERE value > 150 GROUP BY 2""", OBS),
+    "diel_annotation_means": sql_rounded("v", f"""SELECT 'hourly_means' AS kind, {_DAY} AS period, avg(m) AS v FROM (SELECT range AS hour_bin, m FROM range(24) LEFT JOIN (SELECT hour_bin, avg(value) AS m FROM o GROUP BY 1) x ON x.hour_bin = range) GROUP BY 2
+        UNION ALL SELECT 'cells', {_DAY} AS period, avg(m) FROM (SELECT date, hour_bin, avg(value) AS m FROM o GROUP BY 1, 2) GROUP BY 2
+        UNION ALL SELECT 'rows', {_DAY} AS period, avg(value) FROM o GROUP BY 2""", OBS),
     "diel_date_range": sql_rounded("value", "SELECT * FROM y WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'", _DAILY),
     "diel_distinct_days": OBS + " SELECT count(DISTINCT date) AS n_days FROM o",
     "diel_keyed_hours": sql_rounded("xcenter value", f"""SELECT event_id, date, hour_code, hour_bin, hour_bin + 0.5::DOUBLE AS xcenter, value, {_DAY} AS period FROM (SELECT event_id, CAST(ts AS DATE) AS date, CAST(least(greatest(hour(ts) + event_id % 4, 1), 24) AS INTEGER) AS hour_code,
         CAST(least(greatest(hour(ts) + event_id % 4, 1), 24) - 1 AS INTEGER) AS hour_bin, CASE WHEN event_id % 7 <> 0 THEN round(value * 1000, 2) END AS value FROM events WHERE event_id % 11 <> 0)"""),
     "diel_primary_series": sql_rounded("value", "SELECT date, avg(CASE WHEN value > 400 THEN (value + value * 2 + value) / 3 WHEN value > 50 THEN (value + value * 2) / 2 ELSE value END) AS value FROM o GROUP BY date", OBS),
 }
-ORACLES["diel_bubble_raster_all"] = ORACLES["diel_bubble_raster"].replace(" WHERE value > 100", "")
-ORACLES["diel_annotation_means_all"] = ORACLES["diel_annotation_means"].replace(" WHERE value > 150", "")

@@ -55,7 +55,7 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def density(spark: SparkSession, d: str) -> DataFrame:
-    return activity.density(table(spark, d, "lineitem"), "l_extendedprice")
+    return rounded(activity.density(table(spark, d, "lineitem"), "l_extendedprice"), 12)
 
 
 def best_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -111,21 +111,13 @@ def crop_geometry(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", *[c.cast("long").alias(n) for n, c in crop(F.col("w"), F.col("h"), F.col("ox"), F.col("oy"), F.lit(640), F.lit(360)).items()])
 
 
-def _coerced(o: DataFrame) -> DataFrame:
+def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers with separators, words, and numbers behind a blank."""
+    o = table(spark, d, "orders")
     t = F.when(F.col("o_orderkey") % 3 == 0, F.format_number("o_totalprice", 2)).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).otherwise(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")))
     return rounded(o.select("o_orderkey", values.numeric(t, commas=True).alias("with_commas"), values.numeric(t).alias("plain")), 2)
 
 
-def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
-    """Orders divisible by 5 only."""
-    return _coerced(table(spark, d, "orders").where("o_orderkey % 5 = 0"))
-
-
-def numeric_coercion_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every order."""
-    return _coerced(table(spark, d, "orders"))
-
-
 def session_progress(spark: SparkSession, d: str) -> DataFrame:
     got = table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("done"), F.when(F.col("o_orderkey") % 10 == 0, 0).otherwise(100).alias("total"))
     return rounded(media.progress(got))
@@ -141,7 +133,7 @@ def frame_minutes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "activity_state_counts": state_counts, "activity_transitions": transitions, "activity_movement": movement, "activity_class_shares": class_shares, "activity_valid_classes": valid_classes,
     "activity_histogram": histogram, "activity_density": density, "media_best_snapshot": best_snapshot, "media_corrupted": corrupted, "media_last_good": last_good, "media_progress": session_progress,
-    "text_keys": text_keys, "video_routing": video_routing, "video_unlabeled": unlabeled_videos, "crop_geometry": crop_geometry, "numeric_coercion": numeric_coercion, "numeric_coercion_all": numeric_coercion_all, "frame_minutes": frame_minutes,
+    "text_keys": text_keys, "video_routing": video_routing, "video_unlabeled": unlabeled_videos, "crop_geometry": crop_geometry, "numeric_coercion": numeric_coercion, "frame_minutes": frame_minutes,
 }
 
 _LABEL = "CASE WHEN value > 200 THEN 'Invalid' WHEN value > 100 THEN 'Extreme' WHEN value > 40 THEN 'Normal' WHEN value > 5 THEN 'Minimal' END AS label"
@@ -152,6 +144,7 @@ ORACLES = {
     "activity_class_shares": sql_rounded("pct invalid_pct", f"SELECT label, n, n * 100.0::DOUBLE / (every - bad) AS pct, bad AS n_invalid, bad * 100.0::DOUBLE / every AS invalid_pct FROM (SELECT label, count(*) AS n FROM (SELECT {_LABEL} FROM events) WHERE label IS NOT NULL GROUP BY 1), (SELECT count(*) AS every, count(*) FILTER (WHERE label = 'Invalid') AS bad FROM (SELECT {_LABEL} FROM events) WHERE label IS NOT NULL) WHERE label <> 'Invalid'"),
     "activity_valid_classes": sql_rounded("low high", f"SELECT label, min(value) AS low, max(value) AS high FROM (SELECT {_LABEL}, value FROM events) WHERE label <> 'Invalid' GROUP BY 1"),
     "activity_histogram": sql_rounded("low high density mean", "SELECT b::INTEGER AS bin, lo + b * w AS low, lo + (b + 1) * w AS high, coalesce(n, 0) AS n, coalesce(n, 0) / (every * w) AS density, mean FROM (SELECT range AS b FROM range(50)) LEFT JOIN (SELECT least(floor((l_extendedprice - lo) / w), 49)::BIGINT AS b, count(*) AS n FROM lineitem, e GROUP BY 1) USING (b), e", "WITH e AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 50 AS w, count(*) AS every, avg(l_extendedprice) AS mean FROM lineitem)", 9),
+    "activity_density": sql_rounded("x density", "SELECT x, sum(exp(-((x - v) / h) * ((x - v) / h) / 2)) / any_value(n * h) / sqrt(2 * pi()) AS density FROM (SELECT lo + k * (hi - lo) / 299 AS x, h, n FROM e, (SELECT range AS k FROM range(300))), (SELECT l_extendedprice AS v FROM lineitem) GROUP BY x", "WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n, stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS h FROM lineitem)", 12),
     "media_best_snapshot": sql_rounded("error", "SELECT p_brand, p_partkey AS iteration, p_retailprice AS error FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) = 1"),
     "media_corrupted": sql_rounded("worst_ratio", "SELECT user_id, count(*) AS n_frames, sum(bad)::BIGINT AS n_bad, max(r) AS worst_ratio, max(r) > 0.1 AS failed FROM (SELECT user_id, bad, sum(bad) OVER w / (count(*) OVER w)::DOUBLE AS r FROM (SELECT *, CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END AS bad FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) GROUP BY 1"),
     "media_last_good": sql_rounded("value", "SELECT user_id, event_id, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM events"),
@@ -166,7 +159,6 @@ ORACLES = {
     "video_routing": _NAMES + " SELECT c_custkey, file, CASE WHEN contains(file, 'RecM') THEN 'RecM' ELSE 'RecS' END AS camera, CASE WHEN contains(file, 'RecM') AND length(split_part(file, '_', 3)) >= 6 AND try_cast(substr(split_part(file, '_', 3), 1, 2) AS INTEGER) IS NOT NULL THEN printf('%s_time_%02d', substr(split_part(file, '_', 2), 3), substr(split_part(file, '_', 3), 1, 2)::INTEGER + 1) END AS hour_folder FROM n WHERE lower(file) LIKE '%.mp4' AND (contains(file, 'RecM') OR contains(file, 'RecS'))",
     "video_unlabeled": _NAMES + " SELECT c_custkey, file FROM n WHERE lower(file) LIKE '%.mp4' AND NOT contains(lower(file), '_labeled')",
     "crop_geometry": "SELECT p_partkey, cx, cy, greatest(0, cx - 320) AS x0, greatest(0, cy - 180) AS y0, least(w, cx + 320) AS x1, least(h, cy + 180) AS y1 FROM (SELECT p_partkey, w, h, w // 2 + p_partkey % 41 - 20 AS cx, h // 2 + p_partkey % 17 - 8 AS cy FROM (SELECT p_partkey, p_size::BIGINT * 13 + 301 AS w, p_size::BIGINT * 7 + 200 AS h FROM part))",
-    "numeric_coercion": sql_rounded("with_commas plain", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 2 THEN o_orderkey::DOUBLE END AS with_commas, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN round(o_totalprice, 2) < 1000 THEN o_totalprice END WHEN 2 THEN o_orderkey::DOUBLE END AS plain FROM orders WHERE o_orderkey % 5 = 0", digits=2),
+    "numeric_coercion": sql_rounded("with_commas plain", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 2 THEN o_orderkey::DOUBLE END AS with_commas, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN round(o_totalprice, 2) < 1000 THEN o_totalprice END WHEN 2 THEN o_orderkey::DOUBLE END AS plain FROM orders", digits=2),
     "frame_minutes": sql_rounded("minute chunk_minute", "SELECT user_id, frame::INTEGER AS frame, frame / 60.0::DOUBLE AS minute, frame * 1.5::DOUBLE AS chunk_minute FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) WHERE frame % 10 = 0"),
 }
-ORACLES["numeric_coercion_all"] = ORACLES["numeric_coercion"].replace(" WHERE o_orderkey % 5 = 0", "")

@@ -53,16 +53,16 @@ def integrated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def root_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Frequency figures of each session and of all, in one pass."""
-    win = windows.window_table(_prepared(spark, d), CFG).withColumn("root", F.concat(F.lit("session"), F.regexp_extract("file", r"_time_(\d+)_", 1)))
-    return rounded(files.frequency_section(win, [["root"], []]))
+    """The four sections of each session and of all."""
+    frames = _prepared(spark, d)
+    root = F.concat(F.lit("session"), F.regexp_extract("file", r"_time_(\d+)_", 1))
+    win = rounding.round_table(windows.window_table(frames, CFG)).withColumn("root", root)
+    return rounded(files.integrate(win, windows.bending_counts(frames, ["file"]).withColumn("root", root), [["root"], []]), 4)
 
 
 def order_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Six figures by priority and in total."""
-    o = table(spark, d, "orders")
-    stats = windows.six_stats("o_totalprice", F.lit(True))
-    return rounded(o.groupingSets([["o_orderpriority"], []], "o_orderpriority").agg(*stats), 2)
+    return rounded(windows.six_of_groups(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"], [["o_orderpriority"], []]), 2)
 
 
 def arg_max_part(spark: SparkSession, d: str) -> DataFrame:
@@ -73,26 +73,17 @@ def arg_max_part(spark: SparkSession, d: str) -> DataFrame:
 
 def describe_prices(spark: SparkSession, d: str) -> DataFrame:
     """Eight figures of line prices by return flag."""
-    cols = files.describe("l_extendedprice")
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[c.alias(k) for k, c in cols.items()]), 3)
+    return rounded(files.describe_groups(table(spark, d, "lineitem"), ["l_extendedprice"], ["l_returnflag"]), 3)
 
 
-def _horizontal(li: DataFrame) -> DataFrame:
+def horizontal_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Figures over four columns of a row, gaps left out."""
+    li = table(spark, d, "lineitem")
     q, t, s = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     cols = windows.horizontal([F.when(q > 25, q), t, s, F.when(q < 10, q * 2)])
     return rounded(li.select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(k) for k, c in cols.items()]))
 
 
-def horizontal_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Figures over four columns of a row, gaps left out; orders divisible by 50 only."""
-    return _horizontal(table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-def horizontal_stats_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every row."""
-    return _horizontal(table(spark, d, "lineitem"))
-
-
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 200 frames over all events, the last one short."""
     ev = table(spark, d, "events").select("event_id", "value")
@@ -147,7 +138,8 @@ _FILE = _WIN + f""", f0 AS (SELECT file, first(fps) AS fps, first(window_seconds
     first(window_idx ORDER BY freq_mean_hz DESC NULLS LAST, window_idx) AS top, max(freq_mean_hz) AS top_hz FROM w GROUP BY file),
 bend AS (SELECT file, {_BENT} FROM (SELECT file, {_BEND} FROM inc GROUP BY file)),
 peak AS (SELECT file, max(curvature_1_mm) AS max_curvature_value_mm, first(frame ORDER BY curvature_1_mm DESC NULLS LAST, frame) AS pf FROM inc GROUP BY file)"""
-_FILE_BODY = f"""SELECT f0.* EXCLUDE (top, top_hz), regexp_extract(f0.file, 'T([0-9]{{8}}_time_[0-9]+)', 1) AS "Datetime", skipped_frames * 100.0::DOUBLE / n_frames AS skipped_rate_pct, {_SHARE},
+_STEM = "regexp_extract(f0.file, '(T[0-9]{8}_time_[0-9]+)', 1) || '_' || substr(f0.file, instr(lower(f0.file), 'tracking_analysis'))"
+_FILE_BODY = f"""SELECT {_STEM} AS file, f0.* EXCLUDE (file, top, top_hz), regexp_extract(f0.file, 'T([0-9]{{8}}_time_[0-9]+)', 1) AS "Datetime", skipped_frames * 100.0::DOUBLE / n_frames AS skipped_rate_pct, {_SHARE},
     CASE WHEN n_frames > skipped_frames THEN "file_sum_MFC5_frame_dist_mm" / ((n_frames - skipped_frames) / 20.0::DOUBLE) / 490 END AS "Average speed of MFC5(BL/s)",
     CASE WHEN n_frames > skipped_frames THEN "file_sum_Tail1_travel_distance_mm" / ((n_frames - skipped_frames) / 20.0::DOUBLE) / 490 END AS "Average speed(reference line) of Tail1(BL/s)",
     CASE WHEN top_hz IS NOT NULL THEN w.window_idx END AS max_freq_window_idx, top_hz AS max_freq_hz, CASE WHEN top_hz IS NOT NULL THEN w.start_frame END AS max_freq_start_frame, CASE WHEN top_hz IS NOT NULL THEN w.end_frame END AS max_freq_end_frame,
@@ -162,16 +154,25 @@ _ROUNDED = _WIN + ", rw AS (SELECT * REPLACE (" + ", ".join(
     + [f"round_even({c}, 2) AS {c}" for c in _RATES]
 ) + ") FROM w)"
 _SECTION_DOUBLES = ["total_skipped_rate_pct", *_EIGHT, *[f"tail{k}_freq_pct" for k in range(1, 5)], "mean", "median", "std", "min", "max", "valid_ratio", *_BENT_DOUBLES]
-_SECTIONS = f"""SELECT 'global_frequency' AS section, 'O' AS variant, *, {_SHARE}, 0 AS section_order FROM (SELECT {_FREQ} FROM rw)
-  UNION ALL BY NAME SELECT 'global_curvature' AS section, 'O' AS variant, 'curvature_1' AS curvature, {_weighted("curvature_1_mm_mean", "", "")}, count(curvature_1_mm_mean) AS n_valid, 1 AS section_order FROM rw
-  UNION ALL BY NAME SELECT 'global_series' AS section, 'O' AS variant, 'curvature_1_radius_mm' AS series, {_weighted("curvature_1_radius_mm_mean", "", "")}, count(curvature_1_radius_mm_mean) AS n_valid, 2 AS section_order FROM rw
-  UNION ALL BY NAME SELECT 'global_series' AS section, 'O' AS variant, 'body_length_mm' AS series, {_weighted("body_length_mm_mean", "", "")}, count(body_length_mm_mean) AS n_valid, 2 AS section_order FROM rw
-  UNION ALL BY NAME SELECT 'global_bending_distribution' AS section, 'O' AS variant, {_BENT}, 3 AS section_order FROM (SELECT {_BEND} FROM inc)"""
+
+
+def _sections(group: str = "") -> str:
+    """The four sections, over all rows or by each root and over all."""
+    by, sets = ("root, ", " GROUP BY GROUPING SETS ((root), ())") if group else ("", "")
+    return f"""SELECT 'global_frequency' AS section, 'O' AS variant, *, {_SHARE}, 0 AS section_order FROM (SELECT {by}{_FREQ} FROM rw{sets})
+  UNION ALL BY NAME SELECT 'global_curvature' AS section, 'O' AS variant, {by}'curvature_1' AS curvature, {_weighted("curvature_1_mm_mean", "", "")}, count(curvature_1_mm_mean) AS n_valid, 1 AS section_order FROM rw{sets}
+  UNION ALL BY NAME SELECT 'global_series' AS section, 'O' AS variant, {by}'curvature_1_radius_mm' AS series, {_weighted("curvature_1_radius_mm_mean", "", "")}, count(curvature_1_radius_mm_mean) AS n_valid, 2 AS section_order FROM rw{sets}
+  UNION ALL BY NAME SELECT 'global_series' AS section, 'O' AS variant, {by}'body_length_mm' AS series, {_weighted("body_length_mm_mean", "", "")}, count(body_length_mm_mean) AS n_valid, 2 AS section_order FROM rw{sets}
+  UNION ALL BY NAME SELECT 'global_bending_distribution' AS section, 'O' AS variant, {by}{_BENT}, 3 AS section_order FROM (SELECT {by}{_BEND} FROM ri{sets})"""
+
+
+_ROOT = "'session' || regexp_extract(file, '_time_([0-9]+)_', 1) AS root"
+_BY_ROOT = _ROUNDED.replace("rw AS (SELECT *", f"ri AS (SELECT *, {_ROOT} FROM inc), rw AS (SELECT {_ROOT}, *")
 
 QUERIES = {
     "window_increments": increments, "window_cumulative_series": cumulative_series, "window_table": window_table, "window_table_rounded": rounded_window_table, "window_tumbling": tumbling_windows,
     "file_summary": file_summary, "file_bending": bending_by_file, "integrated_sections": integrated, "integrated_root_rollup": root_rollup, "order_rollup": order_rollup,
-    "arg_max_part": arg_max_part, "describe_prices": describe_prices, "horizontal_stats": horizontal_stats, "horizontal_stats_all": horizontal_stats_all,
+    "arg_max_part": arg_max_part, "describe_prices": describe_prices, "horizontal_stats": horizontal_stats,
 }
 
 ORACLES = {
@@ -182,11 +183,10 @@ ORACLES = {
     "window_tumbling": sql_rounded("value_mean value_median value_std value_min value_max", f"SELECT floor(event_id / 200)::BIGINT AS window_idx, min(event_id) AS start_frame, max(event_id) + 1 AS end_frame, {_six('value', 'value', 'value >= 5')} FROM events GROUP BY 1"),
     "file_summary": sql_rounded(_FILE_DOUBLES, _FILE_BODY, _FILE, 9),
     "file_bending": sql_rounded(_BENT_DOUBLES, f"SELECT file, {_BENT} FROM (SELECT file, {_BEND} FROM inc GROUP BY file)", TRACK),
-    "integrated_sections": sql_rounded(_SECTION_DOUBLES, _SECTIONS, _ROUNDED, 4),
-    "integrated_root_rollup": sql_rounded(["total_skipped_rate_pct", *_EIGHT, *[f"tail{k}_freq_pct" for k in range(1, 5)]], f"SELECT 'global_frequency' AS section, 'O' AS variant, *, {_SHARE} FROM (SELECT root, {_FREQ} FROM (SELECT *, 'session' || regexp_extract(file, '_time_([0-9]+)_', 1) AS root FROM w) GROUP BY GROUPING SETS ((root), ()))", _WIN),
+    "integrated_sections": sql_rounded(_SECTION_DOUBLES, _sections(), _ROUNDED + ", ri AS (SELECT * FROM inc)", 4),
+    "integrated_root_rollup": sql_rounded(_SECTION_DOUBLES, _sections("root"), _BY_ROOT, 4),
     "order_rollup": sql_rounded("o_totalprice_mean o_totalprice_median o_totalprice_std o_totalprice_min o_totalprice_max", f"SELECT o_orderpriority, {_six('o_totalprice', 'o_totalprice', 'true')} FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())", digits=2),
     "arg_max_part": sql_rounded("p_retailprice", "SELECT p_brand, p_partkey, p_name, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1"),
     "describe_prices": sql_rounded([f"l_extendedprice_{s}" for s in ("mean", "median", "std", "min", "max", "p10", "p90", "nonzero_ratio")], f"SELECT l_returnflag, {_eight('l_extendedprice')} FROM lineitem GROUP BY 1", digits=3),
-    "horizontal_stats": sql_rounded("mean median min max", "SELECT l_orderkey, l_linenumber, l_partkey, list_avg(v) AS mean, list_median(v) AS median, list_min(v) AS min, list_max(v) AS max, len(v)::INTEGER AS n FROM (SELECT *, list_filter([CASE WHEN l_quantity > 25 THEN l_quantity END, l_tax, l_discount, CASE WHEN l_quantity < 10 THEN l_quantity * 2 END], lambda x: x IS NOT NULL) AS v FROM lineitem WHERE l_orderkey % 50 = 0)"),
+    "horizontal_stats": sql_rounded("mean median min max", "SELECT l_orderkey, l_linenumber, l_partkey, list_avg(v) AS mean, list_median(v) AS median, list_min(v) AS min, list_max(v) AS max, len(v)::INTEGER AS n FROM (SELECT *, list_filter([CASE WHEN l_quantity > 25 THEN l_quantity END, l_tax, l_discount, CASE WHEN l_quantity < 10 THEN l_quantity * 2 END], lambda x: x IS NOT NULL) AS v FROM lineitem)"),
 }
-ORACLES["horizontal_stats_all"] = ORACLES["horizontal_stats"].replace(" WHERE l_orderkey % 50 = 0", "")
