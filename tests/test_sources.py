@@ -5,8 +5,8 @@ import logging
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.config import PARTS
-from tidewake.operators import frames
+from tidewake.config import PARTS, WindowConfig
+from tidewake.operators import activity, files, frames, summary, windows
 from tidewake.sources import scans, sinks
 
 
@@ -61,6 +61,45 @@ def test_listings(spark, tmp_path):
         scans.pick_csv(str(deep))
 
 
+def test_lists_are_in_order_of_names(spark, tmp_path):
+    for name in ("c.mp4", "a.mp4", "b.mp4"):
+        (tmp_path / name).write_text("x")
+    for got in (scans.videos(spark, str(tmp_path)), scans.list_files(spark, str(tmp_path))):
+        assert [r["file"] for r in got.collect()] == ["a.mp4", "b.mp4", "c.mp4"]
+
+
+def test_roots_and_rejects(spark, tmp_path):
+    for k, letter in enumerate("äé"):
+        (tmp_path / f"s{k}").mkdir()
+        (tmp_path / f"s{k}" / "a b.csv").write_bytes(f"file,note\nf{k},{letter}\n".encode("utf-8" if k else "cp1252"))
+    (tmp_path / "s1" / "broken.csv").write_bytes(b"file,note\nf9,\x81\xff\n")
+    got = scans.roots(spark, [str(tmp_path / "s0"), str(tmp_path / "s1")]).orderBy("file").collect()
+    assert [(r["file"], r["note"], r["root"].rsplit("/", 1)[1]) for r in got] == [("f0", "ä", "s0"), ("f1", "é", "s1")]
+    told = {r["file"].rsplit("/", 1)[1]: (r["ok"], r["error"]) for r in scans.tracking_files(spark, str(tmp_path / "s1")).collect()}
+    assert told == {"a%20b.csv": (True, None), "broken.csv": (False, "no encoding reads it")}
+    sinks.rejects(scans.tracking_files(spark, str(tmp_path / "s1")), str(tmp_path / "told"))
+    assert sorted(str(r["ok"]) for r in scans.table(spark, str(tmp_path / "told")).collect()) == ["False", "True"]
+
+
+def test_names_of_columns_in_either_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Größe,x\n1,2\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("\ufeffGröße,x\n1,2\n".encode())
+    assert [scans.tracking(spark, str(tmp_path / f)).columns[:2] for f in ("a.csv", "b.csv")] == [["Größe", "x"]] * 2
+
+
+def test_home_root(monkeypatch):
+    monkeypatch.setenv("TIDEWAKE_TEST_HOME", "/data")
+    monkeypatch.delenv("TIDEWAKE_TEST_NONE", raising=False)
+    assert scans.home_root("TIDEWAKE_TEST_NONE", "TIDEWAKE_TEST_HOME") == "/data"
+    assert scans.home_root("TIDEWAKE_TEST_NONE").startswith("/")
+
+
+def test_nested_settings(tmp_path):
+    f = tmp_path / "c.yaml"
+    f.write_text("skeleton:\n  head:\n    a: 1\n    b: [x]\n  tail: 2.5\nvideos: # none\nlist:\n- 1\n- two\nnet:\n  layers:\n  - 3\n  - 4\n  rate: 0.5\nlast: yes\n")
+    assert scans.settings(str(f)) == {"skeleton": {"head": {"a": 1, "b": "[x]"}, "tail": 2.5}, "videos": [], "list": [1, "two"], "net": {"layers": [3, 4], "rate": 0.5}, "last": "yes"}
+
+
 def test_settings(tmp_path):
     f = tmp_path / "c.yaml"
     f.write_text("Task: fish\niteration: 0 # first\nbodyparts:\n- Head1\n- Tail1\npcutoff: 0.6\n")
@@ -85,3 +124,41 @@ def test_logger_rotates(tmp_path):
     log.info("hello")
     logging.shutdown()
     assert "hello" in (tmp_path / "run.log").read_text()
+
+
+def windows_and_counts(spark):
+    df = spark.createDataFrame([(f"T2024101{f}_time_18_x_tracking_analysis", k, 0.001 * (k + f), "Normal", k) for f in range(2) for k in range(12)], "file string, frame long, curvature_1_mm double, curvature_1_class string, Tail1_cumulative_swim_count long")
+    frames_ = windows.prepare(df)
+    return windows.window_table(frames_, WindowConfig(frames=4)), windows.bending_counts(frames_, ["file"])
+
+
+def read(spark, path):
+    return scans.table(spark, str(path))
+
+
+def test_tables_that_the_sinks_write(spark, tmp_path):
+    win, counts = windows_and_counts(spark)
+    sinks.windows(win, str(tmp_path / "w"))
+    got = read(spark, tmp_path / "w")
+    assert got.count() == 6 and {"file", "window_idx", "curvature_1_mm_mean"} <= set(got.columns)
+    assert "\ufeff" in next((tmp_path / "w").rglob("*.csv")).read_text(encoding="utf-8")[:1]
+    root = F.substring("file", 1, 9)
+    sinks.file_summaries(files.file_summary(win, WindowConfig(frames=4), counts).withColumn("root", F.lit("r")), str(tmp_path / "f"), "root")
+    got = read(spark, tmp_path / "f").orderBy("file").collect()
+    assert [r["file"] for r in got] == ["T20241010_time_18_tracking_analysis", "T20241011_time_18_tracking_analysis"] and got[0]["n_windows"] == 3
+    by = files.integrate(win.withColumn("root", root), counts.withColumn("root", root), [["root"], []])
+    sinks.integrated(by, str(tmp_path / "i"), "root")
+    got = read(spark, tmp_path / "i").groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {("T20241010", 3), ("T20241011", 3), (None, 3)}
+    total = summary.total_summary([spark.createDataFrame([("a", 1.0)], "video_name string, Tail1_swim_frequency_hz double"), spark.createDataFrame([("b", 12.5)], "video_name string, Head1_total_distance_mm double")])
+    sinks.video_summaries(total, str(tmp_path / "v"))
+    got = {r["video_name"]: r for r in read(spark, tmp_path / "v").collect()}
+    assert got["a"]["Tail1_swim_frequency_hz"] == 1.0 and got["a"]["Head1_total_distance_mm"] is None and got["b"]["Head1_total_distance_mm"] == 12.0
+    sinks.combined_hourly(spark.createDataFrame([(1, 2.0), (0, 1.0)], "hour_bin int, x double"), str(tmp_path / "h"))
+    assert [r["hour_bin"] for r in read(spark, tmp_path / "h").collect()] == [0, 1]
+
+
+def test_a_missing_column_has_its_default(spark):
+    df = spark.createDataFrame([(1,)], "a int")
+    got = df.select(activity.safe(df, "a").alias("a"), activity.safe(df, "b", 7).alias("b"), activity.safe(df, "c").alias("c")).first()
+    assert tuple(got) == (1, 7, None)

@@ -1,4 +1,4 @@
-"""Readers: pose, tracking, summary and evaluation tables, file listings and settings."""
+"""Readers: pose, tracking, summary and evaluation tables, file listings by name, and settings."""
 
 from __future__ import annotations
 
@@ -26,15 +26,15 @@ def pose(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFr
     """Frames (video_id, frame, kp) of pose CSVs, and rejects (file, error).
 
     Columns count by position; header lines are those whose first field is no number. A file without frames, or with rows of
-    fewer than 34 fields, is rejected as a whole.
+    fewer than 34 fields, is rejected as a whole: one pass over the lines counts each file's frames and fields, one reads them.
     """
     raw = spark.read.text(paths).withColumn("file", F.input_file_name())
-    rows = raw.select("file", F.split("value", ",", -1).alias("f"), F.get(F.split("value", ",", -1), F.lit(0)).try_cast("double").alias("frame"))
+    rows = raw.select("file", F.split("value", ",", -1).alias("f")).withColumn("frame", F.get("f", F.lit(0)).try_cast("double"))
     body = rows.where("frame is not null")
     width = 1 + 3 * len(PARTS)
-    short = body.groupBy("file").agg(F.min(F.size("f")).alias("n"))
-    empty = rows.groupBy("file").agg(F.count("frame").alias("n")).where("n = 0").select("file", F.lit("no frames").alias("error"))
-    rejects = short.where(F.col("n") < width).select("file", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" columns")).alias("error")).unionByName(empty)
+    seen = rows.groupBy("file").agg(F.count("frame").alias("frames"), F.min(F.when(F.col("frame").isNotNull(), F.size("f"))).alias("n"))
+    error = F.when(F.col("frames") == 0, "no frames").when(F.col("n") < width, F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" columns")))
+    rejects = seen.select("file", error.alias("error")).where("error is not null")
     at = lambda k: no_nan(F.trim(F.get("f", F.lit(k))).try_cast("double"))
     kp = F.array(*[F.struct(F.lit(p).alias("part"), at(1 + 3 * k).alias("x"), at(2 + 3 * k).alias("y"), at(3 + 3 * k).alias("likelihood")) for k, p in enumerate(PARTS)])
     good = body.join(rejects.select("file"), "file", "left_anti")
@@ -47,36 +47,52 @@ def keypoints(df: DataFrame, parts: dict[str, tuple[str, str, str]]) -> DataFram
 
 
 def _without_bom(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
-def encoding_of(content: Column) -> Column:
-    """The first encoding that reads all bytes of a file: UTF-8 with or without mark, then Windows-1252; null where neither does."""
-    undefined = reduce(Column.__or__, [F.contains(content, F.lit(bytes([b]))) for b in _UNDEFINED])
-    return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").when(~undefined, "cp1252")
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
+
+def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, encoding): the first encoding that reads all lines of a file, UTF-8 with or without mark, then Windows-1252; null where neither does.
+
+    A pass over the files' lines as bytes, so a file is never held as a whole and may be read by many tasks.
+    """
+    line = F.col("value").cast("binary")
+    undefined = reduce(Column.__or__, [F.contains(line, F.lit(bytes([b]))) for b in _UNDEFINED])
+    seen = spark.read.text(paths).select(_file().alias("file"), F.is_valid_utf8("value").alias("utf8"), undefined.alias("undefined"))
+    return seen.groupBy("file").agg(F.when(F.bool_and("utf8"), "utf-8").when(~F.bool_or("undefined"), "cp1252").alias("encoding"))
+
+
+def tracking_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, ok, error) of every file that has a line: what ``tracking`` reads and what it leaves out."""
+    ok = F.col("encoding").isNotNull()
+    return encodings(spark, paths).select("file", ok.alias("ok"), F.when(~ok, "no encoding reads it").alias("error"))
 
 
 def tracking(spark: SparkSession, paths: str | list[str], root: str | None = None) -> DataFrame:
-    """Tracking or window tables with a header; columns are text, ``source_path`` and ``root`` are added. Files may differ in encoding."""
-    groups: dict[str, list[str]] = {}
-    listed = spark.read.format("binaryFile").load(paths).select("path", encoding_of(F.col("content")).alias("encoding"))
-    for row in listed.where("encoding is not null").toLocalIterator():
-        groups.setdefault(row["encoding"], []).append(row["path"])
-    if not groups:
-        raise ValueError("no readable file")
-    parts = [_read(spark, e, files).withColumn("source_path", F.input_file_name()) for e, files in sorted(groups.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.withColumn("root", F.lit(root))
+    """Tracking or window tables with a header; columns are text, ``source_path`` and ``root`` are added. Files may differ in encoding.
+
+    All files are parsed byte by byte (marks of CSV are ASCII in either encoding) and meet their encoding in a join; then
+    letters are put together. A file that no encoding reads is left out and told by ``tracking_files``.
+    """
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(paths)
+    names = [_header(c) for c in raw.columns]
+    held = raw.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(raw.columns)], _file().alias("file"))
+    met = held.join(encodings(spark, paths).where("encoding is not null"), "file")
+    old, new = ("".join(x) for x in zip(*_LATIN, strict=True))
+    utf8 = F.col("encoding") == "utf-8"
+    text = lambda c: F.when(utf8, F.encode(c, "ISO-8859-1").cast("string")).otherwise(F.translate(c, old, new))
+    return met.select(*[text(F.col(f"_c{k}")).alias(n) for k, n in enumerate(names)], F.col("file").alias("source_path"), F.lit(root).alias("root"))
 
 
-def _read(spark: SparkSession, encoding: str, files: list[str]) -> DataFrame:
-    df = _without_bom(spark.read.option("header", True).option("encoding", "ISO-8859-1" if encoding == "cp1252" else "UTF-8").csv(files))
-    if encoding == "cp1252":
-        old, new = ("".join(x) for x in zip(*_LATIN, strict=True))
-        df = df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c) for c in df.columns])
-    return df
+def _header(name: str) -> str:
+    raw = name.encode("latin-1", "replace")
+    try:
+        return raw.decode("utf-8-sig").strip()
+    except UnicodeDecodeError:
+        return raw.decode("cp1252", "replace").strip()
 
 
 def roots(spark: SparkSession, paths: list[str], **more) -> DataFrame:
@@ -109,20 +125,21 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, path: str, glob: str = "*", contains: str = "") -> DataFrame:
     """(path, file, size) of the files right below a folder, by name; contains: part of the name in any case."""
     got = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"))
-    return got.where(F.lower("file").contains(contains.lower())) if contains else got
+    return (got.where(F.lower("file").contains(contains.lower())) if contains else got).orderBy("path")
 
 
 def videos(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file) of the videos right below a folder, by name."""
     got = spark.read.format("binaryFile").load(path).select("path", F.substring_index("path", "/", -1).alias("file"))
-    return got.where(is_video(F.col("file"), VIDEO))
+    return got.where(is_video(F.col("file"), VIDEO)).orderBy("path")
 
 
 def raw_videos(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file, date, hour_folder) of recordings in date folders below RecM hour folders."""
+    """(path, file, date, hour_folder) of recordings in date folders below RecM hour folders, by name."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     shape = r"/([^/]+)/RecM/([^/]*_time_[^/]*)/([^/]+)$"
     got = got.where(F.col("path").rlike(shape))
-    return got.select("path", F.regexp_extract("path", shape, 3).alias("file"), F.regexp_extract("path", shape, 1).alias("date"), F.regexp_extract("path", shape, 2).alias("hour_folder")).where(is_video(F.col("file"), VIDEO))
+    return got.select("path", F.regexp_extract("path", shape, 3).alias("file"), F.regexp_extract("path", shape, 1).alias("date"), F.regexp_extract("path", shape, 2).alias("hour_folder")).where(is_video(F.col("file"), VIDEO)).orderBy("path")
 
 
 def pick_csv(path: str, glob: str = "*.csv") -> str:
@@ -145,20 +162,45 @@ def home_root(*variables: str) -> str:
 
 
 def settings(path: str) -> dict:
-    """Flat settings of a YAML file: ``key: value`` lines and lists; nested maps are left out."""
+    """Settings of a YAML file: ``key: value`` lines, lists of scalars, and maps nested by indentation."""
     out: dict = {}
-    key = None
+    open_: list[tuple[int, dict]] = [(-1, out)]  # maps under way with the indentation of their keys' parent
+    last: tuple[dict, str] | None = None
     with open(path, encoding="utf-8") as f:
         for line in f:
             bare = line.split(" #")[0].rstrip()
-            if not bare or bare.lstrip().startswith("#"):
+            text = bare.lstrip()
+            if not text or text.startswith("#"):
                 continue
-            if bare.lstrip().startswith("- ") and key is not None and isinstance(out.get(key), list):
-                out[key].append(_scalar(bare.lstrip()[2:]))
-            elif not bare[0].isspace() and ":" in bare:
-                key, _, value = bare.partition(":")
-                out[key] = _scalar(value.strip()) if value.strip() else []
-    return out
+            depth = len(bare) - len(text)
+            if text.startswith("- "):
+                if last is not None:
+                    held = last[0].get(last[1])
+                    if not isinstance(held, list):
+                        held = last[0][last[1]] = []
+                    held.append(_scalar(text[2:].strip()))
+                continue
+            if ":" not in text:
+                continue
+            while depth <= open_[-1][0]:
+                open_.pop()
+            key, _, value = text.partition(":")
+            mine = open_[-1][1]
+            if value.strip():
+                mine[key] = _scalar(value.strip())
+            else:  # a list or a map, as the lines below tell; without any, an empty list
+                mine[key] = _Later()
+                open_.append((depth, mine[key]))
+            last = (mine, key)
+    return _settled(out)
+
+
+class _Later(dict):
+    """A value that the lines below make a map."""
+
+
+def _settled(held: dict) -> dict:
+    return {k: (_settled(v) if v else []) if isinstance(v, _Later) else v for k, v in held.items()}
 
 
 def update_settings(path: str, new: dict) -> None:

@@ -11,8 +11,11 @@ from tidewake.config import FrameConfig
 from tidewake.operators.rounding import round_frames, round_table
 
 
-def csv(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """CSV with a header; nulls are empty fields."""
+def csv(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite", mark: bool = False) -> None:
+    """CSV with a header; nulls are empty fields. mark: files begin with a byte order mark, as spreadsheets ask for; this engine's readers take it off."""
+    if mark:
+        first = next(c for c in df.columns if c not in (by or []))
+        df = df.withColumnRenamed(first, f"\ufeff{first}")
     writer = df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
     (writer.partitionBy(*by) if by else writer).csv(path)
 
@@ -21,26 +24,26 @@ def tracking(df: DataFrame, path: str, cfg: FrameConfig = FrameConfig(), as_csv:
     """The rounded tracking table, a folder for each video."""
     rounded = round_frames(df, cfg)
     if as_csv:
-        csv(rounded, path, ["video_id"])
+        csv(rounded, path, ["video_id"], mark=True)
     else:
         rounded.write.mode("overwrite").partitionBy("video_id").parquet(path)
 
 
 def video_summaries(df: DataFrame, path: str, cfg: FrameConfig = FrameConfig()) -> None:
-    csv(round_frames(df, cfg), path)
+    csv(round_frames(df, cfg), path, mark=True)
 
 
 def windows(df: DataFrame, path: str) -> None:
-    csv(round_table(df), path, ["file"])
+    csv(round_table(df), path, ["file"], mark=True)
 
 
 def file_summaries(df: DataFrame, path: str, root: str | None = None) -> None:
-    csv(round_table(df, summary=True), path, [root] if root else None)
+    csv(round_table(df, summary=True), path, [root] if root else None, mark=True)
 
 
 def integrated(df: DataFrame, path: str, root: str | None = None) -> None:
     """Section tables by root, or the grand totals without one."""
-    csv(df.orderBy("section_order"), path, [root] if root else None)
+    csv(df.orderBy("section_order"), path, [root] if root else None, mark=True)
 
 
 def series(df: DataFrame, path: str, index: str = "date") -> None:
@@ -53,8 +56,8 @@ def combined_hourly(df: DataFrame, path: str) -> None:
 
 
 def rejects(df: DataFrame, path: str) -> None:
-    """(file, ok, error) of what could not be read."""
-    csv(df.select("file", F.lit(False).alias("ok"), "error"), path)
+    """(file, ok, error) of files: what the readers say, or what could not be read where they don't say ``ok``."""
+    csv(df.select("file", F.col("ok") if "ok" in df.columns else F.lit(False).alias("ok"), "error"), path)
 
 
 def figure(df: DataFrame, path: str, x: str, ys: list[str], most: int = 10_000) -> bool:
