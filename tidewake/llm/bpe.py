@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import table
-from tidewake.llm.word_shuffle import blocks, buckets_of, finish, work
+from tidewake.llm.word_shuffle import Deal, blocks, finish, work
 
 RANKS = "byte_bpe_50k.tiktoken"
 COUNTER = "byte_bpe_50k.json"
@@ -88,9 +88,9 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         names, types, schema = [*names, "ids"], [*types, pa.list_(pa.int32())], schema + ", ids array<int>"
-    buckets = buckets_of(docs)
-    rows = work(blocks(docs, split, buckets, False, id_col, text_col), each, buckets)
-    return finish(rows, put, names, types, schema)
+    deal = Deal.of(docs, text_col)
+    rows = work(blocks(docs, split, deal, False, id_col, text_col), each, deal)
+    return finish(rows, put, deal, names, types, schema)
 
 
 def _bytes(sent) -> list[bytes]:
@@ -159,10 +159,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, pattern: str = pu
 
         return made
 
-    buckets = buckets_of(docs)
-    rows = work(blocks(docs, split, buckets, True, id_col, text_col), each, buckets)
+    deal = Deal.of(docs, text_col)
+    rows = work(blocks(docs, split, deal, True, id_col, text_col), each, deal)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    return finish(rows, put, ["doc_id", "n_bytes", "n_tokens", "over_limit"], types, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return finish(rows, put, deal, ["doc_id", "n_bytes", "n_tokens", "over_limit"], types, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _counter(sent):

@@ -1,12 +1,17 @@
 """A global shuffle of distinct pre-tokens, for work that depends on the pre-token alone.
 
 One pass splits whole texts. A task gathers documents into blocks of about ``BLOCK`` bytes of text and explodes each block
-into (1) its distinct words, dealt over buckets by a hash of their first bytes, each with its slot number, and (2) its documents as
+into (1) its distinct words, dealt over buckets by a hash of the whole word, each with its slot number, and (2) its documents as
 slots in order of position, or as slots with frequencies. In a bucket's task every distinct word of the corpus is worked on
 once and the results take the slots' place; they return to their block, where documents are put together again from their
 slots. A frequent word is one entry for each block, so no word is hot; texts never move, and slots, ranked by frequency and
 compressed, move as about a byte and a half for each pre-token.
 
+The bytes of the texts, summed up first, give the number of buckets (one for each ``BUCKET`` bytes, ``FAN`` at most) and of the
+partitions that blocks return to. So a block sends ``FAN`` packets at most, packets grow with the input, and blocks keep out of
+each other's way. A bucket's task remembers up to ``KNOWN`` words and begins anew beyond that: memory is bounded, and in a
+bucket with more distinct words than that some are worked on again, with the same result.
+
 A block's id is a hash of its content: a task that runs again over other rows makes other blocks, and a block whose words
 don't all return stops the query instead of giving wrong rows.
 """
@@ -14,10 +19,13 @@ don't all return stops the query instead of giving wrong rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +33,12 @@ from tidewake.llm.common import bound_batches, pack, unpack
 
 #: Bytes of text in a block, and pre-tokens in a row of its documents, about.
 BLOCK, ROW = 16 << 20, 1 << 17
-#: Words that begin alike share a bucket, where they compress well.
-PREFIX = 6
+#: Bytes of text for each bucket of words, the most buckets that a block deals its words to, and words that a bucket's task remembers.
+BUCKET, FAN, KNOWN = 32 << 20, 2048, 1 << 20
 WORDS, DOCS = 0, 1
-ROWS = "spot long, blk binary, kind int, seq int, data binary"
-_NAMES = ["spot", "blk", "kind", "seq", "data"]
+ROWS = "spot int, home int, blk binary, kind int, seq int, data binary"
+_NAMES = ["spot", "home", "blk", "kind", "seq", "data"]
+_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
 class _Slots(dict):
@@ -38,9 +47,30 @@ class _Slots(dict):
         return slot
 
 
+@dataclass(frozen=True)
+class Deal:
+    """How many buckets words go to, and how many partitions blocks return to."""
+
+    buckets: int
+    homes: int
+
+    @classmethod
+    def of(cls, docs: DataFrame, text_col: str) -> Deal:
+        """By the bytes of the texts: one pass over them in the JVM."""
+        size = docs.select(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+        return cls(min(FAN, 1 + size // BUCKET), 1 + 3 * (1 + size // BLOCK))
+
+    def home(self, task: int, k: int) -> int:
+        """The partition of a task's k-th block: steps by the golden section keep tasks apart."""
+        step = max(1, round(0.618 * self.homes))
+        while gcd(step, self.homes) > 1:
+            step += 1
+        return (task * step + k) % self.homes
+
+
 class _Block:
-    def __init__(self, buckets: int, counted: bool):
-        self.buckets, self.counted = buckets, counted
+    def __init__(self, buckets: int, home: int, counted: bool):
+        self.buckets, self.home, self.counted = buckets, home, counted
         self.slots, self.docs, self.size = _Slots(), [], 0
 
     def add(self, doc_id: int | None, size: int, words: list[str], extra: int) -> None:
@@ -73,14 +103,13 @@ class _Block:
         blk = xxhash.xxh3_128_digest(b"".join(parts) + b"\0".join(words))
         spots: list[list[int]] = [[] for _ in range(self.buckets)]
         for slot in order.tolist():
-            spots[xxhash.xxh3_64_intdigest(words[slot][:PREFIX]) % self.buckets].append(slot)
+            spots[xxhash.xxh3_64_intdigest(words[slot]) % self.buckets].append(slot)
         for spot, mine in enumerate(spots):
             if mine:
                 own = [words[s] for s in mine]
-                yield spot, blk, WORDS, 0, pack(np.diff(rank[mine], prepend=np.uint32(0)), np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))
-        home = int.from_bytes(blk[:6], "little")
+                yield spot, self.home, blk, WORDS, 0, pack(np.diff(rank[mine], prepend=np.uint32(0)), np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))
         for seq, data in enumerate(parts):
-            yield (home + seq) % self.buckets, blk, DOCS, seq, np.uint32(len(words)).tobytes() + data
+            yield (self.home + seq) % self.buckets, self.home, blk, DOCS, seq, np.uint32(len(words)).tobytes() + data
 
     def _documents(self, docs: list[tuple], rank: np.ndarray) -> bytes:
         ids = np.array([d[0] or 0 for d in docs], "<i8").tobytes()
@@ -97,11 +126,12 @@ class _Block:
         return pack(ids, nulls, *arrays, *([np.concatenate(counts)] if counts else []))
 
 
-def blocks(docs: DataFrame, split: Callable[[str], tuple[list[str], int]], buckets: int, counted: bool, id_col: str, text_col: str) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[str], tuple[list[str], int]], deal: Deal, counted: bool, id_col: str, text_col: str) -> DataFrame:
     """Rows (ROWS) of every text. split gives a text's words and a number to carry along; counted: slots with frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(buckets, counted)
+        task, k = TaskContext.get().partitionId(), 0
+        block = _Block(deal.buckets, deal.home(task, k), counted)
         for b in batches:
             for doc_id, raw in zip(b.column("doc_id"), b.column("text"), strict=True):
                 raw = raw.as_py() or b""
@@ -109,7 +139,8 @@ def blocks(docs: DataFrame, split: Callable[[str], tuple[list[str], int]], bucke
                 block.add(doc_id.as_py(), len(raw), words, extra)
                 if block.size >= BLOCK:
                     yield from _batches(block.rows())
-                    block = _Block(buckets, counted)
+                    k += 1
+                    block = _Block(deal.buckets, deal.home(task, k), counted)
         if block.docs:
             yield from _batches(block.rows())
 
@@ -118,19 +149,19 @@ def blocks(docs: DataFrame, split: Callable[[str], tuple[list[str], int]], bucke
 
 
 def _batches(rows: Iterator[tuple], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    types, held, n = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()], [], 0
+    held, n = [], 0
     for r in rows:
         held.append(r)
-        n += len(r[4])
+        n += len(r[5])
         if n >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], _NAMES)
             held, n = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], _NAMES)
 
 
-def work(rows: DataFrame, each: Callable[[list[bytes]], list[np.ndarray]], buckets: int) -> DataFrame:
-    """rows with the words of each bucket replaced by what ``each`` gives for them, arrays of numbers; each sees a word of the corpus once.
+def work(rows: DataFrame, each: Callable[[list[bytes]], list[np.ndarray]], deal: Deal) -> DataFrame:
+    """rows with the words of each bucket replaced by what ``each`` gives for them, arrays of numbers; each sees a word of the corpus once (see KNOWN).
 
     A bucket is a partition of its own, so that buckets don't pile up by chance; documents pass through, spread by their block.
     """
@@ -139,19 +170,21 @@ def work(rows: DataFrame, each: Callable[[list[bytes]], list[np.ndarray]], bucke
         known: dict[bytes, np.ndarray] = {}
         for b in batches:
             out = []
-            for spot, blk, kind, seq, data in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
+            for spot, home, blk, kind, seq, data in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True):
                 if kind == WORDS:
                     slots, lens, text = unpack(data)
                     ends = np.cumsum(lens.astype(np.int64))
                     words = [text[i:j] for i, j in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
+                    if len(known) > KNOWN:
+                        known.clear()
                     new = [w for w in words if w not in known]
                     known.update(zip(new, each(new), strict=True))
                     got = [known[w] for w in words]
                     data = pack(slots, np.array([len(g) for g in got], np.uint32), np.concatenate(got))
-                out.append((spot, blk, kind, seq, data))
+                out.append((spot, home, blk, kind, seq, data))
             yield from _batches(iter(out))
 
-    return rows.repartitionById(buckets, F.col("spot").cast("int")).mapInArrow(run, ROWS)
+    return rows.repartitionById(deal.buckets, F.col("spot")).mapInArrow(run, ROWS)
 
 
 class Words:
@@ -180,7 +213,7 @@ class Words:
         return lens, values[at]
 
 
-def finish(rows: DataFrame, put: Callable[[np.ndarray, np.ndarray], Callable[[list], Iterator[tuple]]], names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
+def finish(rows: DataFrame, put: Callable[[np.ndarray, np.ndarray], Callable[[list], Iterator[tuple]]], deal: Deal, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
     """put(lens, values) of a block's words gives a function from the unpacked arrays of some of its documents to result rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +234,4 @@ def finish(rows: DataFrame, put: Callable[[np.ndarray, np.ndarray], Callable[[li
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return rows.repartition("blk").sortWithinPartitions("blk", "kind", "seq").mapInArrow(run, schema)
-
-
-def buckets_of(docs: DataFrame) -> int:
-    """Buckets for the words: one for each shuffle partition that the session asks for."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(deal.homes, F.col("home")).sortWithinPartitions("blk", "kind", "seq").mapInArrow(run, schema)
