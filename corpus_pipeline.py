@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.llm import bpe, exact_dedup, mixing, quality, simhash
-from tidewake.llm.common import Scratch, table
+from tidewake.llm.common import Scratch, passing, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the tokens, shared out over domains, languages and sources by the production weights; one epoch, so no document comes twice."""
-    return mixing.production_mix(docs, share_of_tokens=0.5, max_epochs=1).select(*docs.columns)
+    """Half of the tokens, as the tokenizer counts them, shared out over domains, languages and sources by the production weights; one epoch, so no document comes twice."""
+    return mixing.production_mix(docs, share_of_tokens=0.5, max_epochs=1, tokenizer=public_tokenizers.path(bpe.COUNTER)).select(*docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's own tables, and its input once it is passed, are dropped."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with passing():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs

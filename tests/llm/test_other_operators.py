@@ -224,8 +224,8 @@ def test_top_k_on_awkward_rows(spark):
 
 
 def test_queries_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "ROWS", 16)
+    """Batches of queries, chunks of rows and several groups: what a task holds is far less than the table."""
+    monkeypatch.setattr(topk, "GROUP", 50)
     rng = random.Random(4)
     rows = [(k, [rng.gauss(0, 0.2) for _ in range(8)]) for k in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -239,6 +239,12 @@ def test_bounds_are_bounds():
         assert (topk.stats(a, s) @ topk.stats(b, s).T >= a @ b.T - 1e-6).all()
 
 
+def test_components_too_large_for_a_score(spark):
+    df = spark.createDataFrame([(k, [1e30, 1.0]) for k in (0, 50, 51)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+
+
 # pipeline
 
 

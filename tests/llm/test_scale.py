@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tidewake.llm import mixing, registry, simhash
+from tidewake.llm import line_dedup, mixing, registry, simhash
 from tidewake.llm.common import Scratch, shared_root
 
 
@@ -40,6 +40,47 @@ def test_a_large_group_of_near_copies_makes_rows_in_proportion(spark):
     assert links.count() < 70 * prints.count()
 
 
+def side(text, table):
+    """The lines of a plan from a scan of one of the runs' tables up to the join or union that takes it."""
+    lines = text.splitlines()
+    for k, line in enumerate(lines):
+        if table in line and "FileScan" in line:
+            depth, out = re.search(r"[\w*(]", line).start(), []
+            for above in reversed(lines[:k]):
+                at = re.search(r"[\w*(]", above).start()
+                if at < depth:
+                    depth = at
+                    out.append(above)
+                    if "Join" in above or "Union" in above:
+                        break
+            yield out
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """A batch is merged with each run without an exchange or a sort of the run; levels are added up in their buckets."""
+    runs = line_dedup.LineRuns(Scratch(spark, "t"), min_docs=5, fanout=9)
+    for k in range(3):
+        runs.add(spark.range(100).select((F.col("id") * 3 + k).alias("hi"), F.col("id").alias("lo"), F.lit(2).cast("long").alias("docs")))
+    new = spark.range(50).select("id", F.col("id").alias("lo"), F.lit(1).cast("long").alias("docs")).withColumnRenamed("id", "hi")
+    text = plan(runs._merged(new))
+    sides = list(side(text, runs.name))
+    assert len(sides) == 3 and text.count("SortMergeJoin") == 3
+    assert not any("Exchange" in line or "Sort [" in line for own in sides for line in own)
+    text = plan(runs.repeated())
+    assert "Exchange" not in text
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_search_takes_no_queries_to_the_driver(spark):
+    import inspect
+
+    from tidewake.llm import topk
+
+    code = inspect.getsource(topk)
+    assert "collect(" not in code and "toLocalIterator" not in code and "broadcast(" not in code
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     assert root is None or shared_root(spark) == root

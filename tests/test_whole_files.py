@@ -32,3 +32,24 @@ def test_a_figure_draws_all_rows_or_none(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="19 points"):
         sinks.figure(df, str(tmp_path / "f.png"), "x", ["y"], most=19)
     assert drawn == [20]
+
+
+def test_figures_shade_nights_and_draw_bands(spark, tmp_path, monkeypatch):
+    calls, axes = [], types.SimpleNamespace(figure=types.SimpleNamespace(savefig=lambda path: calls.append("saved")))
+    axes.axvspan = lambda lo, hi, **_: calls.append((lo, hi))
+    axes.fill_between = lambda x, lo, hi, **_: calls.append((list(lo), list(hi)))
+    axes.imshow = lambda cells, **_: calls.append(cells.shape)
+    axes.set_xticks = axes.set_yticks = lambda at, names: calls.append(list(names))
+    fig = types.SimpleNamespace(colorbar=lambda image: None, savefig=lambda path: calls.append("saved"))
+    pyplot = types.SimpleNamespace(close=lambda figure: None, subplots=lambda: (fig, axes))
+    monkeypatch.setitem(sys.modules, "matplotlib", types.SimpleNamespace(use=lambda backend: None, pyplot=pyplot))
+    monkeypatch.setattr("pandas.DataFrame.plot", lambda pdf, x, y, kind="line": calls.append(kind) or axes)
+    df = spark.range(2).selectExpr("id as hour_bin", "cast(id as double) as mean", "0.5D as std")
+    assert sinks.figure(df, str(tmp_path / "f.png"), "hour_bin", ["mean"], kind="bar", day=(6, 20), band="std")
+    assert calls == ["bar", (0, 6), (20, 24), ([-0.5, 0.5], [0.5, 1.5]), "saved"]
+    calls.clear()
+    assert sinks.heatmap(df, str(tmp_path / "h.png"), "hour_bin", ["mean", "std"]) and calls == [(2, 2), ["mean", "std"], ["0", "1"], "saved"]
+    with pytest.raises(ValueError, match="1 points"):
+        sinks.heatmap(df, str(tmp_path / "h.png"), "hour_bin", ["mean"], most=1)
+    monkeypatch.setitem(sys.modules, "matplotlib", None)
+    assert not sinks.figure(df, "x", "hour_bin", ["mean"]) and not sinks.heatmap(df, "x", "hour_bin", ["mean"])

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OWN_ROOTS: dict[str, str] = {}
+_OPEN: list[list] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,7 +32,11 @@ def shared_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidewake-"))
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_ROOTS:
+        _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="tidewake-")
+        atexit.register(shutil.rmtree, _OWN_ROOTS[app], ignore_errors=True)
+    return _OWN_ROOTS[app]
 
 
 class Scratch:
@@ -40,6 +49,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/tidewake/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
+        for held in _OPEN:
+            held.append(self)
         bound_batches(spark)
 
     def path(self, name: str) -> str:
@@ -62,6 +73,20 @@ class Scratch:
             pass
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """All scratch tables that are begun within are dropped at the end: by then what is made of them must be written."""
+    held: list[Scratch] = []
+    _OPEN.append(held)
+    try:
+        yield
+    finally:
+        _OPEN.remove(held)
+        for s in held:
+            s._delete(s.root)
+            atexit.unregister(s._delete)
+
+
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most ``size`` where the session doesn't say otherwise: ten thousand long texts are too many at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -95,17 +120,28 @@ def lower_ascii(c: Column) -> Column:
 def keep_rows(docs: DataFrame, keep: DataFrame, key: Column, again: bool) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is in ``keep.keep_key``, one row for each key, all columns as they were.
 
-    again: some keys stand for several rows, all alike in the columns that ``key`` was made of; any one of them stays.
+    again: some keys stand for several rows, all alike in the columns that ``key`` was made of; the least of them stays, by
+    its columns in their order (columns that have no order, as maps, don't count).
     """
     k = fresh(docs, "keep_key")
     kept = docs.withColumn(k, key).join(keep.select(F.col("keep_key").alias(k)), k, "left_semi")
     if not again:
         return kept.select(*docs.columns)
     row = fresh(docs, "keep_row")
-    one = kept.groupBy(k).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema if _ordered(f.dataType)])
+    one = kept.groupBy(k).agg(F.min_by(whole, order).alias(row))
     return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
+def _ordered(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _ordered(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_ordered(f.dataType) for f in t)
+    return not isinstance(t, T.MapType | T.VariantType)
+
+
 _CODEC = pa.Codec("zstd", compression_level=3)
 
 

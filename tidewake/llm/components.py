@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.common import Scratch
 
+#: Links in a task, about: few links need few tasks, whatever the session's number of partitions is.
+LINKS = 200_000
+
 
 def star_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """links (a long, b long) -> (node, root): root is the least node of node's component; nodes without links are missing.
@@ -19,12 +22,14 @@ def star_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> Dat
     for k in range(1, rounds + 1):
         if before[0] == 0:
             break
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = scratch.save(small.distinct(), f"edges{k}")
+        tasks = -(-2 * before[0] // LINKS)
+        edges = edges.coalesce(tasks)
+        both = edges.union(edges.select(F.col("v"), F.col("u"))).coalesce(tasks)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).coalesce(tasks)
+        edges = scratch.save(small.distinct().coalesce(tasks), f"edges{k}")
         scratch.drop(f"edges{k - 1}")
         now = _mark(edges)
         if now == before:

@@ -110,29 +110,39 @@ def build_index(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     return scratch.save(sharded.groupBy("shard").applyInArrow(one, INDEX), "index"), shards
 
 
+def _cells(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Classes as arrays: digests as rows of bytes, ids (0 for null), nulls, parts and counts."""
+    ids = t.column("doc_id").combine_chunks()
+    digests = np.frombuffer(b"".join(t.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
+    return digests, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), t.column("part").to_numpy(), t.column("n").to_numpy()
+
+
+def _classes_of(parts: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    digests, ids, nulls, own, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return pa.table({"digest": pa.array([d.tobytes() for d in digests], pa.binary()), "doc_id": pa.array(ids, pa.int64(), mask=nulls), "part": pa.array(own, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
 def merge(index: DataFrame, shards: int, fresh_classes: DataFrame) -> DataFrame:
     """All classes (CLASS) of history and a new batch that is already grouped by digest."""
 
     def run(held: pa.Table, new: pa.Table) -> pa.Table:
-        perfect, digests, slots = PerfectHash([], []), [], []
-        if held.num_rows:
-            cell = held.to_pylist()[0]
-            perfect = PerfectHash.loads(cell["hash"])
-            digests = [cell["digests"][k : k + 32] for k in range(0, len(cell["digests"]), 32)]
-            ids, nulls = np.frombuffer(cell["doc_ids"], "int64").tolist(), np.frombuffer(cell["nulls"], bool).tolist()
-            parts, counts = np.frombuffer(cell["parts"], "int32").tolist(), np.frombuffer(cell["counts"], "int64").tolist()
-            slots = [(d, None if nulls[k] else ids[k], parts[k], counts[k]) for k, d in enumerate(digests)]
-        apart = []
-        asked = list(zip(*(new.column(c).to_pylist() for c in ("digest", "doc_id", "part", "n")), strict=True))
-        for mine, slot in zip(asked, perfect.slots([a[0] for a in asked]).tolist() if asked else [], strict=True):
-            if slot < 0 or digests[slot] != mine[0]:
-                apart.append(mine)
-                continue
-            at = slots[slot]
-            best = max(at, mine, key=lambda r: (r[1] is not None, r[1] or 0, -r[2]))
-            slots[slot] = (at[0], best[1], best[2], at[3] + mine[3])
-        cols = [[r[k] for r in slots] + [r[k] for r in apart] for k in range(4)]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("digest", "doc_id", "part", "n"), cols, (pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)})
+        mine = _cells(new)
+        if not held.num_rows:
+            return _classes_of([mine])
+        cell = held.to_pylist()[0]
+        perfect = PerfectHash.loads(cell["hash"])
+        slots = (np.frombuffer(cell["digests"], np.uint8).reshape(-1, 32), np.frombuffer(cell["doc_ids"], "int64").copy(), np.frombuffer(cell["nulls"], bool).copy(), np.frombuffer(cell["parts"], "int32").copy(), np.frombuffer(cell["counts"], "int64").copy())
+        digests, ids, nulls, parts, counts = slots
+        at = perfect.slots([d.tobytes() for d in mine[0]])
+        member = at >= 0
+        member[member] = (digests[at[member]] == mine[0][member]).all(axis=1)  # all 32 bytes, or it is another text
+        _, new_ids, new_nulls, new_parts, new_counts = (c[member] for c in mine)
+        s = at[member]  # a digest comes once, so a slot does
+        win = (~new_nulls & nulls[s]) | ((new_nulls == nulls[s]) & ((new_ids > ids[s]) | ((new_ids == ids[s]) & (new_parts < parts[s]))))
+        for own, theirs in ((ids, new_ids), (nulls, new_nulls), (parts, new_parts)):
+            own[s[win]] = theirs[win]
+        counts[s] += new_counts
+        return _classes_of([slots, tuple(c[~member] for c in mine)])
 
     asked = fresh_classes.select("digest", "doc_id", "part", "n", _shard_of(shards))
     return index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, CLASS)
@@ -156,7 +166,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scrat
     base = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"))
     rows = scratch.save(base.groupBy("digest", "doc_id", "part").agg(F.count("*").alias("n")), "rows")
     late = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    index, shards = build_index(_classes(rows.where(~late)), scratch)
+    index, shards = build_index(scratch.save(_classes(rows.where(~late)), "history"), scratch)
     return rows, scratch.save(merge(index, shards, _classes(rows.where(late))), "classes")
 
 

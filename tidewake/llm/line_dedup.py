@@ -1,13 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a written table of (hi, lo, docs), sorted by the 128-bit hash of a line's key, with the number of documents of one
-or more batches that hold the line. Batches come in one after another: a batch's counts are merge-anti-joined with the
-lines that the runs already settle (seen in ``min_docs`` documents or more), and what is left becomes a run of level 0.
-When a level has ``fanout`` runs they are merged into one run of the next level, so a line is in O(log batches) runs.
+A run is a table of (hi, lo, docs) in buckets by the 128-bit hash of a line's key, each bucket sorted by it, with the number of
+documents of one or more batches that hold the line. Batches come in one after another: a batch is dealt into the same
+buckets and sorted, then merged with run after run as they lie, without moving or sorting these again. Lines that the runs
+already settle (seen in ``min_docs`` documents or more) go, and what is left becomes a run of level 0. When a level has
+``fanout`` runs they are merged into one run of the next level, so a line is in O(log batches) runs.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,50 +18,69 @@ from tidewake.llm.common import WHITE, Scratch, lower_ascii, row_id, table
 
 
 class LineRuns:
-    def __init__(self, scratch: Scratch, min_docs: int = 10, fanout: int = 3):
+    def __init__(self, scratch: Scratch, min_docs: int = 10, fanout: int = 3, buckets: int | None = None):
         self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
+        self.buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.made = 0
+        self.made, self.name = 0, f"tidewake_runs_{uuid.uuid4().hex}"
+        # one file for each bucket, written in order: scans may say so
+        scratch.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _write(self, level: int, counts: DataFrame) -> None:
         self.made += 1
         name = f"runs/level{level}-{self.made}"
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, self.scratch.save(counts.sortWithinPartitions("hi", "lo"), name)))
-
-    def _all(self) -> DataFrame | None:
-        runs = [df for level in self.levels for _, df in level]
-        return _sum(runs) if runs else None
+        table = f"{self.name}_{self.made}"
+        dealt = counts.select("hi", "lo", "docs").repartition(self.buckets, "hi", "lo")
+        dealt.write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", self.scratch.path(name)).option("compression", "zstd").mode("overwrite").saveAsTable(table)
+        self.levels[level].append((name, self.scratch.spark.table(table)))
+
+    def _drop(self, runs: list[tuple[str, DataFrame]]) -> None:
+        for name, _ in runs:
+            self.scratch.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name.rsplit('-', 1)[1]}")
+            self.scratch.drop(name)
+
+    def _runs(self) -> list[DataFrame]:
+        return [df for level in self.levels for _, df in level]
+
+    def _merged(self, counts: DataFrame) -> DataFrame:
+        """A batch's rows with ``held``, the documents of each line in all runs, by merging it with one run after another."""
+        total = F.lit(0).cast("long")
+        for k, run in enumerate(self._runs()):
+            counts = counts.join(run.select("hi", "lo", F.col("docs").alias(f"_run{k}")).hint("merge"), ["hi", "lo"], "left")
+            total = total + F.coalesce(f"_run{k}", F.lit(0))
+        return counts.select("hi", "lo", "docs", total.alias("held"))
 
     def add(self, counts: DataFrame) -> None:
         """counts: (hi, lo, docs) of a new batch, a row for each line."""
-        held = self._all()
-        if held is not None:
-            counts = counts.join(held.where(F.col("docs") >= self.min_docs).select("hi", "lo"), ["hi", "lo"], "left_anti")
-        self._write(0, counts)
+        self._write(0, self._merged(counts).where(F.col("held") < self.min_docs))
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(level + 1, _sum([df for _, df in full]))
-            for name, _ in full:
-                self.scratch.drop(name)
+            self._drop(full)
             level += 1
 
     def new_lines(self, counts: DataFrame) -> DataFrame:
         """The lines of a batch that no run has: those that an incremental first-seen dedup keeps."""
-        held = self._all()
-        return counts if held is None else counts.join(held.select("hi", "lo"), ["hi", "lo"], "left_anti")
+        return self._merged(counts).where("held = 0").select("hi", "lo", "docs")
 
     def repeated(self) -> DataFrame:
         """(hi, lo) of lines in min_docs documents or more."""
-        held = self._all()
-        if held is None:
+        if not self.made:
             raise ValueError("no batch was added")
-        return held.where(F.col("docs") >= self.min_docs).select("hi", "lo")
+        return _sum(self._runs()).where(F.col("docs") >= self.min_docs).select("hi", "lo")
+
+    def close(self) -> None:
+        """Drop all runs; what was read from them must be written by then."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
 
 
 def _sum(runs: list[DataFrame]) -> DataFrame:
+    """The documents of each line over runs that lie in the same buckets."""
     out = runs[0]
     for r in runs[1:]:
         out = out.union(r)
@@ -97,7 +119,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(scratch, min_docs)
     for k in range(batches):
         runs.add(counts.where(F.col("batch") == k).select("hi", "lo", "docs"))
-    gone = held.join(scratch.save(runs.repeated(), "repeated"), ["hi", "lo"]).groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
+    repeated = scratch.save(runs.repeated(), "repeated")
+    runs.close()
+    gone = held.join(repeated, ["hi", "lo"]).groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
     gone = scratch.save(gone, "gone")
     met = base.join(gone, "rid", "left").select("doc_id", lines.alias("lines"), "gone")
     # long lists of lines that go are looked up by parts of their hash, so that a text of many such lines stays linear

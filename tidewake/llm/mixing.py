@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewake.llm.bpe import count_tokens
 from tidewake.llm.common import Scratch, fresh, table
 
 #: What a leaf table may hold: it is collected and broadcast.
@@ -90,17 +91,27 @@ def domain_of(source: Column) -> Column:
     return F.when(number == "", F.lit("other")).otherwise(F.concat(F.lit("d"), F.pmod(number.try_cast("long"), F.lit(4)).cast("string")))
 
 
-def mix(docs: DataFrame, path: list[Column], weights: list[dict], budget: int | float, max_epochs: int = 1, seed: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, path: list[Column], weights: list[dict], budget: int | float, max_epochs: int = 1, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, dict]:
     """docs with columns for its leaf, tokens and ``epoch``, a row for each epoch that takes the document; and the leaves' budgets.
 
-    budget: tokens, or as a float a share of all tokens. Tokens are words. A null name is the empty name; a null or empty text
+    budget: tokens, or as a float a share of all tokens. Tokens are those of the tokenizer file at ``tokenizer``, counted by
+    ``bpe.count_tokens``, and the rows then have no column for them; without one they are words. A null name is the empty name; a null or empty text
     has no tokens and is in every prefix of its leaf that reaches its place. Repeated rows have the same place in the order and
     are taken together. A leaf without tokens takes whole epochs. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     levels = [f"level{k}" for k in range(len(path))]
     h = seeded(seed, id_col, text_col)
-    keys = scratch.save(docs.select(*[F.coalesce(p.cast("string"), F.lit("")).alias(n) for p, n in zip(path, levels, strict=True)], words(F.col(text_col)).alias("tokens"), h.alias("h")), "keys")
+    names_of = [F.coalesce(p.cast("string"), F.lit("")).alias(n) for p, n in zip(path, levels, strict=True)]
+    if tokenizer is None:
+        keys = docs.select(*names_of, words(F.col(text_col)).alias("tokens"), h.alias("h"))
+    else:
+        # counts come back by a hash of the row and its length: rows alike in both are the same text, or the larger count stands for both
+        row, size = F.xxhash64(h, F.lit("row")), F.coalesce(F.octet_length(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
+        asked = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+        counts = scratch.save(count_tokens(asked, tokenizer, id_col="row", text_col="text").groupBy(F.col("doc_id").alias("row"), F.col("n_bytes").alias("size")).agg(F.max("n_tokens").alias("tokens")), "counts")
+        keys = docs.select(*names_of, h.alias("h"), row.alias("row"), size.alias("size")).join(counts, ["row", "size"]).select(*levels, "tokens", "h")
+    keys = scratch.save(keys, "keys")
     sums = keys.groupBy(*levels).agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
     if len(sums) > MOST_LEAVES:
         raise ValueError(f"over {MOST_LEAVES} leaves: group sources first")
@@ -133,18 +144,19 @@ def mix(docs: DataFrame, path: list[Column], weights: list[dict], budget: int |
     cuts = scratch.save(cuts, "cuts")
     names = {n: fresh(docs, n) for n in (*levels, "whole", "rest", "leaf_budget", "cut", "h", "epoch", "tokens")}
     cuts = cuts.select(*[F.col(c).alias(names[c]) for c in cuts.columns])
-    held = docs.withColumns({names[n]: F.coalesce(p.cast("string"), F.lit("")) for p, n in zip(path, levels, strict=True)} | {names["h"]: h, names["tokens"]: words(F.col(text_col))})
+    made = {names[n]: F.coalesce(p.cast("string"), F.lit("")) for p, n in zip(path, levels, strict=True)} | {names["h"]: h}
+    held = docs.withColumns(made | ({names["tokens"]: words(F.col(text_col))} if tokenizer is None else {}))
     met = held.join(F.broadcast(cuts), [names[n] for n in levels])
     mine = place(F.col(names["h"]), F.col(names["whole"]))
     more = (F.col(names["rest"]) > 0) & (F.col(names["cut"]).isNull() | (mine <= F.col(names["cut"])))
     epochs = F.col(names["whole"]) + more.cast("int")
     chosen = met.where(epochs > 0).withColumn(names["epoch"], F.explode(F.sequence(F.lit(1), epochs)))
-    return chosen.select(*docs.columns, *[F.col(names[n]) for n in (*levels, "tokens", "epoch", "leaf_budget")]), wanted
+    return chosen.select(*docs.columns, *[F.col(names[n]) for n in (*levels, *(["tokens"] if tokenizer is None else []), "epoch", "leaf_budget")]), wanted
 
 
-def production_mix(docs: DataFrame, share_of_tokens: float = 0.5, max_epochs: int = 2) -> DataFrame:
+def production_mix(docs: DataFrame, share_of_tokens: float = 0.5, max_epochs: int = 2, tokenizer: str | None = None) -> DataFrame:
     path = [domain_of(F.col("source")), F.col("lang"), F.col("source")]
-    return mix(docs, path, [DOMAINS, LANGS, {}], share_of_tokens, max_epochs)[0]
+    return mix(docs, path, [DOMAINS, LANGS, {}], share_of_tokens, max_epochs, tokenizer=tokenizer)[0]
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,12 +27,11 @@ from tidewake.llm.common import Scratch, bound_batches, table
 BITS = 18
 SIZE = 1 << BITS
 RUN_BYTES = 4
-#: Longer words are worked out each time, so that what is remembered stays small.
-KNOWN_BYTES = 64
+#: Words that a worker remembers; longer ones are worked out each time, so that what is remembered stays small.
+KNOWN, KNOWN_BYTES = 200_000, 64
 _MARKS = b" \t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASS = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
-_KNOWN: dict[bytes, tuple[int, int]] = {}
 
 
 def _hash(kind: bytes, value: bytes) -> int:
@@ -40,16 +39,22 @@ def _hash(kind: bytes, value: bytes) -> int:
 
 
 def _word(w: bytes) -> tuple[int, int]:
-    got = _KNOWN.get(w)
-    if got is None:
-        shape = _RUN.sub(rb"\1", w.translate(_CLASS))
-        core = w.strip(_MARKS).lower()
-        got = (_hash(b"w", core) if core else -1, _hash(b"s", shape))
-        if len(w) <= KNOWN_BYTES:
-            if len(_KNOWN) >= 100_000:
-                _KNOWN.clear()
-            _KNOWN[w] = got
-    return got
+    """The hashes of a word's core, -1 without one, and of its shape."""
+    core = w.strip(_MARKS).lower()
+    return _hash(b"w", core) if core else -1, _hash(b"s", _RUN.sub(rb"\1", w.translate(_CLASS)))
+
+
+def _words(words: list[bytes]) -> list[tuple[int, int]]:
+    """The same for many words, which hold no white space."""
+    if not words:
+        return []
+    joined = b"\n".join(words)
+    classes = np.frombuffer(joined.translate(_CLASS), np.uint8)
+    ends = np.ones(len(classes), bool)
+    ends[1:] = classes[1:] != classes[:-1]
+    shapes = classes[ends].tobytes().split(b"\n")
+    cores = [w.strip(_MARKS) for w in joined.lower().split(b"\n")]
+    return [(_hash(b"w", core) if core else -1, _hash(b"s", shape)) for core, shape in zip(cores, shapes, strict=True)]
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +81,8 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
 
 
-def runs(text: bytes | None) -> np.ndarray:
-    """The hashed distinct runs of RUN_BYTES bytes of a text in lower case, framed by blanks."""
+def _codes(text: bytes | None) -> np.ndarray:
+    """The hashed runs of RUN_BYTES bytes of a text in lower case, framed by blanks, one for each place."""
     b = np.frombuffer(b" " + (text or b"").lower() + b" ", np.uint8).astype(np.uint64)
     n = len(b) - RUN_BYTES + 1
     if n < 1:
@@ -85,7 +90,68 @@ def runs(text: bytes | None) -> np.ndarray:
     code = np.zeros(n, np.uint64)
     for k in range(RUN_BYTES):
         code = code * np.uint64(257) + b[k : n + k]
-    return np.unique((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64) + SIZE
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def runs(text: bytes | None) -> np.ndarray:
+    """The hashed distinct runs of a text, behind the words' numbers."""
+    return np.unique(_codes(text)) + SIZE
+
+
+#: Features of every text that has words.
+_EXTRA = [_hash(b"x", n) for n in (b"repeated", b"lines", b"top", b"short")]
+
+
+class Scorer:
+    """The scores of many texts under one model, each as ``Ordinal.score`` has it.
+
+    A feature counts once, and of several of one number the last counts: words, then shapes, then the rest. So words and shapes that
+    fall on another kind's number are left out.
+    """
+
+    def __init__(self, model: Ordinal):
+        w = model.weights
+        self.model, self.shapes, self.last = model, w[:SIZE].copy(), w[_EXTRA]
+        self.shapes[_EXTRA] = 0.0
+        self.words = self.shapes.copy()
+        self.runs = w[SIZE:]
+        self.telling = self.runs != 0
+        self.at = np.zeros(SIZE, np.int32)  # where a number was seen last
+        self.shaped = np.zeros(SIZE, bool)
+        self.known: dict[bytes, int] = {}
+
+    def _once(self, numbers: np.ndarray) -> np.ndarray:
+        """Each number once."""
+        order = np.arange(len(numbers), dtype=np.int32)
+        self.at[numbers] = order
+        return numbers[self.at[numbers] == order]
+
+    def many(self, texts: list[bytes | None]) -> list[float]:
+        """The scores of texts: words that are new to the worker are worked out together."""
+        counts = [Counter((t or b"").split()) for t in texts]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = list(set().union(*counts).difference(self.known))
+        # a word's two numbers as one, its core's one higher
+        self.known.update(zip(new, [core + 1 | shape << 32 for core, shape in _words(new)], strict=True))
+        out = [self._one(t or b"", c) if c else self.model.score(t) for t, c in zip(texts, counts, strict=True)]
+        for w in new:
+            if len(w) > KNOWN_BYTES:
+                del self.known[w]
+        return out
+
+    def _one(self, text: bytes, counts: Counter) -> float:
+        both = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        total, word, shape = n.sum(), (both & 0xFFFFFFFF) - 1, both >> 32
+        self.shaped[shape] = True
+        word = self._once(word[word >= 0])
+        score = self.words[word[~self.shaped[word]]].sum() + self.shapes[shape] @ n * (4.0 / total)
+        self.shaped[shape] = False
+        lines = text.split(b"\n")
+        rest = (1 - len(counts) / total, 1 - len(set(lines)) / len(lines), n.max() / total, 1.0 if total < 20 else 0.0)
+        codes = _codes(text)
+        return float(score + self.last @ (4.0 * np.array(rest)) + self.runs[self._once(codes[self.telling[codes]])].sum())
 
 
 @dataclass
@@ -207,8 +273,9 @@ def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Column:
     @F.arrow_udf("expected_grade double, p_top double")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
+        score = Scorer(own)
         for part in texts:
-            below = own.at_most(np.fromiter((own.score(t.as_py()) for t in part), np.float64, len(part)))
+            below = own.at_most(np.array(score.many(part.to_pylist()), np.float64))
             yield pa.StructArray.from_arrays([pa.array((1 - below).sum(axis=1)), pa.array(1 - below[:, -1])], ["expected_grade", "p_top"])
 
     return run(F.col(text_col).cast("binary"))

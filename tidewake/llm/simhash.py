@@ -1,15 +1,17 @@
 """SimHash near-duplicates: fingerprints, pivot distance tables, links and components.
 
 Two fingerprints link when they differ in ``radius`` = 2 bits or fewer. Distances to a pivot obey |d(x,p) - d(y,p)| <=
-d(x,y), so a pair with any coordinate further apart than the radius is no link. One coordinate of a whole fingerprint
-halves the pairs at best, so the pairs themselves come from coordinates of parts: of the fingerprint's four 16-bit parts
-a linked pair shares two, and in these its distances to every pivot are equal. Distances to zero and to the unit vectors of
-a part fix the part's bits, so those bits serve as the key of each of six pivot tables. Pairs under a key meet in an
-equi-join whose condition is the largest coordinate difference over whole-fingerprint pivots, then the exact distance.
-
-A key with over ``crowd`` distinct fingerprints isn't paired. All its fingerprints send themselves to the 65 points within
-one bit of them: two of them link exactly if they meet at a point, and a point is met by 65 at most. So no pair is lost
-and rows grow with the number of fingerprints, however large a group of near copies is.
+d(x,y), and this holds for each part of a fingerprint alone. So the tables hold, for each of four parts of 16 bits, the
+distances to eight reference parts; the sum over parts of the largest coordinate difference is at most d(x,y). A linked pair
+can thus differ in the coordinates of two parts at most, and the coordinates of the other two are equal: pairs come from an
+equi-join on the coordinates of any two parts, those whose sum of largest differences is over the radius are discarded, and
+the exact distance is computed for the rest. (One coordinate of a whole fingerprint keeps a third of all pairs: whole
+fingerprints lie too evenly around any pivot to be parted by it.)
+
+A key with over ``crowd`` distinct fingerprints isn't paired, as pivots can't part what is close together. All its
+fingerprints send themselves to the 65 points within one bit of them: two of them link exactly if they meet at a point, and
+a point is met by 65 at most. So no pair is lost and rows grow with the number of fingerprints, however large a group of
+near copies is.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from tidewake.llm import shingles
 from tidewake.llm.common import Scratch, keep_rows, row_id, table
 from tidewake.llm.components import star_components
 
-#: Reference fingerprints, XXH64 of their number.
-PIVOTS = tuple(xxhash.xxh64_intdigest(str(i), 7) for i in range(16))
-PARTS = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
+#: Parts of a fingerprint, and the reference parts of each: bits of XXH64 of their number.
+PARTS, PIVOTS = 4, 8
+REFERENCE = tuple(tuple(xxhash.xxh64_intdigest(str(i), 7) >> 16 * a & 0xFFFF for i in range(PIVOTS)) for a in range(PARTS))
 
 
 def _signed(x: int) -> int:
@@ -72,23 +74,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(run, "doc_id long, rid struct<hi:long,lo:long>, fp long" + (", wid long, size int, bands array<long>" if bands else ""))
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def coordinates(fp: Column, part: int) -> Column:
+    """The distances of a fingerprint's part to its pivots, a byte each."""
+    own = F.shiftrightunsigned(fp, 16 * part).bitwiseAND(F.lit(0xFFFF))
+    out = F.lit(0).cast("long")
+    for i, p in enumerate(REFERENCE[part]):
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(own.bitwiseXOR(F.lit(p))).cast("long"), 8 * i))
+    return out
+
+
+def _widest(a: Column, b: Column) -> Column:
+    """The largest difference of two parts' coordinates."""
+    at = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    return F.when(a == b, F.lit(0).cast("long")).otherwise(F.greatest(*[F.abs(at(a, i) - at(b, i)) for i in range(PIVOTS)]))
+
+
+def near(pairs: DataFrame, radius: int) -> tuple[Column, Column]:
+    """Of pairs (a, b, a0..., b0...): whether the coordinates allow a link, and whether there is one."""
+    apart = sum((_widest(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(PARTS)), F.lit(0))
+    return apart <= radius, F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+
+
+def tables(prints: DataFrame) -> DataFrame:
+    """(key, fp): a row for each two parts, whose coordinates make the key."""
+    held = prints.select("fp", *[coordinates(F.col("fp"), k).alias(f"c{k}") for k in range(PARTS)])
+    keys = [F.xxhash64(F.lit(PARTS * a + b), F.col(f"c{a}"), F.col(f"c{b}")) for a in range(PARTS) for b in range(a + 1, PARTS)]
+    return held.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b, a0..., b0...): pairs of fingerprints that share a key, with the coordinates of both, before any is discarded."""
+    side = lambda c: met.select("key", F.col("fp").alias(c), *[coordinates(F.col("fp"), k).alias(f"{c}{k}") for k in range(PARTS)])
+    return side("a").join(side("b"), "key").where(F.col("a") < F.col("b")).drop("key")
 
 
 def links(prints: DataFrame, scratch: Scratch, radius: int = 2, crowd: int = 64) -> DataFrame:
     """prints (fp, distinct) -> (a, b): links enough to join every two fingerprints within 2 bits, directly or by a hub that both are within 2 bits of."""
     if radius != 2:
         raise ValueError("the pivot tables hold for a radius of 2")
-    far = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in PIVOTS])
-    keys = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed((0xFFFF << 16 * a) | (0xFFFF << 16 * b)))).alias("key")) for k, (a, b) in enumerate(PARTS)])
-    rows = prints.select("fp", far.alias("far"), F.explode(keys).alias("k")).select("k.tab", "k.key", "fp", "far")
-    shared = prints.select(F.explode(keys).alias("k")).groupBy("k.tab", "k.key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.save(rows.join(shared, ["tab", "key"]), "met")
-    few = met.where(F.col("n") <= crowd)
-    x, y = few.select("tab", "key", F.col("fp").alias("a"), F.col("far").alias("fa")), few.select("tab", "key", F.col("fp").alias("b"), F.col("far").alias("fb"))
-    widest = F.array_max(F.zip_with("fa", "fb", lambda p, q: F.abs(p - q)))
-    pairs = x.join(y, ["tab", "key"]).where((F.col("a") < F.col("b")) & (widest <= radius) & (_apart("a", "b") <= radius)).select("a", "b")
+    rows = tables(prints)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.save(rows.join(shared, "key"), "met")
+    pairs = candidates(met.where(F.col("n") <= crowd))
+    possible, linked = near(pairs, radius)
+    pairs = pairs.where(possible).where(linked).select("a", "b")
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
     meet = met.where(F.col("n") > crowd).select("fp").distinct().select("fp", F.explode(points).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     hubs = meet.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")

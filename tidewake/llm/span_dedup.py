@@ -71,7 +71,7 @@ def _spans(docs: DataFrame, sentences: int, min_words: int) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays([*cols, b.column("doc").take(at), b.column("mark").take(at)], ["hi", "lo", "start", "size", "doc", "mark"])
 
-    return docs.select("doc", "mark", "text").mapInArrow(run, "hi long, lo long, start int, size int, doc long, mark int")
+    return docs.select("doc", "mark", "text").mapInArrow(run, "hi long, lo long, start int, size int, doc long, mark long")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -94,16 +94,19 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_sentences, n_removed, kept binary) of every row.
 
     Null and empty texts have no sentences. A null doc_id comes after every number. Rows repeated with the same doc_id and text
-    count as one document: they get the same result. Other columns are not read. Counting and the search for a span's first
-    occurrence combine before the shuffle; occurrences then meet the repeated spans in a join whose large partitions can be
-    split, so a passage of a third of all documents needs no task of its own.
+    count as one document: they get the same result. Other columns are not read. Texts are split into spans once, and the
+    spans' hashes are written. Half a hash counts them, combined before the shuffle; only spans whose half comes again look for
+    their first occurrence by the whole one. Occurrences meet the repeated spans in joins whose large partitions can be split,
+    so a passage of a third of all documents needs no task of its own.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.hash(row_id(id_col, text_col)).alias("mark"), F.col(text_col).cast("binary").alias("text"),
-    )
-    seen = _spans(base, sentences, min_words)
+    doc = F.col(id_col).cast("long")
+    # a document's mark is a hash of its row, below zero if it has a doc_id: a null comes behind the largest number
+    mark = F.shiftrightunsigned(row_id(id_col, text_col)["lo"], 1) + F.when(doc.isNull(), F.lit(0)).otherwise(F.lit(-(1 << 63)))
+    base = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), mark.alias("mark"), F.col(text_col).cast("binary").alias("text"))
+    seen = scratch.save(_spans(base, sentences, min_words), "spans")
+    again = seen.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+    seen = scratch.save(seen.join(again, "hi").select("hi", "lo", "start", "size", "doc", "mark"), "again")
     first = F.min(F.struct("doc", "mark", "start")).alias("first")
     # a document's own repeats differ in start; a repeated row is the same occurrence
     last = F.max(F.struct("doc", "mark", "start")).alias("last")
@@ -120,8 +123,8 @@ def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?
-]*[.!?]*[	- ]*'), lambda x: x <> '') AS s FROM documents),
-w AS (SELECT doc_id, s, list_transform(s, lambda x: list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+'), lambda y: y <> '')) AS ws FROM d),
+]*[.!?]*[\x09-\x0D ]*'), lambda x: x <> '') AS s FROM documents),
+w AS (SELECT doc_id, s, list_transform(s, lambda x: list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda y: y <> '')) AS ws FROM d),
 f AS (SELECT doc_id, list_filter(list_zip(ws, range(len(s))), lambda p: len(p[1]) > 0) AS kept FROM w),
 g AS (SELECT doc_id, list_transform(kept, lambda p: p[2]) AS pos, list_transform(kept, lambda p: array_to_string(p[1], ' ')) AS txt, list_transform(kept, lambda p: len(p[1])) AS n FROM f),
 e AS (SELECT doc_id, unnest(n) AS n, generate_subscripts(n, 1) AS k FROM g),

@@ -3,14 +3,16 @@
 A vector is cut into segments; with a segment's mean m and deviation s, the squared distance of two vectors is at least
 sum(len * ((m - m')^2 + (s - s')^2)), and their score, (|q|^2 + |x|^2 - distance^2) / 2, at most sum(len * (m m' + s s')). From
 1 segment over 4 to 16, pairs whose bound is below the query's k-th best score so far go; for the rest the exact score is
-computed. Queries go out in blocks of a fixed size and each block passes over all rows, without a shuffle of the rows; a task
-returns its best k for each query.
+computed.
+
+Rows are dealt into groups of about ``GROUP``, which a task holds with their statistics, made once. Every query goes to every
+group, and there ``QUERIES`` of them at a time pass over the group's rows; a task returns its best k for each. So the number
+of jobs is fixed, nothing passes through the driver, and what moves is each row once and each query once for each group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import Scratch, table
 
 SEGMENTS = (1, 4, 16)
-#: Queries in a block: what is broadcast is at most this times the vector's size. Rows scored at once in a task.
-QUERIES, ROWS = 1024, 4096
+#: Rows of a group, about; queries that pass over it at a time; rows scored at once.
+GROUP, QUERIES, ROWS = 131_072, 1024, 4096
 
 
 def stats(x: np.ndarray, segments: int) -> np.ndarray:
@@ -45,6 +47,18 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+class Rows:
+    """Some rows of one length with their statistics, made when first asked for."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self._stats = ids, x, {}
+
+    def stats(self, segments: int) -> np.ndarray:
+        if segments not in self._stats:
+            self._stats[segments] = stats(self.x, segments)
+        return self._stats[segments]
+
+
 class Block:
     """Queries of one length with their statistics and the scores that a row must reach."""
 
@@ -53,9 +67,10 @@ class Block:
         self.stats = [stats(x, s) for s in SEGMENTS] if x.shape[1] else []
         self.floor = np.full(len(ids), np.iinfo(np.int64).min)
 
-    def offer(self, best: dict[int, list[tuple[int, int]]], ids: np.ndarray, x: np.ndarray) -> None:
+    def offer(self, best: dict[int, list[tuple[int, int]]], rows: Rows) -> None:
         """Merge rows into the best (score, -vec_id) of each query."""
-        pairs = self.survivors(x)
+        ids, x = rows.ids, rows.x
+        pairs = self.survivors(rows)
         if not len(pairs[0]):
             return
         q, r = pairs
@@ -78,12 +93,12 @@ class Block:
             if len(top) == self.k:
                 self.floor[n] = max(self.floor[n], top[-1][0])
 
-    def survivors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        alive = np.ones((len(self.ids), len(x)), bool)
+    def survivors(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        alive = np.ones((len(self.ids), len(rows.ids)), bool)
         for mine, segments in zip(self.stats, SEGMENTS, strict=False):  # no statistics of empty vectors
             if not (self.floor > np.iinfo(np.int64).min).any():
                 break
-            theirs = stats(x, segments)
+            theirs = rows.stats(segments)
             q, r = np.nonzero(alive)
             slack = 1e-9 * np.abs(mine).max() * max(1.0, np.abs(theirs).max()) * mine.shape[1] + 1e-6
             if len(q) * 3 > alive.size:
@@ -106,10 +121,10 @@ def _grid(vec: Column, scale: float) -> Column:
     return F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double")))
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(vec_id, x array<long>) of the rows that take part, repeated rows once."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float, wanted: Column) -> DataFrame:
+    """(vec_id, x array<long>, asked) of the rows that take part."""
     ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), _grid(F.col(vec_col), scale).alias("x"))
+    return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), _grid(F.col(vec_col), scale).alias("x"), F.coalesce(wanted, F.lit(False)).alias("asked"))
 
 
 def top_k(vectors: DataFrame, wanted: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -117,56 +132,69 @@ def top_k(vectors: DataFrame, wanted: Column, k: int = 5, id_col: str = "vec_id"
 
     Components become floor(scale * x). Ties go to the smaller vec_id. Rows without id or vector, or with a null or non-finite
     component, take no part. Rows repeated with the same id and vector count once; a query never meets its own id. Vectors of
-    another length than the query's are no candidates. Other columns are not read.
+    another length than the query's are no candidates. Components too large for a score of 64 bits stop the query. Other
+    columns are not read.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "topk")
-    rows = usable(vectors, id_col, vec_col, scale)
-    asked = usable(vectors.where(wanted), id_col, vec_col, scale).distinct().toLocalIterator(prefetchPartitions=True)
-    done = 0
-    schema = "query_id long, vec_id long, score long"
-    while chunk := list(islice(asked, QUERIES)):
-        lengths = {len(r.x) for r in chunk}
-        blocks = []
-        for d in sorted(lengths):
-            own = [r for r in chunk if len(r.x) == d]
-            block = Block(np.array([r.vec_id for r in own], np.int64), np.array([r.x for r in own], np.int64).reshape(len(own), d), k)
-            if d:  # scores among the queries themselves give each a floor to begin with
-                block.offer({}, block.ids, block.x)
-            blocks.append(block)
-        sent = spark.sparkContext.broadcast(blocks)
-        got = rows.mapInArrow(_pass(sent), schema).distinct()
-        place = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        best = got.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-        best.select("query_id", "rank", "vec_id", "score").write.mode("overwrite").parquet(scratch.path(f"best/block={done}"))
-        sent.destroy()
-        done += 1
-    if not done:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return spark.read.schema("query_id long, rank int, vec_id long, score long").option("recursiveFileLookup", True).parquet(scratch.path("best"))
-
-
-def _pass(sent):
+    scratch = Scratch(vectors.sparkSession, "topk")
+    held = scratch.save(usable(vectors, id_col, vec_col, scale, wanted).groupBy("vec_id", "x").agg(F.bool_or("asked").alias("asked")), "rows")
+    groups = -(-max(1, held.count()) // GROUP)
+    rows = held.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(groups)).cast("int").alias("grp"), F.lit(0).alias("kind"), "vec_id", "x")
+    asked = held.where("asked").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("kind"), "vec_id", "x")
+    dealt = rows.union(asked).repartitionById(groups, F.col("grp")).sortWithinPartitions("kind")
+    got = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+    place = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return got.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(k: int):
+    """A task's rows come first, then the queries in any order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = sent.value
-        best: list[dict] = [{} for _ in blocks]
+        rows: dict[int, list[Rows]] = {}
+        fresh: dict[int, list] = {}  # rows that are not put together yet, by length
+        asked: dict[int, list] = {}
         for b in batches:
-            ids, col = b.column("vec_id").to_numpy(), b.column("x")
+            ids, kinds, col = b.column("vec_id").to_numpy(), b.column("kind").to_numpy(), b.column("x")
             sizes = np.asarray(col.value_lengths())
             flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
-            for block, mine in zip(blocks, best, strict=True):
-                d = block.x.shape[1]
-                at = np.flatnonzero(sizes == d)
-                for a in range(0, len(at), ROWS):
-                    part = at[a : a + ROWS]
-                    block.offer(mine, ids[part], flat[(ends[part] - d)[:, None] + np.arange(d)])
-        out = [(int(block.ids[q]), -back, score) for block, mine in zip(blocks, best, strict=True) for q, top in mine.items() for score, back in top]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            for d in np.unique(sizes).tolist():
+                for kind, store, most in ((0, fresh, ROWS), (1, asked, QUERIES)):
+                    at = np.flatnonzero((sizes == d) & (kinds == kind))
+                    if not len(at):
+                        continue
+                    if kind and d in fresh:  # all rows are here
+                        rows.setdefault(d, []).append(Rows(*_joined(fresh.pop(d))))
+                    store.setdefault(d, []).append((ids[at], flat[(ends[at] - d)[:, None] + np.arange(d)]))
+                    if sum(len(i) for i, _ in store[d]) < most:
+                        continue
+                    if kind:
+                        yield from _asked(asked.pop(d), rows.get(d, []), k)
+                    else:
+                        rows.setdefault(d, []).append(Rows(*_joined(fresh.pop(d))))
+        for d, own in asked.items():
+            yield from _asked(own, rows.get(d, []), k)
 
     return run
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def _asked(parts: list[tuple[np.ndarray, np.ndarray]], rows: list[Rows], k: int) -> Iterator[pa.RecordBatch]:
+    """The best of a group's rows for some queries of one length."""
+    ids, x = _joined(parts)
+    for at in range(0, len(ids), QUERIES):
+        block, best = Block(ids[at : at + QUERIES], x[at : at + QUERIES], k), {}
+        if x.shape[1]:  # scores among the queries themselves give each a floor to begin with
+            block.offer({}, Rows(block.ids, block.x))
+        for r in rows:
+            block.offer(best, r)
+        out = [(int(block.ids[q]), -back, score) for q, top in best.items() for score, back in top]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 

@@ -60,27 +60,62 @@ def rejects(df: DataFrame, path: str) -> None:
     csv(df.select("file", F.col("ok") if "ok" in df.columns else F.lit(False).alias("ok"), "error"), path)
 
 
-def figure(df: DataFrame, path: str, x: str, ys: list[str], most: int = 10_000) -> bool:
-    """A line plot of a small aggregate where a plotting library is there; the data of every figure is a table first.
+def _drawn(df: DataFrame, most: int):
+    pdf = df.limit(most + 1).toPandas()
+    if len(pdf) > most:
+        raise ValueError(f"a figure holds {most} points at most: aggregate the table first")
+    return pdf
 
-    A table of more than ``most`` rows is an error: aggregate it before.
-    """
+
+def _plotting():
+    """The plotting library without a screen, or None."""
     try:
         import matplotlib
     except ImportError:
-        return False
+        return None
     matplotlib.use("Agg")
     from matplotlib import pyplot
 
-    pdf = df.select(x, *ys).orderBy(x).limit(most + 1).toPandas()
-    if len(pdf) > most:
-        raise ValueError(f"a figure holds {most} points at most: aggregate the table first")
-    axes = pdf.plot(x=x, y=ys)
+    return pyplot
+
+
+def figure(df: DataFrame, path: str, x: str, ys: list[str], most: int = 10_000, kind: str = "line", day: tuple[float, float] | None = None, band: str | None = None) -> bool:
+    """A plot of a small aggregate where a plotting library is there; the data of every figure is a table first.
+
+    kind: line, bar or scatter. day: hours between which the background stays light, as day; band: a column of deviations drawn
+    around the first of ys. A table of more than ``most`` rows is an error: aggregate it before.
+    """
+    pyplot = _plotting()
+    if pyplot is None:
+        return False
+    pdf = _drawn(df.select(x, *ys, *([band] if band else [])).orderBy(x), most)
+    more = {} if kind == "line" else {"kind": kind}
+    axes = pdf.plot(x=x, y=ys[0] if kind == "scatter" else ys, **more)
+    if day:
+        axes.axvspan(0, day[0], color="0.85", zorder=0)
+        axes.axvspan(day[1], 24, color="0.85", zorder=0)
+    if band:
+        axes.fill_between(pdf[x], pdf[ys[0]] - pdf[band], pdf[ys[0]] + pdf[band], alpha=0.3)
     axes.figure.savefig(path)
     pyplot.close(axes.figure)
     return True
 
 
+def heatmap(df: DataFrame, path: str, row: str, cols: list[str], most: int = 10_000) -> bool:
+    """Cells of a pivot table as colours, a line for each row; as ``figure`` otherwise."""
+    pyplot = _plotting()
+    if pyplot is None:
+        return False
+    pdf = _drawn(df.select(row, *cols).orderBy(row), most)
+    fig, axes = pyplot.subplots()
+    fig.colorbar(axes.imshow(pdf[cols].to_numpy(dtype=float), aspect="auto"))
+    axes.set_xticks(range(len(cols)), cols)
+    axes.set_yticks(range(len(pdf)), [str(v) for v in pdf[row]])
+    fig.savefig(path)
+    pyplot.close(fig)
+    return True
+
+
 def logger(name: str, path: str | None = None, size: int = 5 << 20) -> logging.Logger:
     """A rotating log file, or the console."""
     from logging.handlers import RotatingFileHandler
