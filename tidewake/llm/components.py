@@ -17,14 +17,13 @@ def star_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> Dat
     A round sends each node's larger neighbours, then its smaller ones, to the least neighbour. Both group with partial
     aggregates and join on the node, so a hub's rows can be split among tasks.
     """
-    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
+    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges0")
     before = _mark(edges)
     for k in range(1, rounds + 1):
         if before[0] == 0:
             break
         tasks = -(-2 * before[0] // LINKS)
-        edges = edges.coalesce(tasks)
-        both = edges.union(edges.select(F.col("v"), F.col("u"))).coalesce(tasks)
+        both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
