@@ -57,7 +57,8 @@ def side(text, table):
 
 
 def test_runs_are_merged_as_they_lie(spark):
-    """A batch is merged with each run without an exchange or a sort of the run; levels are added up in their buckets."""
+    """A batch is merged with each run without an exchange or a sort of the run; no table and no setting is left behind."""
+    before = spark.conf.get(line_dedup.ORDERED, None)
     runs = line_dedup.LineRuns(Scratch(spark, "t"), min_docs=5, fanout=9)
     for k in range(3):
         runs.add(spark.range(100).select((F.col("id") * 3 + k).alias("hi"), F.col("id").alias("lo"), F.lit(2).cast("long").alias("docs")))
@@ -66,10 +67,35 @@ def test_runs_are_merged_as_they_lie(spark):
     sides = list(side(text, runs.name))
     assert len(sides) == 3 and text.count("SortMergeJoin") == 3
     assert not any("Exchange" in line or "Sort [" in line for own in sides for line in own)
-    text = plan(runs.repeated())
-    assert "Exchange" not in text
     runs.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+    assert spark.conf.get(line_dedup.ORDERED, None) == before
+
+
+def test_runs_of_many_keys_over_levels(spark, fanout=3):
+    """Counts of 6,000 keys over nine batches and three levels are those of a plain groupBy."""
+    rows = spark.range(60_000).select(F.pmod(F.xxhash64("id"), F.lit(6000)).alias("k"), F.pmod(F.hash("id"), F.lit(9)).alias("batch"))
+    counts = rows.groupBy("batch", F.xxhash64("k").alias("hi"), F.col("k").alias("lo")).agg(F.count("*").alias("docs"))
+    with line_dedup.LineRuns(Scratch(spark, "t"), min_docs=10, fanout=fanout) as runs:
+        for k in range(9):
+            new = counts.where(F.col("batch") == k).select("hi", "lo", "docs")
+            if k == 8:
+                seen = counts.where("batch < 8").select("hi", "lo")
+                fresh = new.join(seen, ["hi", "lo"], "left_anti")
+                assert sorted(map(tuple, runs.new_lines(new).collect())) == sorted(map(tuple, fresh.select("hi", "lo", "docs").collect()))
+            runs.add(new)
+        got = sorted(map(tuple, runs.repeated().collect()))
+        assert len(runs.levels) >= 3
+    want = counts.groupBy("hi", "lo").agg(F.sum("docs").alias("docs")).where("docs >= 10").select("hi", "lo")
+    assert 1000 < len(got) < 6000 and got == sorted(map(tuple, want.collect()))
+
+
+def test_runs_go_where_a_batch_fails(spark):
+    before = spark.conf.get(line_dedup.ORDERED, None)
+    with pytest.raises(RuntimeError), line_dedup.LineRuns(Scratch(spark, "t"), min_docs=5) as runs:
+        runs.add(spark.range(10).select("id", F.col("id").alias("lo"), F.lit(1).cast("long").alias("docs")).withColumnRenamed("id", "hi"))
+        raise RuntimeError
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)] and spark.conf.get(line_dedup.ORDERED, None) == before
 
 
 def test_search_takes_no_queries_to_the_driver(spark):

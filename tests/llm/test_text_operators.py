@@ -39,6 +39,13 @@ def test_oracle(name, same):
     same(registry.QUERIES[name], registry.ORACLES[name])
 
 
+def test_lines_of_a_larger_table(spark):
+    """The registered query over 1,000 documents, where runs of several levels share lines."""
+    data = DATA.replace("sf0.001", "sf0.01")
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    assert ordered(registry.QUERIES["op1_line_dedup"](spark, data).collect()) == ordered(brute.lines(rows))
+
+
 def test_lines(docs, rows, empty):
     run = lambda d: [(r["doc_id"], r["n_lines"], r["n_dropped"], brute.sha(r["kept_text"].encode())) for r in line_dedup.dedup_lines(d).collect()]
     assert ordered(run(docs)) == ordered(brute.lines(rows))

@@ -4,7 +4,9 @@ A run is a table of (hi, lo, docs) in buckets by the 128-bit hash of a line's ke
 documents of one or more batches that hold the line. Batches come in one after another: a batch is dealt into the same
 buckets and sorted, then merged with run after run as they lie, without moving or sorting these again. Lines that the runs
 already settle (seen in ``min_docs`` documents or more) go, and what is left becomes a run of level 0. When a level has
-``fanout`` runs they are merged into one run of the next level, so a line is in O(log batches) runs.
+``fanout`` runs they are added up into one run of the next level, so a line is in O(log batches) runs. Adding up shuffles
+(hi, lo, docs) behind a partial sum, once for each level that a line passes: Spark takes a union of bucketed scans for
+bucketed where it reads them by columns, while equal keys come in different tasks, so the runs are added up from their plain files.
 """
 
 from __future__ import annotations
@@ -17,14 +19,26 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import WHITE, Scratch, lower_ascii, row_id, table
 
 
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
+    """Runs are bucketed tables, which only a catalog can hold; use as a context manager, so that none is left behind."""
+
     def __init__(self, scratch: Scratch, min_docs: int = 10, fanout: int = 3, buckets: int | None = None):
         self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
         self.buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
         self.made, self.name = 0, f"tidewake_runs_{uuid.uuid4().hex}"
-        # one file for each bucket, written in order: scans may say so
-        scratch.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        # one file for each bucket, written in order: scans may say so while the runs are open
+        self.before = scratch.spark.conf.get(ORDERED, None)
+        scratch.spark.conf.set(ORDERED, "true")
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def _write(self, level: int, counts: DataFrame) -> None:
         self.made += 1
@@ -58,7 +72,7 @@ class LineRuns:
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(level + 1, _sum([df for _, df in full]))
+            self._write(level + 1, self._sum(full))
             self._drop(full)
             level += 1
 
@@ -70,21 +84,22 @@ class LineRuns:
         """(hi, lo) of lines in min_docs documents or more."""
         if not self.made:
             raise ValueError("no batch was added")
-        return _sum(self._runs()).where(F.col("docs") >= self.min_docs).select("hi", "lo")
+        return self._sum([run for level in self.levels for run in level]).where(F.col("docs") >= self.min_docs).select("hi", "lo")
+
+    def _sum(self, runs: list[tuple[str, DataFrame]]) -> DataFrame:
+        """The documents of each line over runs."""
+        files = self.scratch.spark.read.schema("hi long, lo long, docs long").parquet(*[self.scratch.path(name) for name, _ in runs])
+        return files.groupBy("hi", "lo").agg(F.sum("docs").alias("docs"))
 
     def close(self) -> None:
-        """Drop all runs; what was read from them must be written by then."""
+        """Drop all runs, and leave the session as it was; what was read from them must be written by then."""
         for level in self.levels:
             self._drop(level)
         self.levels = []
-
-
-def _sum(runs: list[DataFrame]) -> DataFrame:
-    """The documents of each line over runs that lie in the same buckets."""
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.union(r)
-    return out.groupBy("hi", "lo").agg(F.sum("docs").alias("docs"))
+        if self.before is None:
+            self.scratch.spark.conf.unset(ORDERED)
+        else:
+            self.scratch.spark.conf.set(ORDERED, self.before)
 
 
 def line_key(line: Column) -> Column:
@@ -116,11 +131,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = base.select("rid", _hashed(lines, min_chars, distinct=True).alias("h")).select("rid", F.explode("h").alias("h")).where("h is not null")
     held = scratch.save(held.select("rid", "h.hi", "h.lo", F.pmod(F.col("rid.hi"), F.lit(batches)).cast("int").alias("batch")), "held")
     counts = scratch.save(held.groupBy("batch", "hi", "lo").agg(F.count("*").alias("docs")), "counts")
-    runs = LineRuns(scratch, min_docs)
-    for k in range(batches):
-        runs.add(counts.where(F.col("batch") == k).select("hi", "lo", "docs"))
-    repeated = scratch.save(runs.repeated(), "repeated")
-    runs.close()
+    with LineRuns(scratch, min_docs) as runs:
+        for k in range(batches):
+            runs.add(counts.where(F.col("batch") == k).select("hi", "lo", "docs"))
+        repeated = scratch.save(runs.repeated(), "repeated")
     gone = held.join(repeated, ["hi", "lo"]).groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
     gone = scratch.save(gone, "gone")
     met = base.join(gone, "rid", "left").select("doc_id", lines.alias("lines"), "gone")
