@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.llm import bpe, chat, exact_dedup, filter_audit, line_dedup, mixing, quality, simhash, span_dedup, topk
+from tidewake.llm import bpe, chat, exact_dedup, filter_audit, line_dedup, merkle, mixing, quality, simhash, span_dedup, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": bpe.op8_token_counts,
     "op9_span_dedup": span_dedup.op9_span_dedup,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op5_source_mixing": mixing.OP5_SQL,
     "op9_span_dedup": span_dedup.OP9_SQL,
     "op10_exact_topk": topk.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
 }
