@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.llm import bpe, chat, exact_dedup, filter_audit, line_dedup, merkle, mixing, quality, simhash, span_dedup, topk
+from tidewake.llm import bpe, chat, exact_dedup, filter_audit, line_dedup, merkle, mixing, quality, simhash, span_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
