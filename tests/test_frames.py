@@ -238,3 +238,19 @@ def test_cpu_share():
     from tidewake.config import cpu_share
 
     assert [cpu_share(8, 0.5), cpu_share(1, 0.4)] == [4, 1]
+
+
+@pytest.mark.parametrize("method", ["hyper", "pratt"])
+def test_fits_as_expressions_are_those_of_arrays(spark, method):
+    """Random, straight, circular, repeated and missing points: expressions and numpy agree."""
+    rng = np.random.default_rng(4)
+    sets = [rng.normal(size=(n, 2)) * s for n in (3, 4, 5, 11) for s in (0.1, 1, 300) for _ in range(10)]
+    sets += [np.column_stack([np.arange(5.0), 2 * np.arange(5.0)]), np.ones((4, 2)), np.array([[0.0, 1], [1, 0], [0, -1], [-1, 0]]), np.array([[1.0, 2], [3, 4]]), np.zeros((0, 2))]
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in p] + [None, (None, 1.0)]) for k, p in enumerate(sets)] + [(999, None)], "k int, p array<struct<x:double,y:double>>")
+    got = {r["k"]: r["c"] for r in df.select("k", circles.fit_circle(F.col("p"), method).alias("c")).collect()}
+    assert got[999] is None or got[999]["radius"] is None
+    for k, p in enumerate(sets):
+        want = circles.fit(p[None], method)[0] if len(p) else [np.nan] * 4
+        assert [got[k][f] is None for f in ("kappa", "radius", "cx", "cy")] == [bool(np.isnan(w)) for w in want] or want[1] > 1e6  # straight: rounding decides
+        if got[k]["radius"] is not None and want[1] < 1e6:
+            assert [got[k][f] for f in ("kappa", "radius", "cx", "cy")] == pytest.approx(list(want), rel=1e-6, abs=1e-6)

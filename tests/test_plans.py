@@ -5,7 +5,8 @@ import re
 import pytest
 
 from tests.conftest import DATA
-from tidewake.operators import diel, frames, windows
+from tidewake.config import FrameConfig
+from tidewake.operators import activity, diel, frames, windows
 from tidewake.plans import common
 from tidewake.plans import diel as diel_plans
 from tidewake.plans import frames as frame_plans
@@ -34,8 +35,19 @@ def test_frames_need_one_exchange_and_sort(spark, tmp_path):
     assert count(got, "Exchange") == 1 and count(got, "Sort") == 1
 
 
-def test_fits_of_all_sets_are_one_trip_to_python(spark):
-    assert count(plan(frames.curvature(frames.flags(common.poses(spark, DATA)))), "ArrowEvalPython") == 1
+@pytest.mark.parametrize("fit, trips", [("threept", 1), ("hyper", 0), ("pratt", 0)])
+def test_fits_of_all_sets_are_one_trip_to_python_or_none(spark, fit, trips):
+    assert count(plan(frames.curvature(frames.flags(common.poses(spark, DATA)), FrameConfig(fit=fit))), "ArrowEvalPython") == trips
+
+
+def test_whole_tables_are_ordered_by_ranges(spark):
+    """A recording without a key is numbered, and its neighbours found, without a window over all of it."""
+    events = spark.read.parquet(f"{DATA}/events.parquet").withColumnRenamed("event_type", "state")
+    columns = {"activity_class": "state", "movement": "value", "swim_count": "user_id"}
+    for got in (activity.prepare(events, columns), activity.transitions(events, ["ts", "event_id"])):
+        text = plan(got)
+        windows_ = [line for line in text.splitlines() if "Window [" in line]
+        assert all("_part" in line or "sum(n" in line for line in windows_), windows_  # by part, or over the nine states
 
 
 def test_windows_need_one_exchange(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Circle fits of point lists, batched over rows of an Arrow batch.
+"""Circle fits of point lists: the algebraic ones as expressions, the one through three points batched over an Arrow batch.
 
 Both algebraic fits minimise A z + B x + C y + D over centred points, z = x^2 + y^2, under a quadratic constraint N on the
 coefficients; Pratt takes B^2 + C^2 - 4 A D = 1 and the hyper-accurate one 8 zbar A D + ... = 1. In moment form the constraint
@@ -102,14 +102,87 @@ def _fit_lists(method: str, *lists: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(out[:, k], pa.float64(), mask=~np.isfinite(out[:, k])) for k in range(4)], ["kappa", "radius", "cx", "cy"])
 
 
+#: Newton steps at most; they end where a step no longer helps, after ten or so.
+STEPS = 60
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def algebraic(points: Column, hyper: bool) -> Column:
+    """struct (kappa, radius, cx, cy) of array<struct<x, y>> without gaps, in expressions only; null fields where no circle fits."""
+
+    def fields(kappa: Column, radius: Column, cx: Column, cy: Column) -> Column:
+        return F.struct(kappa.alias("kappa"), radius.alias("radius"), cx.alias("cx"), cy.alias("cy"))
+
+    none = fields(*[F.lit(None).cast("double")] * 4)
+    sums = lambda names: F.struct(*[F.lit(0.0).alias(n) for n in names])
+    plus = lambda names: lambda acc, p: F.struct(*[(acc[n] + of(p)).alias(n) for n, of in names.items()])
+    middle = {"x": lambda p: p["x"], "y": lambda p: p["y"]}
+    products = {"xx": ("x", "x"), "yy": ("y", "y"), "xy": ("x", "y"), "xz": ("x", "z"), "yz": ("y", "z"), "zz": ("z", "z")}
+    products = {n: (lambda p, a=a, b=b: p[a] * p[b]) for n, (a, b) in products.items()}
+
+    def from_middle(m: Column) -> Column:
+        centred = F.transform(points, lambda p: F.struct((p["x"] - m["x"]).alias("x"), (p["y"] - m["y"]).alias("y")))
+        with_z = F.transform(centred, lambda p: F.struct(p["x"], p["y"], (p["x"] * p["x"] + p["y"] * p["y"]).alias("z")))
+        n = F.size(points)
+        moments = F.aggregate(with_z, sums(products), plus(products), lambda acc: F.struct(*[(acc[k] / n).alias(k) for k in products]))
+        return _let(moments, lambda q: _let(F.struct(*q_fields(q)), lambda c: from_moments(m, c)))
+
+    def q_fields(q: Column) -> list[Column]:
+        mz, cov = q["xx"] + q["yy"], q["xx"] * q["yy"] - q["xy"] * q["xy"]
+        return [*[q[k].alias(k) for k in products], mz.alias("mz"), cov.alias("cov"), (q["zz"] - mz * mz).alias("var")]
+
+    def from_moments(m: Column, q: Column) -> Column:
+        xz, yz, mz, cov = q["xz"], q["yz"], q["mz"], q["cov"]
+        a2 = 4 * cov - 3 * mz * mz - q["zz"]
+        if hyper:
+            a1 = q["var"] * mz + 4 * cov * mz - xz * xz - yz * yz
+            a0 = xz * (xz * q["yy"] - yz * q["xy"]) + yz * (yz * q["xx"] - xz * q["xy"]) - q["var"] * cov
+        else:
+            a1 = q["zz"] * mz + 4 * cov * mz - xz * xz - yz * yz - mz * mz * mz
+            a0 = xz * xz * q["yy"] + yz * yz * q["xx"] - q["zz"] * cov - 2 * xz * yz * q["xy"] + mz * mz * cov
+        return _let(F.struct(a0.alias("a0"), a1.alias("a1"), a2.alias("a2")), lambda a: _let(newton(a), lambda root: circle(m, q, root)))
+
+    def newton(a: Column) -> Column:
+        state = lambda root, value, ended: F.struct(root.alias("root"), value.alias("value"), ended.alias("ended"))
+
+        def step(acc: Column, _: Column) -> Column:
+            slope = a["a1"] + acc["root"] * (2 * a["a2"] + 16 * acc["root"] * acc["root"])
+
+            def tried(new: Column) -> Column:
+                value = a["a0"] + new * (a["a1"] + new * (a["a2"] + 4 * new * new))
+                better = lambda v: F.when(F.abs(v) < F.abs(acc["value"]), state(new, v, F.lit(False))).otherwise(state(acc["root"], acc["value"], F.lit(True)))
+                return _let(value, better)
+
+            return F.when(acc["ended"], acc).otherwise(_let(acc["root"] - F.try_divide(acc["value"], slope), tried))
+
+        return F.aggregate(F.array_repeat(F.lit(0), STEPS), state(F.lit(0.0), a["a0"], F.lit(False)), step, lambda acc: acc["root"])
+
+    def circle(m: Column, q: Column, root: Column) -> Column:
+        det = root * root - root * q["mz"] + q["cov"]
+        cx = F.try_divide(q["xz"] * (q["yy"] - root) - q["yz"] * q["xy"], det) / 2
+        cy = F.try_divide(q["yz"] * (q["xx"] - root) - q["xz"] * q["xy"], det) / 2
+        at = lambda c: _let(F.sqrt(c["cx"] * c["cx"] + c["cy"] * c["cy"] + q["mz"] + (-2 if hyper else 2) * root), lambda r: F.when((r > 0) & (r < float("inf")), fields(1 / r, r, c["cx"] + m["x"], c["cy"] + m["y"])).otherwise(none))
+        return _let(F.struct(cx.alias("cx"), cy.alias("cy")), at)
+
+    middles = F.aggregate(points, sums(middle), plus(middle), lambda acc: F.struct(*[(acc[k] / F.size(points)).alias(k) for k in middle]))
+    return F.when(F.size(points) >= 3, _let(middles, from_middle)).otherwise(none)
+
+
 def fit_circle(points: Column, method: str = "hyper", weights: Column | None = None) -> Column:
     """struct (kappa, radius, cx, cy) of array<struct<x, y>>; missing points are left out; a row that no circle fits is null fields, not an error.
 
-    weights: array<double> beside the points, for the fit through three points; a point without one weighs the least.
+    The algebraic fits are expressions, the one through three points is a trip to Python. weights: array<double> beside the points,
+    for that one; a point without one weighs the least.
     """
     if method not in METHODS:
         raise ValueError(f"unknown fit {method!r}")
     there = lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull()
+    if method != "threept":
+        return algebraic(F.filter(points, there), method == "hyper")
     if weights is None:
 
         @F.arrow_udf(RESULT)

@@ -72,3 +72,9 @@ def frame_minute(frame: Column) -> Column:
 
 def iqr(c: Column) -> Column:
     return F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+
+
+def drawn(n: Column, *counter: Column) -> Column:
+    """A number from 0 to n - 1, the same for the same counter on any engine: the first 32 bits of its MD5, modulo n."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in counter]).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % n

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import STATES, ActivityConfig
 from tidewake.functions.values import chunk_minute, per_chunk
+from tidewake.operators.numbering import numbered, with_next
 
 # Logical names and the physical columns of an activity table.
 COLUMNS = {"activity_class": "activity_class", "movement": "MFC5_movement_distance", "swim_count": "Tail1_swim_count"}
@@ -24,12 +25,17 @@ def safe(df: DataFrame, name: str, default: object = None) -> Column:
 
 
 def prepare(df: DataFrame, columns: dict[str, str] | None = None, order: str = "event_id", by: list[str] | None = None) -> DataFrame:
-    """Logical columns of an activity table; a missing one is an error. chunk_id is the row's place in its recording (by) if there is none."""
+    """Logical columns of an activity table; a missing one is an error. chunk_id is the row's place in its recording (by) if there is none.
+
+    Without ``by`` the whole table is one recording: it is numbered by ranges (``numbering``), not in one task.
+    """
     columns = columns or COLUMNS
     missing = [p for p in columns.values() if p not in df.columns]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
-    chunk = F.col("chunk_id") if "chunk_id" in df.columns else F.row_number().over(W.partitionBy(*(by or [])).orderBy(order)) - 1
+    if "chunk_id" not in df.columns:
+        df = df.withColumn("chunk_id", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1) if by else numbered(df, [F.col(order)], name="chunk_id")
+    chunk = F.col("chunk_id")
     return df.select(*(by or []), chunk.cast("long").alias("chunk_id"), *[F.col(p).alias(n) for n, p in columns.items()])
 
 
@@ -54,10 +60,14 @@ def state_counts(df: DataFrame, state: str = "state", states: tuple[str, ...] =
 def transitions(df: DataFrame, order: list[str], state: str = "state", states: tuple[str, ...] = STATES, by: list[str] | None = None) -> DataFrame:
     """(from_state, to_state, n, pct) of rows next to each other; unknown and null states break pairs; rows without any are 0.
 
-    by: sequences of their own, as a recording each. Without it the whole table is one sequence, which one task must order.
+    by: sequences of their own, as a recording each. Without it the whole table is one sequence, ordered by ranges (``numbering``).
     """
     known = lambda c: F.col(c).isin(*states)
-    nxt = df.select(F.col(state).alias("a"), F.lead(state).over(W.partitionBy(*(by or [])).orderBy(*order)).alias("b"))
+    if by:
+        nxt = df.select(F.col(state).alias("a"), F.lead(state).over(W.partitionBy(*by).orderBy(*order)).alias("b"))
+    else:
+        own = df.select(F.col(state).alias("a"), *[F.col(o).alias(f"o{k}") for k, o in enumerate(order)])
+        nxt = with_next(own, "a", [F.col(f"o{k}") for k in range(len(order))], "b")
     n = nxt.where(known("a") & known("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     spark = df.sparkSession
     grid = spark.createDataFrame([(a, b) for a in states for b in states], "a string, b string")

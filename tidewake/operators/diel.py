@@ -5,18 +5,15 @@ Everything groups on (date, hour) or less with partial aggregates; windows witho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.config import DielConfig
 from tidewake.functions import text
-from tidewake.functions.values import bubble_area, numeric, period, spearman_brown, week_start, wilson
+from tidewake.functions.values import bubble_area, drawn, numeric, period, spearman_brown, week_start, wilson
 from tidewake.operators.ranks import with_quantiles
 
 SPEED = r"^Average speed of .*\(BL/s\)$"
@@ -175,24 +172,28 @@ def rolling_mean(daily: DataFrame, cfg: DielConfig = DielConfig()) -> DataFrame:
 
 
 def rolling_bootstrap(daily: DataFrame, cfg: DielConfig = DielConfig()) -> DataFrame:
-    """rolling_mean with lo and hi, the 2.5 and 97.5 percentiles of resampled means; seeded by the date."""
+    """rolling_mean with lo and hi, the 2.5 and 97.5 percentiles of means of as many days drawn from the window.
+
+    Draws are counter-based: which day stands at a place of a replicate is a hash of (seed, date, replicate, place), so every
+    run, on any number of tasks, draws the same.
+    """
     least = max(5, min(10, cfg.rolling_days // 2))
     w = W.orderBy("date").rowsBetween(1 - cfg.rolling_days, 0)
-    held = daily.where("value is not null").select("date", F.avg("value").over(w).alias("mean"), F.collect_list("value").over(w).alias("values"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lo, hi, mean = [], [], []
-            for date, m, values in zip(pdf.date, pdf["mean"], pdf["values"], strict=True):
-                if len(values) < least:
-                    lo.append(None), hi.append(None), mean.append(None)
-                    continue
-                rng = np.random.default_rng([cfg.seed, pd.Timestamp(date).toordinal()])
-                boot = rng.choice(np.asarray(values), size=(cfg.n_boot, len(values))).mean(axis=1)
-                lo.append(np.percentile(boot, 2.5)), hi.append(np.percentile(boot, 97.5)), mean.append(m)
-            yield pd.DataFrame({"date": pdf.date, "mean": mean, "lo": lo, "hi": hi})
-
-    return held.mapInPandas(run, "date date, mean double, lo double, hi double")
+    held = daily.where("value is not null").select("date", F.avg("value").over(w).alias("mean"), F.collect_list("value").over(w).alias("days")).withColumn("n", F.size("days"))
+    enough = F.col("n") >= least
+
+    def replicate(r: Column) -> Column:
+        day = lambda p: F.get("days", drawn(F.col("n"), F.lit(cfg.seed), F.col("date"), r, p).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda acc, p: acc + day(p)) / F.col("n")
+
+    boot = held.withColumn("boot", F.when(enough, F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(cfg.n_boot - 1)), replicate))))
+
+    def percentile(share: float) -> Column:
+        place = share * (cfg.n_boot - 1)
+        at = lambda k: F.get("boot", F.lit(min(k, cfg.n_boot - 1)))
+        return at(int(place)) + (at(int(place) + 1) - at(int(place))) * (place - int(place))
+
+    return boot.select("date", F.when(enough, F.col("mean")).alias("mean"), percentile(0.025).alias("lo"), percentile(0.975).alias("hi"))
 
 
 def cumulative_max(daily: DataFrame) -> DataFrame:

@@ -53,25 +53,45 @@ def _above():
     return W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)
 
 
+def measured(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
+    """Adds what a frame says by itself: pts, valid, lengths and jump_limit."""
+    df = lengths(df.withColumn("pts", gate(F.col("kp"), cfg)).withColumn("valid", F.forall("pts", lambda p: p.isNotNull())), cfg)
+    return df.withColumn("jump_limit", F.greatest(F.lit(cfg.jump_px), F.coalesce(cfg.jump_of_body * F.col("body_length_px"), F.lit(cfg.jump_px))))
+
+
+def jumps(pts: str | Column, before: str | Column, limit: Column, cfg: FrameConfig = FrameConfig()) -> Column:
+    """Whether enough parts lie farther than the limit from where they were; false where either is missing."""
+    far = sum((F.coalesce(distance(at(pts, p), at(before, p)) > limit, F.lit(False)).cast("int") for p in PARTS), F.lit(0))
+    return far >= cfg.jump_parts
+
+
+def judged(df: DataFrame) -> DataFrame:
+    """skip and accepted from bad and place: of a run of bad frames among the valid ones every other has grace."""
+    df = df.withColumn("skip", F.col("bad") & (F.col("place") % 2 == 1))
+    return df.withColumn("accepted", F.col("valid") & ~F.col("skip"))
+
+
 def flags(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     """Adds pts, valid, lengths, bad, skip and accepted.
 
-    Every window here and below is over (video_id, frame): one exchange by video and one sort serve them all.
+    Every window here and below is over (video_id, frame): one exchange by video and one sort serve them all. A recording too
+    long for one task is walked by ``segments.walk``, which gives the same rows.
     """
-    df = df.repartition("video_id").withColumn("pts", gate(F.col("kp"), cfg)).withColumn("valid", F.forall("pts", lambda p: p.isNotNull()))
-    df = lengths(df, cfg)
+    df = measured(df.repartition("video_id"), cfg)
     run, above = _run(), _above()
     df = df.withColumn("last_valid", F.when(F.col("valid"), F.last(F.when(F.col("valid"), F.col("pts")), ignorenulls=True).over(above)))
-    limit = F.greatest(F.lit(cfg.jump_px), F.coalesce(cfg.jump_of_body * F.col("body_length_px"), F.lit(cfg.jump_px)))
-    df = df.withColumn("jump_limit", limit)
-    far = sum((F.coalesce(distance(at("pts", p), at("last_valid", p)) > F.col("jump_limit"), F.lit(False)).cast("int") for p in PARTS), F.lit(0))
-    df = df.withColumn("bad", F.col("valid") & F.col("last_valid").isNotNull() & (far >= cfg.jump_parts))
+    df = df.withColumn("bad", F.col("valid") & F.col("last_valid").isNotNull() & jumps("pts", "last_valid", F.col("jump_limit"), cfg))
     # a bad frame's place in its run: bad frames so far, less those up to the last good one
     df = df.withColumn("bad_so_far", F.sum(F.col("bad").cast("long")).over(run))
     before = F.last(F.when(F.col("valid") & ~F.col("bad"), F.col("bad_so_far")), ignorenulls=True).over(run)
-    df = df.withColumn("place", F.col("bad_so_far") - F.coalesce(before, F.lit(0)))
-    df = df.withColumn("skip", F.col("bad") & (F.col("place") % 2 == 1))
-    return df.withColumn("accepted", F.col("valid") & ~F.col("skip")).drop("last_valid", "jump_limit", "bad_so_far", "place")
+    df = judged(df.withColumn("place", F.col("bad_so_far") - F.coalesce(before, F.lit(0))))
+    return df.drop("last_valid", "jump_limit", "bad_so_far", "place")
+
+
+def steps(accepted: Column, pts: str | Column = "pts", last: str | Column = "last", cfg: FrameConfig = FrameConfig()) -> dict[str, Column]:
+    """_d0, _d1, ...: how far each part went since the accepted frame before; null without one, 0 below the jitter."""
+    step = [distance(at(pts, p), at(last, p)) for p in PARTS]
+    return {f"_d{k}": F.when(accepted, F.when(s < cfg.jitter_px, 0.0).otherwise(s)) for k, s in enumerate(step)}
 
 
 def distances(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
@@ -80,10 +100,13 @@ def distances(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     dist_px is null on rejected frames and on a video's first accepted one, and 0 below the jitter; cum_px carries on.
     """
     df = df.withColumn("last", F.when(F.col("accepted"), F.last(F.when(F.col("accepted"), F.col("pts")), ignorenulls=True).over(_above())))
-    step = [distance(at("pts", p), at("last", p)) for p in PARTS]
-    df = df.withColumns({f"_d{k}": F.when(F.col("accepted"), F.when(s < cfg.jitter_px, 0.0).otherwise(s)) for k, s in enumerate(step)})
+    df = df.withColumns(steps(F.col("accepted"), cfg=cfg))
     run = _run()
-    df = df.withColumns({f"_c{k}": F.sum(F.coalesce(f"_d{k}", F.lit(0.0))).over(run) for k in range(len(PARTS))})
+    return gathered(df.withColumns({f"_c{k}": F.sum(F.coalesce(f"_d{k}", F.lit(0.0))).over(run) for k in range(len(PARTS))}))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """dist_px and cum_px from the columns of each part."""
     out = df.withColumns({"dist_px": F.array(*[F.col(f"_d{k}") for k in range(len(PARTS))]), "cum_px": F.array(*[F.col(f"_c{k}") for k in range(len(PARTS))])})
     return out.drop(*[f"_{c}{k}" for c in "dc" for k in range(len(PARTS))])
 
@@ -94,30 +117,38 @@ def long_distances(df: DataFrame) -> DataFrame:
     return df.select("video_id", "frame", F.explode(zipped).alias("z")).select("video_id", "frame", "z.part", "z.dist_px", "z.cum_px")
 
 
-def swim(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
-    """Adds by swim part p: {p}_sign, _swim, _bend, _cum_swim, _cum_bend, _rel, _cum_rel, _travel, _cum_travel (px) and _cum_travel_whole without restarts.
-
-    A swim event is a change of side between accepted frames; a one-sided bend a step over the part's threshold on one side.
-    Relative travel and travel need a sign on the row just before.
-    """
+def signed(df: DataFrame) -> DataFrame:
+    """Adds {p}_sign, _signs (all of a row, null on rows without a reference line) and _on."""
     sign = {p: F.when(F.col("accepted"), lateral(at("pts", p), at("pts", "Head1"), F.coalesce(at("pts", "Head2"), at("pts", "MFC1")))) for p in SWIM_PARTS}
     df = df.withColumns({f"{p}_sign": c for p, c in sign.items()})
-    df = df.withColumn("_signs", F.when(F.col(f"{SWIM_PARTS[0]}_sign").isNotNull(), F.array(*[F.col(f"{p}_sign") for p in SWIM_PARTS]))).withColumn("_on", F.col("_signs").isNotNull())
-    df = df.withColumn("_before", F.when(F.col("_on"), F.last("_signs", ignorenulls=True).over(_above())))
-    df = df.withColumn("_above", F.lag("_signs").over(W.partitionBy("video_id").orderBy("frame")))
+    return df.withColumn("_signs", F.when(F.col(f"{SWIM_PARTS[0]}_sign").isNotNull(), F.array(*[F.col(f"{p}_sign") for p in SWIM_PARTS]))).withColumn("_on", F.col("_signs").isNotNull())
+
+
+def turns(signs: Column, before: Column) -> dict[str, Column]:
+    """{p}_swim and {p}_bend of a row with signs, by those of the last row that had any."""
     new = {}
     for k, p in enumerate(SWIM_PARTS):
-        now, was, above = F.col(f"{p}_sign"), F.col("_before")[k], F.col("_above")[k]
+        now, was = signs[k], before[k]
         flip = F.coalesce(((was < 0) & (now > 0)) | ((was > 0) & (now < 0)), F.lit(False))
         same = F.coalesce(((was > 0) & (now > 0)) | ((was < 0) & (now < 0)), F.lit(False)) & (F.abs(now - was) > ONE_SIDED[p])
-        follows = F.col("_on") & above.isNotNull()
-        step = distance(at("pts", p), at("last", p))
-        new |= {f"{p}_swim": flip.cast("long"), f"{p}_bend": (~flip & same).cast("long"), f"{p}_rel": F.when(follows, F.abs(now - above)).otherwise(0.0)}
-        new[f"{p}_travel"] = F.when(follows & (step >= cfg.jitter_px), step).otherwise(0.0)
-    df = df.withColumns(new)
-    run = _run()
-    sums = {f"{p}_cum_{m}": F.sum(f"{p}_{m}").over(run) for p in SWIM_PARTS for m in ("swim", "bend", "rel", "travel")}
-    df = df.withColumns(sums)
+        new |= {f"{p}_swim": flip.cast("long"), f"{p}_bend": (~flip & same).cast("long")}
+    return new
+
+
+def travels(signs: Column, above: Column, pts: str | Column = "pts", last: str | Column = "last", cfg: FrameConfig = FrameConfig()) -> dict[str, Column]:
+    """{p}_rel and {p}_travel of a row: both need signs on the row just above."""
+    new, follows = {}, signs.isNotNull() & above.isNotNull()
+    for k, p in enumerate(SWIM_PARTS):
+        step = distance(at(pts, p), at(last, p))
+        new |= {f"{p}_rel": F.when(follows, F.abs(signs[k] - above[k])).otherwise(0.0), f"{p}_travel": F.when(follows & (step >= cfg.jitter_px), step).otherwise(0.0)}
+    return new
+
+
+MEASURES = ("swim", "bend", "rel", "travel")
+
+
+def restarted(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
+    """{p}_cum_travel_whole, and the restarts of the cumulative columns that the settings ask for."""
     dead = F.col("accepted") & ~F.col("_on")  # a reference line without length leaves the initial zeros
     restart = F.col("_on") & F.col("_above").isNull()
     last = {}
@@ -129,6 +160,21 @@ def swim(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     return df.withColumns(last).drop("_signs", "_on", "_before", "_above")
 
 
+def swim(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
+    """Adds by swim part p: {p}_sign, _swim, _bend, _cum_swim, _cum_bend, _rel, _cum_rel, _travel, _cum_travel (px) and _cum_travel_whole without restarts.
+
+    A swim event is a change of side between accepted frames; a one-sided bend a step over the part's threshold on one side.
+    Relative travel and travel need a sign on the row just before.
+    """
+    df = signed(df)
+    df = df.withColumn("_before", F.when(F.col("_on"), F.last("_signs", ignorenulls=True).over(_above())))
+    df = df.withColumn("_above", F.lag("_signs").over(W.partitionBy("video_id").orderBy("frame")))
+    df = df.withColumns(turns(F.col("_signs"), F.col("_before")) | travels(F.col("_signs"), F.col("_above"), cfg=cfg))
+    run = _run()
+    df = df.withColumns({f"{p}_cum_{m}": F.sum(f"{p}_{m}").over(run) for p in SWIM_PARTS for m in MEASURES})
+    return restarted(df, cfg)
+
+
 def _curvature_columns(df: DataFrame, name: str, kappa: Column, radius: Column, cx: Column, cy: Column, cfg: FrameConfig) -> DataFrame:
     """The columns of one curvature set from a fit: what bends beyond the limit is Invalid and has no figures."""
     df = df.withColumn("_mm", kappa / cfg.mm_per_px)

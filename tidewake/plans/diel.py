@@ -147,6 +147,9 @@ ORACLES = {
         FROM (SELECT CAST(date - CAST((dayofweek(date) + 5) % 7 AS INTEGER) AS DATE) AS week, sum(pct / 100 * frames) AS hits, sum(frames)::DOUBLE AS n, 1.96::DOUBLE * 1.96::DOUBLE AS z2
         FROM (SELECT date, count(*) FILTER (WHERE event_type = 'error') * 100.0::DOUBLE / count(*) AS pct, count(*) AS frames FROM o GROUP BY date) GROUP BY 1)""", OBS),
     "diel_rolling_mean": sql_rounded("mean", "SELECT date, CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END AS mean FROM y WINDOW w AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", _DAILY),
+    "diel_rolling_bootstrap": sql_rounded("mean lo hi", """SELECT date, CASE WHEN len(days) >= 5 THEN any_value(mean) END AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
+        FROM (SELECT date, mean, days, CASE WHEN len(days) >= 5 THEN list_sum(list_transform(range(len(days)), lambda p: days[1 + ('0x' || substr(md5(concat_ws(':', 0, date, r, p)), 1, 8))::BIGINT % len(days)])) / len(days) END AS m
+        FROM (SELECT date, mean, days, unnest(range(400)) AS r FROM (SELECT date, avg(value) OVER w AS mean, list(value) OVER w AS days FROM y WINDOW w AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))) GROUP BY date, days""", _DAILY),
     "diel_cumulative_max": sql_rounded("value cummax", "SELECT date, value, max(value) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cummax FROM (SELECT date, max(value) AS value FROM o GROUP BY date)", OBS),
     "diel_annotation_means": sql_rounded("v", f"""SELECT 'hourly_means' AS kind, {_DAY} AS period, avg(m) AS v FROM (SELECT range AS hour_bin, m FROM range(24) LEFT JOIN (SELECT hour_bin, avg(value) AS m FROM o GROUP BY 1) x ON x.hour_bin = range) GROUP BY 2
         UNION ALL SELECT 'cells', {_DAY} AS period, avg(m) FROM (SELECT date, hour_bin, avg(value) AS m FROM o GROUP BY 1, 2) GROUP BY 2

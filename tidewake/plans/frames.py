@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.config import CURVATURE_SETS, ONE_SIDED, PARTS, SWIM_PARTS, FrameConfig
-from tidewake.operators import frames, rounding, summary
+from tidewake.operators import frames, rounding, segments, summary
 from tidewake.plans.common import DIGITS, POSE, poses, rounded, sql_rounded
 
 CFG = FrameConfig()
@@ -30,6 +30,25 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
     return rounded(frames.long_distances(frames.distances(frames.flags(poses(spark, d)))))
 
 
+#: The tables' recordings have some dozens of frames.
+SEGMENT = 16
+
+
+def walked_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of a walk over segments."""
+    return rounded(segments.walk(poses(spark, d), segment=SEGMENT).select("video_id", "frame", "valid", "bad", "skip", "accepted", "mfc_length_px", "body_length_mm"))
+
+
+def walked_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of a walk over segments."""
+    return rounded(frames.long_distances(segments.walk(poses(spark, d), segment=SEGMENT)))
+
+
+def walked_swim(spark: SparkSession, d: str) -> DataFrame:
+    """Swim columns of a walk over segments."""
+    return rounded(_swim_rows(segments.walk(poses(spark, d), segment=SEGMENT)))
+
+
 def _swum(spark: SparkSession, d: str) -> DataFrame:
     return frames.swim(frames.distances(frames.flags(poses(spark, d))))
 
@@ -37,10 +56,14 @@ def _swum(spark: SparkSession, d: str) -> DataFrame:
 _SWIM = ("sign", "swim", "bend", "rel", "travel", "cum_swim", "cum_bend", "cum_rel", "cum_travel", "cum_travel_whole")
 
 
+def _swim_rows(swum: DataFrame) -> DataFrame:
+    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), *[F.col(f"{p}_{m}").alias(m) for m in _SWIM]) for p in SWIM_PARTS])).alias("z")
+    return swum.select("video_id", "frame", parts).select("video_id", "frame", "z.*")
+
+
 def swim(spark: SparkSession, d: str) -> DataFrame:
     """A row for each frame and swim part."""
-    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), *[F.col(f"{p}_{m}").alias(m) for m in _SWIM]) for p in SWIM_PARTS])).alias("z")
-    return rounded(_swum(spark, d).select("video_id", "frame", parts).select("video_id", "frame", "z.*"))
+    return rounded(_swim_rows(_swum(spark, d)))
 
 
 _CURVED = ("px", "mm", "radius_px", "radius_mm", "center_x", "center_y", "class", "u_shape", "n_shape")
@@ -218,8 +241,59 @@ def _triplet_sql() -> str:
     return sql_rounded([f"{name}_{c}" for name in CURVATURE_SETS for c in _CURVED[:6]], f"SELECT d.video_id, d.frame, {', '.join(out)} FROM d {joins}", ctes, 5)
 
 
+def _curved_sql(name: str, source: str) -> str:
+    """CTE {name} of curvature columns from rad, ccx, ccy (a circle), body and the head and end points (hx, hy, ex, ey)."""
+    return f""", {name}_k AS (SELECT *, 1 / rad AS kappa, 1 / rad / 2.0 AS mm FROM {source}),
+{name}_l AS (SELECT *, abs(mm) <= 0.02 AS ok, CASE WHEN abs(mm) <= 0.02 AND body IS NULL THEN 'Invalid' WHEN abs(mm) >= 0.02 THEN 'Invalid' WHEN mm >= 0.01 THEN 'Extreme' WHEN mm >= 0.0033 THEN 'Normal' WHEN mm IS NOT NULL THEN 'Minimal' END AS label,
+    (ex - hx) * (ccy - hy) - (ey - hy) * (ccx - hx) AS side FROM {name}_k),
+{name} AS (SELECT video_id, frame, CASE WHEN ok THEN kappa END AS {name}_px, CASE WHEN ok THEN mm END AS {name}_mm, CASE WHEN ok THEN round_even(rad, 0) END AS {name}_radius_px, CASE WHEN ok THEN round_even(rad * 2.0, 0) END AS {name}_radius_mm,
+    CASE WHEN ok THEN ccx END AS {name}_center_x, CASE WHEN ok THEN ccy END AS {name}_center_y, label AS {name}_class,
+    CASE WHEN ok AND label <> 'Invalid' AND side > 0 THEN 1 ELSE 0 END::BIGINT AS {name}_u_shape, CASE WHEN ok AND label <> 'Invalid' AND side < 0 THEN 1 ELSE 0 END::BIGINT AS {name}_n_shape FROM {name}_l)"""
+
+
+#: Newton steps written out in SQL; on these tables none helps after the twelfth.
+_SQL_STEPS = 16
+
+
+def _algebraic_ctes(hyper: bool, source: str = "d") -> str:
+    """A CTE of curvature columns for each set: centred moments, the quartic by Newton steps, one CTE each, then the circle."""
+    out = ""
+    for name, parts in CURVATURE_SETS.items():
+        at, last = [AT[p] for p in parts], AT[parts[-1]]
+        n = len(at)
+        mean = lambda f: "(" + " + ".join(f(k) for k in at) + f") / {n}.0::DOUBLE"
+        dx, dy = (lambda k: f"(x{k} - mx)"), (lambda k: f"(y{k} - my)")
+        z = lambda k: f"({dx(k)} * {dx(k)} + {dy(k)} * {dy(k)})"
+        moments = {"mxx": (dx, dx), "myy": (dy, dy), "mxy": (dx, dy), "mxz": (dx, z), "myz": (dy, z), "mzz": (z, z)}
+        made = ", ".join(mean(lambda k, a=a, b=b: f"{a(k)} * {b(k)}") + f" AS {m}" for m, (a, b) in moments.items())  # noqa: B023
+        a1 = "var * mz + 4 * cov * mz - mxz * mxz - myz * myz" if hyper else "mzz * mz + 4 * cov * mz - mxz * mxz - myz * myz - mz * mz * mz"
+        a0 = "mxz * (mxz * myy - myz * mxy) + myz * (myz * mxx - mxz * mxy) - var * cov" if hyper else "mxz * mxz * myy + myz * myz * mxx - mzz * cov - 2 * mxz * myz * mxy + mz * mz * cov"
+        out += f""", {name}_m AS (SELECT *, {mean(lambda k: f"x{k}")} AS mx, {mean(lambda k: f"y{k}")} AS my FROM {source} WHERE accepted),
+{name}_q AS (SELECT video_id, frame, body, mx, my, x0 AS hx, y0 AS hy, x{last} AS ex, y{last} AS ey, {made} FROM {name}_m),
+{name}_p AS (SELECT *, mxx + myy AS mz, mxx * myy - mxy * mxy AS cov, mzz - (mxx + myy) * (mxx + myy) AS var FROM {name}_q),
+{name}_a AS (SELECT *, 4 * cov - 3 * mz * mz - mzz AS a2, {a1} AS a1, {a0} AS a0 FROM {name}_p),
+{name}_0 AS (SELECT *, 0.0::DOUBLE AS root, a0 AS val FROM {name}_a)"""
+        for k in range(_SQL_STEPS):
+            out += f""", {name}_t{k} AS (SELECT *, root - val / nullif(a1 + root * (2 * a2 + 16 * root * root), 0) AS nxt FROM {name}_{k}),
+{name}_v{k} AS (SELECT *, a0 + nxt * (a1 + nxt * (a2 + 4 * nxt * nxt)) AS nv FROM {name}_t{k}),
+{name}_{k + 1} AS (SELECT * EXCLUDE (root, val, nxt, nv), CASE WHEN abs(nv) < abs(val) THEN nxt ELSE root END AS root, CASE WHEN abs(nv) < abs(val) THEN nv ELSE val END AS val FROM {name}_v{k})"""
+        out += f""", {name}_d AS (SELECT *, nullif(root * root - root * mz + cov, 0) AS det FROM {name}_{_SQL_STEPS}),
+{name}_e AS (SELECT *, (mxz * (myy - root) - myz * mxy) / det / 2 AS ox, (myz * (mxx - root) - mxz * mxy) / det / 2 AS oy FROM {name}_d),
+{name}_f AS (SELECT *, ox * ox + oy * oy + mz + ({-2 if hyper else 2}) * root AS r2 FROM {name}_e),
+{name}_c AS (SELECT *, CASE WHEN r2 > 0 THEN sqrt(r2) END AS rad, CASE WHEN r2 > 0 THEN ox + mx END AS ccx, CASE WHEN r2 > 0 THEN oy + my END AS ccy FROM {name}_f)""" + _curved_sql(name, f"{name}_c")
+    return out
+
+
+def _curvature_rows(ctes: str, digits: int = DIGITS) -> str:
+    """All sets' columns of each frame, 0 or null where a set has no row."""
+    out = [f"coalesce({name}.{name}_{c}, 0)::BIGINT AS {name}_{c}" if c.endswith("shape") else f"{name}.{name}_{c}" for name in CURVATURE_SETS for c in _CURVED]
+    joins = " ".join(f"LEFT JOIN {name} ON {name}.video_id = d.video_id AND {name}.frame = d.frame" for name in CURVATURE_SETS)
+    return sql_rounded([f"{name}_{c}" for name in CURVATURE_SETS for c in _CURVED[:6]], f"SELECT d.video_id, d.frame, {', '.join(out)} FROM d {joins}", ctes, digits)
+
+
 QUERIES = {
-    "frame_likelihood": likelihood, "frame_flags": flags, "frame_distances": distances, "frame_swim": swim, "frame_curvature_by_ends": curvature_by_ends,
+    "frame_likelihood": likelihood, "frame_flags": flags, "frame_distances": distances, "frame_swim": swim,
+    "frame_flags_by_segments": walked_flags, "frame_distances_by_segments": walked_distances, "frame_swim_by_segments": walked_swim, "frame_curvature_by_ends": curvature_by_ends,
     "frame_curvature_hyper": _fitted("hyper"), "frame_curvature_pratt": _fitted("pratt"), "frame_curvature_three_points": _fitted("threept"),
     "video_summary": video_summary, "video_summary_rounded": rounded_video_summary, "video_tail_beats": tail_beats, "tracking_table": tracking_table, "tracking_rounded": rounded_distances,
 }
@@ -233,8 +307,11 @@ ORACLES = {
     "video_summary": sql_rounded(_SUM_DOUBLES, _SUM_BODY, POSE + _SWIM_CTES + _ends_sql() + _SUM_CTES),
     "video_summary_rounded": _rounded_summary_sql(),
     "frame_curvature_three_points": _triplet_sql(),
+    "frame_curvature_hyper": _curvature_rows(POSE + _algebraic_ctes(True)),
+    "frame_curvature_pratt": _curvature_rows(POSE + _algebraic_ctes(False)),
     "video_tail_beats": sql_rounded([f"{p}_{m}_frequency_hz" for p in SWIM_PARTS for m in ("swim", "one_sided", "combined")], f"SELECT v.video_id AS video_name, {_BEATS} FROM (SELECT DISTINCT video_id FROM d) v {_BEAT_JOIN}", POSE + _SWIM_CTES + _BEAT_CTES),
     "tracking_rounded": POSE + _SWIM_CTES + _ends_sql("h") + """ SELECT video_id, frame AS coords, round_even(x0, 3) AS "Head1_x", round_even(l0, 3) AS "Head1_likelihood", round_even(d0 * 2.0, 0) AS "Head1_frame_dist_mm",
         round_even(sum(coalesce(d0, 0.0)) OVER (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS "Head1_cum_dist_px", CASE WHEN abs(curvature_1_mm) <= 0.02 THEN round_even(curvature_1_mm, 4) END AS curvature_1_mm, curvature_1_radius_px,
         round_even(body * 2.0, 0) AS body_length_mm, round_even(mfc * 2.0, 0) AS mfc_length_mm, CASE WHEN (was7 < 0 AND g7 > 0) OR (was7 > 0 AND g7 < 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS "Tail1_swim_count", round_even(g7, 3) AS "Tail1_sign" FROM c""",
 }
+ORACLES |= {f"{name}_by_segments": ORACLES[name] for name in ("frame_flags", "frame_distances", "frame_swim")}

@@ -32,6 +32,17 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(activity.transitions(_states(spark, d), ["ts", "event_id"], by=["user_id"]))
 
 
+def transitions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the table as one sequence."""
+    return rounded(activity.transitions(_states(spark, d), ["ts", "event_id"]))
+
+
+def movement_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks numbered over the table as one recording."""
+    ev = table(spark, d, "events").select("event_id", F.col("event_type").alias("activity_class"), F.col("value").alias("MFC5_movement_distance"), (F.col("event_id") % 7).alias("Tail1_swim_count"))
+    return rounded(activity.movement_lines(activity.prepare(ev)))
+
+
 def movement(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("activity_class"), F.col("value").alias("MFC5_movement_distance"), (F.col("event_id") % 7).alias("Tail1_swim_count"))
     return rounded(activity.movement_lines(activity.prepare(ev, by=["user_id"])))
@@ -131,7 +142,7 @@ def frame_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "activity_state_counts": state_counts, "activity_transitions": transitions, "activity_movement": movement, "activity_class_shares": class_shares, "activity_valid_classes": valid_classes,
+    "activity_state_counts": state_counts, "activity_transitions": transitions, "activity_movement": movement, "activity_transitions_whole": transitions_whole, "activity_movement_whole": movement_whole, "activity_class_shares": class_shares, "activity_valid_classes": valid_classes,
     "activity_histogram": histogram, "activity_density": density, "media_best_snapshot": best_snapshot, "media_corrupted": corrupted, "media_last_good": last_good, "media_progress": session_progress,
     "text_keys": text_keys, "video_routing": video_routing, "video_unlabeled": unlabeled_videos, "crop_geometry": crop_geometry, "numeric_coercion": numeric_coercion, "frame_minutes": frame_minutes,
 }
@@ -162,3 +173,5 @@ ORACLES = {
     "numeric_coercion": sql_rounded("with_commas plain", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 2 THEN o_orderkey::DOUBLE END AS with_commas, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN round(o_totalprice, 2) < 1000 THEN o_totalprice END WHEN 2 THEN o_orderkey::DOUBLE END AS plain FROM orders", digits=2),
     "frame_minutes": sql_rounded("minute chunk_minute", "SELECT user_id, frame::INTEGER AS frame, frame / 60.0::DOUBLE AS minute, frame * 1.5::DOUBLE AS chunk_minute FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) WHERE frame % 10 = 0"),
 }
+ORACLES["activity_transitions_whole"] = ORACLES["activity_transitions"].replace("PARTITION BY user_id ORDER BY ts", "ORDER BY ts")
+ORACLES["activity_movement_whole"] = ORACLES["activity_movement"].replace("SELECT user_id, row_number()", "SELECT row_number()").replace("PARTITION BY user_id ORDER BY event_id", "ORDER BY event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import itertools
 import os
 from functools import reduce
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewake.config import PARTS
 from tidewake.functions.text import is_video, stem
 from tidewake.functions.values import no_nan, numeric
+from tidewake.shared import Scratch
 
 VIDEO = (".mp4", ".avi", ".mov", ".mkv")
 #: Where Windows-1252 differs from Latin-1, which Spark reads.
@@ -54,45 +57,94 @@ def _file() -> Column:
     return F.col("_metadata.file_path")
 
 
-def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, encoding): the first encoding that reads all lines of a file, UTF-8 with or without mark, then Windows-1252; null where neither does.
+def _marks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, encoding, header, fields): how a file is read, its first line that isn't blank as bytes, and the most fields of any line.
 
-    A pass over the files' lines as bytes, so a file is never held as a whole and may be read by many tasks.
+    A pass over the files' lines as bytes, so a file is never held as a whole and may be read by many tasks. The first line is
+    that of the lowest place in the file's first block; commas within quotes part no fields.
     """
     line = F.col("value").cast("binary")
     undefined = reduce(Column.__or__, [F.contains(line, F.lit(bytes([b]))) for b in _UNDEFINED])
-    seen = spark.read.text(paths).select(_file().alias("file"), F.is_valid_utf8("value").alias("utf8"), undefined.alias("undefined"))
-    return seen.groupBy("file").agg(F.when(F.bool_and("utf8"), "utf-8").when(~F.bool_or("undefined"), "cp1252").alias("encoding"))
+    bare = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
+    fields = 1 + F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(","), F.lit("")))
+    lines = spark.read.text(paths).select(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value", F.is_valid_utf8("value").alias("utf8"), undefined.alias("undefined"), fields.alias("fields"))
+    full = F.when(F.trim("value") != "", F.struct("block", "place"))
+    seen = lines.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("undefined").alias("undefined"), F.min_by(line, full).alias("header"), F.max("fields").alias("fields"))
+    return seen.select("file", F.when(F.col("utf8"), "utf-8").when(~F.col("undefined"), "cp1252").alias("encoding"), "header", "fields")
+
+
+def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, encoding): the first encoding that reads all lines of a file, UTF-8 with or without mark, then Windows-1252; null where neither does."""
+    return _marks(spark, paths).select("file", "encoding")
+
+
+def _names(header: bytes, encoding: str) -> list[str]:
+    """The columns that a header line names: one without a name by its place, one that comes again with a number."""
+    text = header.decode("utf-8-sig" if encoding == "utf-8" else encoding)
+    names: list[str] = []
+    for k, name in enumerate(next(csv.reader([text]), [])):
+        name = name.strip() or f"Unnamed: {k}"
+        again = next(n for n in itertools.count() if (f"{name}.{n}" if n else name) not in names)
+        names.append(f"{name}.{again}" if again else name)
+    return names
+
+
+class _Headers:
+    """Each file by the signature of its header. Signatures, not files, come to the driver, as they are the table's schema."""
+
+    def __init__(self, spark: SparkSession, paths: str | list[str], most: int = 10_000):
+        self.spark, self.paths = spark, paths
+        self.marks = Scratch(spark, "headers").save(_marks(spark, paths), "marks")
+        read = self.marks.where("encoding is not null and header is not null")
+        found = read.groupBy("header", "encoding").agg(F.min("file").alias("first")).orderBy("first").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} different headers: these files are no one table")
+        self.signatures = [(r["header"], r["encoding"], _names(bytes(r["header"]), r["encoding"])) for r in found]
+        self.columns = list(dict.fromkeys(n for _, _, names in self.signatures for n in names))
+
+    def files(self) -> DataFrame:
+        """(file, encoding, ok, error, width, at): at is the place of each of the table's columns in the file, null where it has none."""
+        places = []
+        for header, encoding, names in self.signatures:
+            where = {n: k for k, n in enumerate(names)}
+            places.append((header, encoding, len(names), [where.get(c) for c in self.columns]))
+        known = self.spark.createDataFrame(places, "header binary, encoding string, width int, at array<int>")
+        met = self.marks.join(known, ["header", "encoding"], "left")
+        error = F.when(F.col("encoding").isNull(), "no encoding reads it").when(F.col("width").isNull(), "no header").when(F.col("fields") > F.col("width"), F.format_string("a row of %d fields under a header of %d", "fields", "width"))
+        return met.select("file", "encoding", error.isNull().alias("ok"), error.alias("error"), "width", "at")
 
 
 def tracking_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, ok, error) of every file that has a line: what ``tracking`` reads and what it leaves out."""
-    ok = F.col("encoding").isNotNull()
-    return encodings(spark, paths).select("file", ok.alias("ok"), F.when(~ok, "no encoding reads it").alias("error"))
+    return _Headers(spark, paths).files().select("file", "ok", "error")
 
 
-def tracking(spark: SparkSession, paths: str | list[str], root: str | None = None) -> DataFrame:
-    """Tracking or window tables with a header; columns are text, ``source_path`` and ``root`` are added. Files may differ in encoding.
+def by_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV files as one table of text, each by its own header, and ``_file``: columns meet by name, one that a file lacks is null there.
 
-    All files are parsed byte by byte (marks of CSV are ASCII in either encoding) and meet their encoding in a join; then
-    letters are put together. A file that no encoding reads is left out and told by ``tracking_files``.
+    All files are parsed byte by byte (marks of CSV are ASCII in either encoding), by place, as wide as the widest header, and
+    meet the places of their columns in a join; then letters are put together by the file's encoding. Columns are in the order in which
+    the files, by path, name them first. A short row ends in nulls. A file that no encoding reads, or with a row of more
+    fields than its header, is left out and told by ``tracking_files``. Two passes: the lines as bytes, then the fields.
     """
-    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(paths)
-    names = [_header(c) for c in raw.columns]
-    held = raw.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(raw.columns)], _file().alias("file"))
-    met = held.join(encodings(spark, paths).where("encoding is not null"), "file")
+    headers = _Headers(spark, paths)
+    if not headers.signatures:
+        return spark.createDataFrame([], "_file string")
+    widest = max(len(names) for _, _, names in headers.signatures)
+    fields = [f"_c{k}" for k in range(widest)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", True).option("encoding", "ISO-8859-1").csv(paths)
+    held = raw.select(_file().alias("_file"), F.array(*fields).alias("_cells"))
+    met = held.join(headers.files().where("ok").select(F.col("file").alias("_file"), "encoding", "at"), "_file")
     old, new = ("".join(x) for x in zip(*_LATIN, strict=True))
     utf8 = F.col("encoding") == "utf-8"
     text = lambda c: F.when(utf8, F.encode(c, "ISO-8859-1").cast("string")).otherwise(F.translate(c, old, new))
-    return met.select(*[text(F.col(f"_c{k}")).alias(n) for k, n in enumerate(names)], F.col("file").alias("source_path"), F.lit(root).alias("root"))
+    return met.select(*[text(F.get("_cells", F.get("at", F.lit(k)))).alias(n) for k, n in enumerate(headers.columns)], "_file")
 
 
-def _header(name: str) -> str:
-    raw = name.encode("latin-1", "replace")
-    try:
-        return raw.decode("utf-8-sig").strip()
-    except UnicodeDecodeError:
-        return raw.decode("cp1252", "replace").strip()
+def tracking(spark: SparkSession, paths: str | list[str], root: str | None = None) -> DataFrame:
+    """Tracking or window tables with a header each (``by_header``); columns are text, ``source_path`` and ``root`` are added."""
+    got = by_header(spark, paths)
+    return got.select(*[F.col(f"`{c}`") for c in got.columns if c != "_file"], F.col("_file").alias("source_path"), F.lit(root).alias("root"))
 
 
 def roots(spark: SparkSession, paths: list[str], **more) -> DataFrame:
@@ -104,9 +156,9 @@ def roots(spark: SparkSession, paths: list[str], **more) -> DataFrame:
     return out
 
 
-def summary(spark: SparkSession, path: str, text_columns: tuple[str, ...] = ("file", "Datetime")) -> DataFrame:
-    """An integrated summary: numbers may have thousands separators."""
-    df = _without_bom(spark.read.option("header", True).csv(path))
+def summary(spark: SparkSession, path: str | list[str], text_columns: tuple[str, ...] = ("file", "Datetime")) -> DataFrame:
+    """An integrated summary, or several as one, each by its own header: numbers may have thousands separators."""
+    df = by_header(spark, path).drop("_file")
     return df.select(*[F.col(f"`{c}`") if c in text_columns or c.endswith(("_mmss", "_column")) else numeric(F.col(f"`{c}`"), commas=True).alias(c) for c in df.columns])
 
 
