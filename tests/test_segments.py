@@ -47,20 +47,16 @@ def recording(spark):
     return df, rows(frames.swim(frames.distances(frames.flags(df))).drop("kp"))
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 50, 10_000])
+@pytest.mark.parametrize("size", [1, 7, 50])
 def test_any_segment_gives_the_same_rows(recording, size):
     df, want = recording
     got = segments.walk(df, segment=size).drop("kp")
     assert rows(got) == want
     if size == 7:
+        assert sorted(got.columns) == sorted(frames.swim(frames.distances(frames.flags(df))).drop("kp").columns)
         assert got.where("skip").count() > 10 and got.where("Tail1_swim > 0").count() > 10
 
 
-def test_columns_are_those_of_the_whole_walk(recording):
-    df, _ = recording
-    assert sorted(segments.walk(df).columns) == sorted(frames.swim(frames.distances(frames.flags(df))).columns)
-
-
 def test_no_window_over_a_whole_video(recording):
     """Rows are dealt and ordered by video and segment; windows by video are over the summaries, which are written by then."""
     text = plan(segments.walk(recording[0], segment=50))

@@ -8,12 +8,13 @@ and the radius differs in the sign of that root's term.
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "kappa double, radius double, cx double, cy double"
@@ -200,6 +201,27 @@ def fit_circle(points: Column, method: str = "hyper", weights: Column | None = N
     return run_weighted(*[F.transform(pairs, f) for f in (lambda z: z["p"]["x"], lambda z: z["p"]["y"], lambda z: z["w"])])
 
 
+_POINTS = "_circle_points"
+
+
+@cache
+def _on_points(application: str, hyper: bool) -> Column:
+    """The fit of the column _POINTS: some hundreds of nodes, so it is built once for a session."""
+    return algebraic(F.col(_POINTS), hyper)
+
+
+def with_circles(df: DataFrame, points: dict[str, Column], method: str = "hyper") -> DataFrame:
+    """Adds ``fit_circle`` of several lists of points by name."""
+    if method not in METHODS:
+        raise ValueError(f"unknown fit {method!r}")
+    if method == "threept":
+        return df.withColumns({n: fit_circle(p, method) for n, p in points.items()})  # one trip to Python for all
+    fit_ = _on_points(df.sparkSession.sparkContext.applicationId, method == "hyper")
+    for name, p in points.items():
+        df = df.withColumn(_POINTS, F.filter(p, lambda z: z.isNotNull() & z["x"].isNotNull() & z["y"].isNotNull())).withColumn(name, fit_)
+    return df.drop(_POINTS)
+
+
 def register(spark, name: str = "fit_circle", method: str = "hyper") -> None:
     """fit_circle(xs, ys) for SQL; nulls as in ``fit_circle``."""
 

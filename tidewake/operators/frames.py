@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.config import MFC_PARTS, ONE_SIDED, PARTS, SWIM_PARTS, FrameConfig
-from tidewake.functions.circles import fit_circle
+from tidewake.functions.circles import with_circles
 from tidewake.functions.geometry import bend_side, curvature_class, distance, lateral, path_length, with_circumcircle
 
 AT = {p: k for k, p in enumerate(PARTS)}
@@ -54,9 +54,13 @@ def _above():
 
 
 def measured(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
-    """Adds what a frame says by itself: pts, valid, lengths and jump_limit."""
-    df = lengths(df.withColumn("pts", gate(F.col("kp"), cfg)).withColumn("valid", F.forall("pts", lambda p: p.isNotNull())), cfg)
-    return df.withColumn("jump_limit", F.greatest(F.lit(cfg.jump_px), F.coalesce(cfg.jump_of_body * F.col("body_length_px"), F.lit(cfg.jump_px))))
+    """Adds what a frame says by itself: pts, valid and lengths."""
+    return lengths(df.withColumn("pts", gate(F.col("kp"), cfg)).withColumn("valid", F.forall("pts", lambda p: p.isNotNull())), cfg)
+
+
+def jump_limit(cfg: FrameConfig = FrameConfig()) -> Column:
+    """How far a part may go between valid frames; to be taken behind a window, where the length is worked out already."""
+    return F.greatest(F.lit(cfg.jump_px), F.coalesce(cfg.jump_of_body * F.col("body_length_px"), F.lit(cfg.jump_px)))
 
 
 def jumps(pts: str | Column, before: str | Column, limit: Column, cfg: FrameConfig = FrameConfig()) -> Column:
@@ -79,13 +83,13 @@ def flags(df: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     """
     df = measured(df.repartition("video_id"), cfg)
     run, above = _run(), _above()
-    df = df.withColumn("last_valid", F.when(F.col("valid"), F.last(F.when(F.col("valid"), F.col("pts")), ignorenulls=True).over(above)))
-    df = df.withColumn("bad", F.col("valid") & F.col("last_valid").isNotNull() & jumps("pts", "last_valid", F.col("jump_limit"), cfg))
+    df = df.withColumn("last_valid", F.when(F.col("valid"), F.last(F.when(F.col("valid"), F.col("pts")), ignorenulls=True).over(above))).withColumn("jump_limit", jump_limit(cfg))
+    df = df.withColumn("bad", F.col("valid") & F.col("last_valid").isNotNull() & jumps("pts", "last_valid", F.col("jump_limit"), cfg)).drop("jump_limit")
     # a bad frame's place in its run: bad frames so far, less those up to the last good one
     df = df.withColumn("bad_so_far", F.sum(F.col("bad").cast("long")).over(run))
     before = F.last(F.when(F.col("valid") & ~F.col("bad"), F.col("bad_so_far")), ignorenulls=True).over(run)
     df = judged(df.withColumn("place", F.col("bad_so_far") - F.coalesce(before, F.lit(0))))
-    return df.drop("last_valid", "jump_limit", "bad_so_far", "place")
+    return df.drop("last_valid", "bad_so_far", "place")
 
 
 def steps(accepted: Column, pts: str | Column = "pts", last: str | Column = "last", cfg: FrameConfig = FrameConfig()) -> dict[str, Column]:
@@ -201,8 +205,8 @@ def curvature(df: DataFrame, cfg: FrameConfig = FrameConfig(), sets: tuple[str,
         if low is not None or high is not None:
             arc = path_length([at("pts", p) for p in cfg.sets[name]]) * cfg.mm_per_px
             usable = usable & (arc >= low if low is not None else F.lit(True)) & (arc <= high if high is not None else F.lit(True))
-        fits[f"_fit_{name}"] = fit_circle(F.when(usable, seen), cfg.fit)
-    df = df.withColumns(fits)  # one trip to Python for all sets
+        fits[f"_fit_{name}"] = F.when(usable, seen)
+    df = with_circles(df, fits, cfg.fit)
     for name in sets:
         fit = F.col(f"_fit_{name}")
         df = _curvature_columns(df, name, fit["kappa"], fit["radius"], fit["cx"], fit["cy"], cfg)

@@ -52,14 +52,14 @@ def _last(value: Column, where: Column) -> Column:
     return F.max_by(F.when(where, value), F.when(where, F.col("frame")))
 
 
-def _valid_above(df: DataFrame) -> DataFrame:
-    """_own_valid: the last valid frame above within the segment, null on the first valid one."""
-    return df.withColumn("_own_valid", F.when(F.col("valid"), F.last(F.when(F.col("valid"), F.col("pts")), ignorenulls=True).over(_above())))
+def _valid_above(df: DataFrame, cfg: FrameConfig) -> DataFrame:
+    """_own_valid: the last valid frame above within the segment, null on the first valid one; and jump_limit."""
+    return df.withColumn("_own_valid", F.when(F.col("valid"), F.last(F.when(F.col("valid"), F.col("pts")), ignorenulls=True).over(_above()))).withColumn("jump_limit", frames.jump_limit(cfg))
 
 
 def _validity(df: DataFrame, cfg: FrameConfig) -> DataFrame:
     """(video_id, _seg, _in_valid, _in_place): the last valid points, and the bad frames since the last good one, before each segment."""
-    df = _valid_above(df)
+    df = _valid_above(df, cfg)
     first = F.col("valid") & F.col("_own_valid").isNull()
     df = df.withColumn("_bad", F.col("valid") & ~first & frames.jumps("pts", "_own_valid", F.col("jump_limit"), cfg))
     df = df.withColumn("_n_bad", F.sum(F.col("_bad").cast("long")).over(_run()))
@@ -79,7 +79,7 @@ def _validity(df: DataFrame, cfg: FrameConfig) -> DataFrame:
 
 def _judged(df: DataFrame, given: DataFrame, cfg: FrameConfig) -> DataFrame:
     """The rows with bad, skip and accepted as ``frames.flags`` has them, and with signs."""
-    df = _valid_above(df.join(given, KEY))
+    df = _valid_above(df.join(given, KEY), cfg)
     df = df.withColumn("_before_valid", F.when(F.col("valid"), F.coalesce("_own_valid", "_in_valid")))
     df = df.withColumn("bad", F.col("valid") & F.col("_before_valid").isNotNull() & frames.jumps("pts", "_before_valid", F.col("jump_limit"), cfg))
     df = df.withColumn("_n_bad", F.sum(F.col("bad").cast("long")).over(_run()))

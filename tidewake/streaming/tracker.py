@@ -2,7 +2,8 @@
 
 A recording's state is the last accepted frame's sides and the counts so far, so a batch of new frames goes on where the one
 before ended: the last valid sides are carried over rejected frames. Frames that come again or too late, not behind the last
-one seen, are left out. The batch form of these counters is ``operators.frames.swim``.
+one seen, are left out. The batch form of these counters is ``operators.frames.swim``;
+``streaming.walk`` carries the whole walk.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQueryListener
@@ -31,18 +33,16 @@ def count_swims(frames: DataFrame, parts: tuple[str, ...] = tuple(ONE_SIDED)) ->
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         video, part = key
         last, side, swims, bends = state.get if state.exists else (-1, None, 0, 0)
-        new = pd.concat(list(batches)).sort_values("frame")  # one trigger's frames of one part
-        for frame, sign in zip(new["frame"].tolist(), new["sign"].tolist(), strict=True):
-            if frame <= last:
-                continue
-            last = frame
-            if sign is None or sign != sign:
-                continue
-            if side is not None and side * sign < 0:
-                swims += 1
-            elif side is not None and side * sign > 0 and abs(sign - side) > ONE_SIDED[part]:
-                bends += 1
-            side = sign
+        new = pd.concat(list(batches)).sort_values("frame", kind="stable").drop_duplicates("frame")  # one trigger's frames of one part
+        new = new[new["frame"] > last]
+        if len(new):
+            last = int(new["frame"].iloc[-1])
+            signs = new["sign"].to_numpy(float)
+            signs = signs[~np.isnan(signs)]
+            before = np.concatenate([[np.nan if side is None else side], signs])[:-1]
+            swims += int((before * signs < 0).sum())
+            bends += int(((before * signs > 0) & (np.abs(signs - before) > ONE_SIDED[part])).sum())
+            side = float(signs[-1]) if len(signs) else side
         state.update((last, side, swims, bends))
         yield pd.DataFrame({"video_id": [video], "part": [part], "frame": [last], "swims": [swims], "bends": [bends]})
 

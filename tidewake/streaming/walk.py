@@ -142,17 +142,17 @@ class _Walker(StatefulProcessor):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
 
-    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timers: TimerValues) -> None:
-        row = initial.iloc[0]
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        row = initialState.iloc[0]
         self._put(Walk(**{f: int(row[f]) if f in ("frame", "place") else [] if row[f] is None else list(row[f]) for fields in _FIELDS.values() for f in fields}))
-        self._wait(timers)
+        self._wait(timerValues)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))  # one trigger's frames of one recording
         new = new.sort_values("frame", kind="stable").drop_duplicates("frame")
         walk = self._get()
         new = new[new["frame"] > walk.frame]
-        self._wait(timers)
+        self._wait(timerValues)
         if not len(new):
             return
         grid = [np.array(new[c].tolist(), np.float64).reshape(len(new), len(PARTS)) for c in ("x", "y", "likelihood")]
@@ -160,7 +160,7 @@ class _Walker(StatefulProcessor):
         self._put(walk)
         yield pd.DataFrame({"video_id": key[0], **{c: _listed(v) for c, v in got.items()}, "closed": False})
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         walk = self._get()
         for held in self.held.values():
             held.clear()
@@ -177,8 +177,8 @@ def track(frames: DataFrame, cfg: FrameConfig = FrameConfig(), idle: float | Non
     idle: seconds without frames after which a recording is closed: a row with ``closed``, its last frame and counters, and its
     state is gone. begun: ``end_states`` of recordings that a batch walk has begun. The first of frames that come twice counts.
     """
-    points = {c: F.transform("kp", lambda p, c=c: F.coalesce(p[c].cast("double"), F.lit(float("nan")))) for c in ("x", "y", "likelihood")}
-    flat = frames.select("video_id", "frame", *[c.alias(n) for n, c in points.items()])
+    values = lambda c: F.transform("kp", lambda p: F.coalesce(p[c].cast("double"), F.lit(float("nan"))))
+    flat = frames.select("video_id", "frame", *[values(c).alias(c) for c in ("x", "y", "likelihood")])
     start = None if begun is None else begun.groupBy("video_id")
     return flat.groupBy("video_id").transformWithStateInPandas(_Walker(cfg, idle), OUTPUT, "Append", "None" if idle is None else "ProcessingTime", start)
 
