@@ -13,6 +13,7 @@ from tidewake.functions import text
 from tidewake.functions.values import divide
 from tidewake.operators.ranks import with_quantiles
 from tidewake.operators.windows import bending_shares, peak_curvature
+from tidewake.shared import Scratch
 
 RATES = ("tail1_hz", "tail2_hz", "tail3_hz", "tail4_hz", "freq_mean_hz")
 
@@ -135,8 +136,10 @@ def bending_section(counts: DataFrame, by: list[list[str]] | None = None) -> Dat
 def integrate(windows: DataFrame, counts: DataFrame, by: list[list[str]] | None = None) -> DataFrame:
     """The four sections below each other in their fixed order (section_order), columns that one lacks as nulls.
 
-    by: grouping sets over columns of both tables, as [["root"], []] for every session and the grand total.
+    by: grouping sets over columns of both tables, as [["root"], []] for every session and the grand total. The window table is
+    written once, as each section reads it.
     """
+    windows = Scratch(windows.sparkSession, "integrate").save(windows, "windows")
     curved, others = series_columns(windows)
     parts = [frequency_section(windows, by)]
     parts += [series_section(windows, curved, "global_curvature", "curvature", by=by)] if curved else []

@@ -183,7 +183,7 @@ def window_table(df: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame
 def bending_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Additive counts of curvature_1_class over rows that count: considered, valid, invalid, minimal, normal, extreme.
 
-    Without the class column every row that counts is invalid, and its shares are null.
+    ``known`` tells whether the table has the class column, for ``bending_shares``. Without the class column every row that counts is invalid, and its shares are null.
     """
     keep, label = ~F.col("skip"), F.lower(F.trim("curvature_1_class")) if "curvature_1_class" in df.columns else F.lit(None).cast("string")
     count = lambda c: F.count_if(keep & c)
