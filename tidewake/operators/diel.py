@@ -92,19 +92,19 @@ def combined_hourly(df: DataFrame, values: list[str]) -> DataFrame:
 
 
 def day_night(df: DataFrame, value: str = "value", cfg: DielConfig = DielConfig()) -> DataFrame:
-    """Stats by (date, period), and by period with a null date."""
+    """Stats by (date, period), and by period with a null date, in that order."""
     v = F.col(value)
     got = df.where(v.isNotNull()).withColumn("period", period(F.col("hour_bin"), cfg.sunrise, cfg.sunset))
     plain = {"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "count": F.count(v)}
     got = with_quantiles(got, ["date", "period"], plain, {"median": (v, 0.5), "low": (v, 0.25), "high": (v, 0.75)}, [["date", "period"], ["period"]])
-    return got.select("date", "period", "mean", "median", "std", (F.col("high") - F.col("low")).alias("iqr"), "min", "max", "count")
+    return got.select("date", "period", "mean", "median", "std", (F.col("high") - F.col("low")).alias("iqr"), "min", "max", "count").orderBy(F.asc_nulls_last("date"), "period")
 
 
 def date_hour_pivot(df: DataFrame, value: str = "value", how: str = "mean") -> DataFrame:
-    """date x h0..h23 with one of mean, median, min, max, sum, count."""
+    """date x h0..h23 with one of mean, median, min, max, sum, count, by date."""
     agg = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}[how]
     got = df.groupBy("date").pivot("hour_bin", list(range(24))).agg(agg(value))
-    return got.select("date", *[F.col(str(h)).alias(f"h{h}") for h in range(24)])
+    return got.select("date", *[F.col(str(h)).alias(f"h{h}") for h in range(24)]).orderBy("date")
 
 
 def bubble_raster(df: DataFrame, value: str = "value") -> DataFrame:

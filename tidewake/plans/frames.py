@@ -88,6 +88,11 @@ def video_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary.video_summary(got, CFG, ("curvature_1",)))
 
 
+def video_summary_all_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The summary over the three curvature sets with the configured fit."""
+    return rounded(summary.video_summary(frames.curvature(_swum(spark, d)), CFG, tuple(CURVATURE_SETS)))
+
+
 def rounded_video_summary(spark: SparkSession, d: str) -> DataFrame:
     """Every column of the summary as the sink writes it."""
     got = frames.curvature_by_ends(_swum(spark, d))
@@ -155,27 +160,28 @@ _BEAT_CTES = "".join(
 _BEAT_JOIN = " ".join(f"JOIN f{AT[p]} ON f{AT[p]}.video_id = v.video_id" for p in SWIM_PARTS)
 
 
-def _summary_sql() -> tuple[list[str], str, str]:
-    """Doubles, body and CTEs of the video summary."""
+def _summary_sql(sets: dict[str, str]) -> tuple[list[str], str, str]:
+    """Doubles, body and CTEs of the video summary of the table c. sets: the curvature sets and their class columns."""
     doubles: list[str] = []
-    seen = " AND ".join(f"l{AT[p]} >= 0.6" for p in CURVATURE_SETS["curvature_1"])
     cols = ["count(*) AS total_frames", "count(*) FILTER (WHERE NOT valid) AS skipped_frames_missing_invalid", "count(*) FILTER (WHERE skip) AS skipped_frames_wrong_detection"]
     for k, p in enumerate(PARTS):
         cols += [f'sum(coalesce(d{k}, 0.0)) AS "{p}_total_distance_px"', f'sum(coalesce(d{k}, 0.0)) * 2.0 AS "{p}_total_distance_mm"']
         doubles += [f"{p}_total_distance_px", f"{p}_total_distance_mm"]
-    for u in ("px", "mm"):
-        cols += [f"{f}(curvature_1_{u}) FILTER (WHERE {seen}) AS curvature_1_{s}_{u}" for s, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_samp"))]
-        cols += [f"{f}(curvature_1_radius_{u}) FILTER (WHERE {seen}) AS curvature_1_radius_{s}_{u}" for s, f in (("min", "min"), ("max", "max"), ("mean", "avg"))]
-        doubles += [f"curvature_1_{s}_{u}" for s in ("min", "max", "mean", "std")] + [f"curvature_1_radius_{s}_{u}" for s in ("min", "max", "mean")]
-    shown = f"count(*) FILTER (WHERE {seen} AND coalesce(label <> 'Invalid', true))"
-    for s in ("u", "n"):
-        n = f"coalesce(sum(curvature_1_{s}_shape) FILTER (WHERE {seen}), 0)"
-        cols += [f"{n}::BIGINT AS curvature_1_{s}_shape_count", f"coalesce({n} * 100.0::DOUBLE / nullif({shown}, 0), 0.0) AS curvature_1_{s}_shape_percentage"]
-    for kind in ("Extreme", "Normal", "Minimal", "Invalid"):
-        n = f"count(*) FILTER (WHERE {seen} AND label = '{kind}')"
-        of = f"count(*) FILTER (WHERE {seen} AND label IS NOT NULL)" if kind == "Invalid" else f"count(*) FILTER (WHERE {seen} AND label <> 'Invalid')"
-        cols += [f"{n} AS curvature_1_{kind.lower()}_count", f"coalesce({n} * 100.0::DOUBLE / nullif({of}, 0), 0.0) AS curvature_1_{kind.lower()}_percentage"]
-    doubles += [f"curvature_1_{k}_percentage" for k in ("u_shape", "n_shape", "extreme", "normal", "minimal", "invalid")]
+    for name, label in sets.items():
+        seen = " AND ".join(f"l{AT[p]} >= 0.6" for p in CURVATURE_SETS[name])
+        for u in ("px", "mm"):
+            cols += [f"{f}({name}_{u}) FILTER (WHERE {seen}) AS {name}_{s}_{u}" for s, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_samp"))]
+            cols += [f"{f}({name}_radius_{u}) FILTER (WHERE {seen}) AS {name}_radius_{s}_{u}" for s, f in (("min", "min"), ("max", "max"), ("mean", "avg"))]
+            doubles += [f"{name}_{s}_{u}" for s in ("min", "max", "mean", "std")] + [f"{name}_radius_{s}_{u}" for s in ("min", "max", "mean")]
+        shown = f"count(*) FILTER (WHERE {seen} AND coalesce({label} <> 'Invalid', true))"
+        for s in ("u", "n"):
+            n = f"coalesce(sum({name}_{s}_shape) FILTER (WHERE {seen}), 0)"
+            cols += [f"{n}::BIGINT AS {name}_{s}_shape_count", f"coalesce({n} * 100.0::DOUBLE / nullif({shown}, 0), 0.0) AS {name}_{s}_shape_percentage"]
+        for kind in ("Extreme", "Normal", "Minimal", "Invalid"):
+            n = f"count(*) FILTER (WHERE {seen} AND {label} = '{kind}')"
+            of = f"count(*) FILTER (WHERE {seen} AND {label} IS NOT NULL)" if kind == "Invalid" else f"count(*) FILTER (WHERE {seen} AND {label} <> 'Invalid')"
+            cols += [f"{n} AS {name}_{kind.lower()}_count", f"coalesce({n} * 100.0::DOUBLE / nullif({of}, 0), 0.0) AS {name}_{kind.lower()}_percentage"]
+        doubles += [f"{name}_{k}_percentage" for k in ("u_shape", "n_shape", "extreme", "normal", "minimal", "invalid")]
     for n, c in (("mfc_length", "mfc * 2.0"), ("body_length", "body * 2.0")):
         cols += [f"{f}({c}) AS {n}_{s}_mm" for s, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))]
         doubles += [f"{n}_{s}_mm" for s in ("mean", "std", "min", "max")]
@@ -195,7 +201,7 @@ def _summary_sql() -> tuple[list[str], str, str]:
     return doubles, f"SELECT base.video_id AS video_name, base.* EXCLUDE (video_id), {', '.join(more)} FROM base{joins}", ctes
 
 
-_SUM_DOUBLES, _SUM_BODY, _SUM_CTES = _summary_sql()
+_SUM_DOUBLES, _SUM_BODY, _SUM_CTES = _summary_sql({"curvature_1": "label"})
 _SWIM_CTES = _swim_sql()
 
 
@@ -295,7 +301,7 @@ QUERIES = {
     "frame_likelihood": likelihood, "frame_flags": flags, "frame_distances": distances, "frame_swim": swim,
     "frame_flags_by_segments": walked_flags, "frame_distances_by_segments": walked_distances, "frame_swim_by_segments": walked_swim, "frame_curvature_by_ends": curvature_by_ends,
     "frame_curvature_hyper": _fitted("hyper"), "frame_curvature_pratt": _fitted("pratt"), "frame_curvature_three_points": _fitted("threept"),
-    "video_summary": video_summary, "video_summary_rounded": rounded_video_summary, "video_tail_beats": tail_beats, "tracking_table": tracking_table, "tracking_rounded": rounded_distances,
+    "video_summary": video_summary, "video_summary_all_sets": video_summary_all_sets, "video_summary_rounded": rounded_video_summary, "video_tail_beats": tail_beats, "tracking_table": tracking_table, "tracking_rounded": rounded_distances,
 }
 
 ORACLES = {
@@ -315,3 +321,13 @@ ORACLES = {
         round_even(body * 2.0, 0) AS body_length_mm, round_even(mfc * 2.0, 0) AS mfc_length_mm, CASE WHEN (was7 < 0 AND g7 > 0) OR (was7 > 0 AND g7 < 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS "Tail1_swim_count", round_even(g7, 3) AS "Tail1_sign" FROM c""",
 }
 ORACLES |= {f"{name}_by_segments": ORACLES[name] for name in ("frame_flags", "frame_distances", "frame_swim")}
+
+
+def _all_sets_sql() -> str:
+    doubles, body, ctes = _summary_sql({name: f"{name}_class" for name in CURVATURE_SETS})
+    fits = ", ".join(f"{name}.{name}_{c}" for name in CURVATURE_SETS for c in _CURVED)
+    joins = " ".join(f"LEFT JOIN {name} ON {name}.video_id = d.video_id AND {name}.frame = d.frame" for name in CURVATURE_SETS)
+    return sql_rounded(doubles, body, POSE + _SWIM_CTES + _algebraic_ctes(True) + f", c AS (SELECT d.*, {fits} FROM d {joins})" + ctes)
+
+
+ORACLES["video_summary_all_sets"] = _all_sets_sql()
