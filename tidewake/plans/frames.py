@@ -331,3 +331,31 @@ def _all_sets_sql() -> str:
 
 
 ORACLES["video_summary_all_sets"] = _all_sets_sql()
+
+
+def _tracking_sql() -> str:
+    """The wide table column by column, rounded by what each column is."""
+    even = lambda c, digits, name: f'round_even(({c})::DOUBLE, {digits}) AS "{name}"'
+    cols = ["w.video_id", "w.frame AS coords"]
+    for k, p in enumerate(PARTS):
+        cols += [even(f"w.{c}{k}", 3, f"{p}_{n}") for c, n in (("x", "x"), ("y", "y"), ("l", "likelihood"))]
+        cols += [even(f"w.{c}{k} * {r}", 0, f"{p}_{n}_dist_{u}") for c, n in (("d", "frame"), ("cum", "cum")) for u, r in (("px", 1.0), ("mm", 2.0))]
+    for s in CURVATURE_SETS:
+        cols += [even(f"{s}.{s}_px", 4, f"{s}_px"), even(f"CASE WHEN abs({s}.{s}_mm) <= 0.02 THEN {s}.{s}_mm END", 4, f"{s}_mm"), f"{s}.{s}_class"]
+        cols += [even(f"{s}.{s}_radius_{u}", 0, f"{s}_radius_{u}") for u in ("px", "mm")] + [even(f"{s}.{s}_center_{u}", 3, f"{s}_center_{u}") for u in "xy"]
+        cols += [even(f"coalesce({s}.{s}_{u}_shape, 0)", 3, f"{s}_{u}_shape") for u in "un"]
+    for p in SWIM_PARTS:
+        z = f"z{AT[p]}"
+        cols.append(even(f"{z}.sign", 3, f"{p}_sign"))
+        for c, n in (("swim", "swim_count"), ("bend", "one_sided_bending_count")):
+            cols += [even(f"{z}.{c}", 0, f"{p}_{n}"), even(f"{z}.cum_{c}", 0, f"{p}_cumulative_{n}")]
+        for c, n in (("rel", "relative_travel_distance"), ("travel", "travel_distance")):
+            cols += [even(f"{z}.{b}{c} * {r}", 0, f"{p}_{a}{n}_{u}") for a, b in (("", ""), ("cumulative_", "cum_")) for u, r in (("px", 1.0), ("mm", 2.0))]
+    cols += [even("w.mfc", 0, "mfc_length_px"), even("w.mfc * 2.0", 0, "mfc_length_mm"), even("w.body", 0, "body_length_px"), even("CASE WHEN w.body * 2.0 BETWEEN 270 AND 670 THEN w.body * 2.0 END", 0, "body_length_mm")]
+    sums = ", ".join(f"sum(coalesce(d{k}, 0.0)) OVER r AS cum{k}" for k in range(len(PARTS)))
+    joins = " ".join(f"LEFT JOIN {t} ON {t}.video_id = w.video_id AND {t}.frame = w.frame" for t in (*CURVATURE_SETS, *[f"z{AT[p]}" for p in SWIM_PARTS]))
+    whole = f", w AS (SELECT *, {sums} FROM d WINDOW r AS (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING))"
+    return POSE + _SWIM_CTES + _algebraic_ctes(True) + whole + f" SELECT {', '.join(cols)} FROM w {joins}"
+
+
+ORACLES["tracking_table"] = _tracking_sql()
