@@ -162,3 +162,35 @@ def test_a_missing_column_has_its_default(spark):
     df = spark.createDataFrame([(1,)], "a int")
     got = df.select(activity.safe(df, "a").alias("a"), activity.safe(df, "b", 7).alias("b"), activity.safe(df, "c").alias("c")).first()
     assert tuple(got) == (1, 7, None)
+
+
+def _tracked(spark, videos):
+    rows = [(v, k, 1.23456, 300.0 if k % 3 else None) for v in videos for k in range(7)]
+    return spark.createDataFrame(rows, "video_id string, coords long, Head1_x double, body_length_mm double").repartition(3)
+
+
+def test_published_files_are_named_and_counted(spark, tmp_path):
+    out = tmp_path / "out"
+    told = spark.createDataFrame([("a.csv", True, None), ("b.csv", False, "no frames")], "file string, ok boolean, error string")
+    got = sinks.publish(_tracked(spark, ["v1", "v 2/x"[:3]]), told, str(out))
+    assert got == {"frames": 14, "frames_without_body": 6, "files": 2, "files_rejected": 1}
+    names = sorted(p.name for p in (out / "tracking").iterdir() if p.suffix == ".csv" and not p.name.startswith("."))
+    assert names == ["v 2_tracking_analysis.csv", "v1_tracking_analysis.csv"]
+    read = scans.tracking(spark, str(out / "tracking" / "v1_tracking_analysis.csv")).collect()
+    assert sorted((r["coords"], r["Head1_x"], r["body_length_mm"]) for r in read) == [(str(k), "1.235", "300.0" if k % 3 else None) for k in range(7)]
+    lines = (out / "tracking" / "v1_tracking_analysis.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert lines[0] == "video_id,coords,Head1_x,body_length_mm" and [x.split(",")[:2] for x in lines[1:]] == [["v1", str(k)] for k in range(7)]
+    # what is there is replaced as a whole
+    sinks.publish(_tracked(spark, ["v3"]), told.limit(0), str(out))
+    assert [p.name for p in (out / "tracking").iterdir() if p.suffix == ".csv" and not p.name.startswith(".")] == ["v3_tracking_analysis.csv"]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_failing_task_publishes_nothing(spark, tmp_path):
+    told = spark.createDataFrame([], "file string, ok boolean, error string")
+    sinks.publish(_tracked(spark, ["v1"]), told, str(tmp_path / "out"))
+    broken = _tracked(spark, ["v1", "v2", "v3"]).withColumn("Head1_x", F.when(F.col("video_id") == "v3", F.raise_error(F.lit("lost"))).otherwise(F.col("Head1_x")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(broken, told, str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out" / "tracking").iterdir() if p.suffix == ".csv" and not p.name.startswith(".")] == ["v1_tracking_analysis.csv"]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewake.config import FrameConfig
@@ -29,6 +31,44 @@ def tracking(df: DataFrame, path: str, cfg: FrameConfig = FrameConfig(), as_csv:
         rounded.write.mode("overwrite").partitionBy("video_id").parquet(path)
 
 
+def publish(df: DataFrame, rejected: DataFrame, path: str, cfg: FrameConfig = FrameConfig()) -> dict[str, int]:
+    """The rounded tracking table as one named CSV file for each video, and the rejects, visible together or not at all; counts of the pass that wrote them.
+
+    Both are written to a folder beside ``path``, each video's part is named ``{video}_tracking_analysis.csv``, and only then one
+    rename puts the folder in place of what was there. A task that fails, or a driver that dies, leaves at most the folder beside
+    it, which readers of ``path`` don't see. path/tracking holds the files, path/rejects the table of ``rejects``. A video is
+    written by one task. Returned: frames, frames_without_body, files, files_rejected; no further job counts them.
+    """
+    spark, staged, old = df.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, told = Observation(), Observation()
+    ok = F.col("ok") if "ok" in rejected.columns else F.lit(False)
+    try:
+        counted = round_frames(df, cfg).observe(seen, F.count(F.lit(1)).alias("frames"), F.count_if(F.col("body_length_mm").isNull()).alias("frames_without_body"))
+        dealt = counted.withColumn("_file", F.col("video_id")).repartition("_file").sortWithinPartitions("_file", "coords")
+        csv(dealt, f"{staged}/tracking", ["_file"], mark=True)
+        rejects(rejected.observe(told, F.count(F.lit(1)).alias("files"), F.count_if(~ok).alias("files_rejected")), f"{staged}/rejects")
+        for folder in files.listStatus(at(f"{staged}/tracking")):
+            if not folder.isDirectory():
+                continue
+            parts = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            video = unquote(folder.getPath().getName().partition("=")[2])
+            for k, part in enumerate(sorted(parts, key=lambda p: p.getName())):  # one, but for a limit on a file's records
+                files.rename(part, at(at(f"{staged}/tracking"), f"{video}_tracking_analysis{f'_{k}' if k else ''}.csv"))
+            files.delete(folder.getPath(), True)
+        if files.exists(at(path)):
+            files.rename(at(path), at(old))
+        if not files.rename(at(staged), at(path)):
+            raise OSError(f"{path} could not be put in place")
+        files.delete(at(old), True)
+    except BaseException:
+        files.delete(at(staged), True)
+        raise
+    return {**seen.get, **told.get}
+
+
 def video_summaries(df: DataFrame, path: str, cfg: FrameConfig = FrameConfig()) -> None:
     csv(round_frames(df, cfg), path, mark=True)
 
