@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.config import WindowConfig
-from tidewake.operators import files, rounding, windows
+from tidewake.operators import files, partials, rounding, windows
 from tidewake.plans.common import TRACK, WINDOW, rounded, sql_rounded, table, tracking
+from tidewake.shared import Scratch
 
 CFG = WindowConfig(frames=WINDOW)
 
@@ -52,6 +53,17 @@ def integrated(spark: SparkSession, d: str) -> DataFrame:
     return rounded(files.integrate(win, windows.bending_counts(frames, ["file"])), 4)
 
 
+def integrated_by_partials(spark: SparkSession, d: str) -> DataFrame:
+    """The same from partial summaries, as if the files had come in two lots."""
+    frames = _prepared(spark, d)
+    win, counts = rounding.round_table(windows.window_table(frames, CFG)), windows.bending_counts(frames, ["file"])
+    path = Scratch(spark, "partials").path("added")
+    for lot in range(2):
+        own = F.pmod(F.xxhash64("file"), F.lit(2)) == lot
+        partials.add(spark, path, win.where(own), counts.where(own), ["file"])
+    return rounded(partials.totals(spark, path), 4)
+
+
 def root_rollup(spark: SparkSession, d: str) -> DataFrame:
     """The four sections of each session and of all."""
     frames = _prepared(spark, d)
@@ -171,7 +183,7 @@ _BY_ROOT = _ROUNDED.replace("rw AS (SELECT *", f"ri AS (SELECT *, {_ROOT} FROM i
 
 QUERIES = {
     "window_increments": increments, "window_cumulative_series": cumulative_series, "window_table": window_table, "window_table_rounded": rounded_window_table, "window_tumbling": tumbling_windows,
-    "file_summary": file_summary, "file_bending": bending_by_file, "integrated_sections": integrated, "integrated_root_rollup": root_rollup, "order_rollup": order_rollup,
+    "file_summary": file_summary, "file_bending": bending_by_file, "integrated_sections": integrated, "integrated_by_partials": integrated_by_partials, "integrated_root_rollup": root_rollup, "order_rollup": order_rollup,
     "arg_max_part": arg_max_part, "describe_prices": describe_prices, "horizontal_stats": horizontal_stats,
 }
 
@@ -190,3 +202,4 @@ ORACLES = {
     "describe_prices": sql_rounded([f"l_extendedprice_{s}" for s in ("mean", "median", "std", "min", "max", "p10", "p90", "nonzero_ratio")], f"SELECT l_returnflag, {_eight('l_extendedprice')} FROM lineitem GROUP BY 1", digits=3),
     "horizontal_stats": sql_rounded("mean median min max", "SELECT l_orderkey, l_linenumber, l_partkey, list_avg(v) AS mean, list_median(v) AS median, list_min(v) AS min, list_max(v) AS max, len(v)::INTEGER AS n FROM (SELECT *, list_filter([CASE WHEN l_quantity > 25 THEN l_quantity END, l_tax, l_discount, CASE WHEN l_quantity < 10 THEN l_quantity * 2 END], lambda x: x IS NOT NULL) AS v FROM lineitem)"),
 }
+ORACLES["integrated_by_partials"] = ORACLES["integrated_sections"]
