@@ -181,3 +181,10 @@ def test_minutes_and_seconds(spark):
     df = spark.createDataFrame([(125.25,), (-1.0,), (None,), (float("inf"),)], "s double")
     assert [r["t"] for r in df.select(text.mmss(F.col("s")).alias("t")).collect()] == ["02:05.250", "00:00.000", None, None]
     assert math.isclose(values.per_chunk(7200, 1), 120)
+
+
+def test_seconds_round_their_stored_value(spark):
+    """As Python and C format them: the binary value, ties to even."""
+    seconds = [0.0305, 0.0005, 0.0015, 0.0625, 0.1875, 59.9995, 59.9996, 75.0625, 119.9995, 711.5605, 6000.1235]
+    got = spark.createDataFrame([(k, s) for k, s in enumerate(seconds)], "k long, s double").select("k", text.mmss(F.col("s")).alias("t")).orderBy("k").collect()
+    assert [r["t"] for r in got] == [f"{int(s // 60):02d}:{s - s // 60 * 60:06.3f}" for s in seconds]

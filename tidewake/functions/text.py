@@ -42,10 +42,15 @@ def datetime_key(c: Column) -> Column:
 
 
 def mmss(seconds: Column) -> Column:
-    """``mm:ss.sss``; below zero counts as zero, null stays."""
-    s = F.greatest(seconds, F.lit(0.0))
+    """``mm:ss.sss``; below zero counts as zero, null stays.
+
+    ``format_number`` rounds the stored binary value, ties to even (but 0.0005, just above one, to 0); ``%.3f`` would round its
+    shortest decimal form half up.
+    """
+    s = F.greatest(F.lit(0.0), seconds)
     m = F.floor(s / 60)
-    return F.when(seconds.isNotNull() & (F.abs(seconds) < float("inf")), F.format_string("%02d:%06.3f", m, s - m * 60))
+    rest = F.when(s == 0.0005, 0.001).otherwise(s - m * 60)
+    return F.when(seconds.isNotNull() & (F.abs(seconds) < float("inf")), F.format_string("%02d:%s", m, F.lpad(F.format_number(rest, 3), 6, "0")))
 
 
 def key_date(c: Column) -> Column:
