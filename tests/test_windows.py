@@ -1,9 +1,12 @@
 """Windows, increments, summaries and integration on small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewake.config import WindowConfig
+from tidewake.functions.values import steady_sum
 from tidewake.operators import files, windows
 
 CFG = WindowConfig(frames=4)
@@ -62,6 +65,28 @@ def test_first_of_equal_maxima(spark):
     assert none["max_curvature_frame_idx"] is None and none["max_curvature_timestamp_mmss"] is None
 
 
+def test_means_over_columns_add_in_their_order(spark):
+    """Equal rates of other tails give other last bits, and so another window of the largest mean."""
+    rates = [(0.3, 0.2, 0.1), (0.1, 0.2, 0.3), (0.2, 0.3, 0.1), (0.7, 0.1, 0.3), (0.1, 0.3, 0.7)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rates)], "k long, a double, b double, c double")
+    got = df.select("k", windows.horizontal([F.col("a"), F.col("b"), F.lit(None).cast("double"), F.col("c")])["mean"].alias("mean")).orderBy("k").collect()
+    assert [r["mean"] for r in got] == [(a + b + c) / 3 for a, b, c in rates]
+
+
+def test_sums_of_a_file_do_not_drift(spark):
+    """2,000 windows of one value each: the running sum of doubles is off by more than the ninth decimal."""
+    df = spark.range(2000).coalesce(1).select(F.lit("T20241018_time_18_x").alias("file"), F.col("id").alias("frame"), F.lit(0.001).alias("curvature_1_mm"), F.lit(121.3).alias("MFC5_frame_dist_mm"))
+    got = files.file_summary(windows.window_table(windows.prepare(df), WindowConfig(frames=1))).first()
+    assert got["n_windows"] == 2000 and abs(got["file_sum_MFC5_frame_dist_mm"] - 242600) < 1e-10
+
+
+def test_steady_sums_take_any_double(spark):
+    groups = {"none": [None, None], "inf": [1.0, math.inf], "nan": [1.0, math.nan], "huge": [1e300, 1.0, None], "small": [1e-300, 2e-300], "mixed": [-0.1, 2.0**43, 0.1, 1e-9]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r["g"]: r["s"] for r in df.groupBy("g").agg(steady_sum(F.col("v")).alias("s")).collect()}
+    assert math.isnan(got.pop("nan")) and got == {"none": None, "inf": math.inf, "huge": 1e300, "small": pytest.approx(3e-300), "mixed": pytest.approx(2.0**43)}
+
+
 def test_bending_counts_by_their_own_definition(spark):
     df = spark.createDataFrame([("Extreme", False), ("Invalid", False), (None, False), ("Normal", True)], "curvature_1_class string, skip boolean")
     got = windows.bending_counts(df).first().asDict()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import WindowConfig
 from tidewake.functions import text
-from tidewake.functions.values import divide
+from tidewake.functions.values import divide, steady_sum
 from tidewake.operators.ranks import with_quantiles
 from tidewake.operators.windows import bending_shares, peak_curvature
 from tidewake.shared import Scratch
@@ -47,7 +47,7 @@ def weighted(mean_col: str, weight: str = "frames_non_skipped_window") -> dict[s
     """Figures of window means: the mean weighted by the rows that count where the value exists, the rest over windows."""
     v, w = F.col(mean_col).cast("double"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     total = F.sum(F.when(v.isNotNull(), w))
-    mean = F.when((F.count(v) > 0) & (F.sum(w) > 0), F.sum(v * w) / F.greatest(F.lit(1.0), total))
+    mean = F.when((F.count(v) > 0) & (F.sum(w) > 0), steady_sum(v * w) / F.greatest(F.lit(1.0), total))
     return {"mean": mean, "median": F.median(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "valid_ratio": F.avg(v.isNotNull().cast("double")), "n_valid": F.count(v)}
 
 
@@ -73,7 +73,7 @@ def file_summary(windows: DataFrame, cfg: WindowConfig = WindowConfig(), bending
     for c in [c for group in series_columns(windows) for c in group]:
         agg |= {f"{c[:-5]}_{k if k == 'valid_ratio' else k + '_all'}": v for k, v in weighted(c).items() if k != "n_valid"}
     sums = [c for c in windows.columns if c.startswith("sum_")]
-    agg |= {f"file_{c}": F.coalesce(F.sum(c), F.lit(0.0)) for c in sums}
+    agg |= {f"file_{c}": F.coalesce(steady_sum(F.col(c)), F.lit(0.0)) for c in sums}
     agg["_top"] = first_max(F.col("freq_mean_hz"), F.col("window_idx"), F.col("window_idx"), F.col("freq_mean_hz"), F.col("start_frame"), F.col("end_frame"), F.col("mid_time_s"))
     got = windows.groupBy("file").agg(*[c.alias(k) for k, c in agg.items()])
     got = got.withColumn("Datetime", text.datetime_key(F.col("file"))).withColumn("skipped_rate_pct", F.coalesce(divide(F.col("skipped_frames") * 100.0, F.col("n_frames")), F.lit(0.0)))

@@ -140,12 +140,13 @@ def six_of_groups(df: DataFrame, c: str, by: list[str], sets: list[list[str]] |
 
 
 def horizontal(values: list[Column]) -> dict[str, Column]:
-    """Null-skipping mean, median, min, max and n over columns."""
-    kept = F.array_sort(F.array_compact(F.array(*values)))
+    """Null-skipping mean, median, min, max and n over columns; the mean adds in the columns' order, so that equal rows give equal means."""
+    given = F.array_compact(F.array(*values))
+    kept = F.array_sort(given)
     n = F.size(kept)
     at = lambda k: F.get(kept, k.cast("int"))
     middle = F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
-    mean = F.when(n > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / n)
+    mean = F.when(n > 0, F.aggregate(given, F.lit(0.0), lambda a, x: a + x) / n)
     return {"mean": mean, "median": middle, "min": F.array_min(kept), "max": F.array_max(kept), "n": n}
 
 
