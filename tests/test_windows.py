@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewake.config import WindowConfig
 from tidewake.functions.values import steady_sum
 from tidewake.operators import files, windows
+from tidewake.plans.common import rounded, scaled_round
 
 CFG = WindowConfig(frames=4)
 
@@ -87,6 +88,14 @@ def test_steady_sums_take_any_double(spark):
     assert math.isnan(got.pop("nan")) and got == {"none": None, "inf": math.inf, "huge": 1e300, "small": pytest.approx(3e-300), "mixed": pytest.approx(2.0**43)}
 
 
+def test_rounding_is_that_of_the_sql(spark, duck):
+    """Products with a power of ten that come out as halves, and what has no finite product."""
+    own = [1048.9791577185, 1092.1438727715, 826.4436496984999, 80.39088161949999, 777.1908882814998, -80.39088161949999, 0.0009765625, 1e300, 12345678.123456789, -0.0, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(own)], "k long, v double")
+    got = [r["v"] for r in rounded(df, 9, scaled_round).orderBy("k").collect()]
+    assert got == [duck.execute("SELECT round(?::DOUBLE, 9) + 0.0", [v]).fetchone()[0] for v in own]
+
+
 def test_bending_counts_by_their_own_definition(spark):
     df = spark.createDataFrame([("Extreme", False), ("Invalid", False), (None, False), ("Normal", True)], "curvature_1_class string, skip boolean")
     got = windows.bending_counts(df).first().asDict()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def scaled_round(c: Column, digits: int) -> Column:
+    """Rounds the product with the power of ten, as SQL engines do; ``F.round`` rounds the shortest decimal form, another value near halves."""
+    scaled = c * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(c)
+
+
+def rounded(df: DataFrame, digits: int = DIGITS, by: Callable[[Column, int], Column] = F.round) -> DataFrame:
     """Doubles rounded (and -0 as 0), so that sums in another order compare equal."""
-    return df.select(*[(F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+    return df.select(*[(by(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
 def sql_rounded(doubles: str | list[str], inner: str, ctes: str = "", digits: int = DIGITS) -> str:

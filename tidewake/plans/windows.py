@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import WindowConfig
 from tidewake.operators import files, partials, rounding, windows
-from tidewake.plans.common import TRACK, WINDOW, rounded, sql_rounded, table, tracking
+from tidewake.plans.common import TRACK, WINDOW, rounded, scaled_round, sql_rounded, table, tracking
 from tidewake.shared import Scratch
 
 CFG = WindowConfig(frames=WINDOW)
@@ -39,7 +39,7 @@ def rounded_window_table(spark: SparkSession, d: str) -> DataFrame:
 def file_summary(spark: SparkSession, d: str) -> DataFrame:
     frames = _prepared(spark, d)
     got = files.file_summary(windows.window_table(frames, CFG), CFG, windows.bending_counts(frames, ["file"]), files.curvature_peaks(frames, CFG))
-    return rounded(got, 9)
+    return rounded(got, 9, scaled_round)
 
 
 def bending_by_file(spark: SparkSession, d: str) -> DataFrame:
